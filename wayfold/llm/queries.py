@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, html, pii
+from wayfold.llm import bpe, html, lines, mix, pii
 from wayfold.session import table
 
 
@@ -14,6 +15,15 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return lines.dedup(docs, F.col("source")).select("doc_id", "source", "text", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"))
+
+
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.taken_by_document(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
@@ -24,7 +34,25 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
+    "op5_lines": op5_lines,
+    "op8_mix": op8_mix,
     "op9_bpe": op9_bpe,
     "op10_html": op10_html,
 }
-ORACLES: dict[str, str] = {}
+_OP5 = """
+WITH parted AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls, row_number() OVER () AS r FROM documents),
+seen AS (SELECT DISTINCT r, source, trim(l) AS line FROM (SELECT r, source, unnest(ls) AS l FROM parted) WHERE trim(l) <> ''),
+totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+often AS (
+    SELECT c.source, c.line FROM (SELECT source, line, count(*) AS n FROM seen GROUP BY source, line) c
+    JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 5 AND n > 0.05 * pages
+),
+drops AS (SELECT source, list(line) AS gone FROM often GROUP BY source),
+kept AS (
+    SELECT p.doc_id, p.source, p.text, p.ls, CASE WHEN d.gone IS NULL THEN p.ls ELSE list_filter(p.ls, lambda l: trim(l) = '' OR NOT list_contains(d.gone, trim(l))) END AS keep
+    FROM parted p LEFT JOIN drops d ON p.source IS NOT DISTINCT FROM d.source
+)
+SELECT doc_id, source, array_to_string(keep, chr(10)) AS text, coalesce(len(ls), 0) AS n_lines, coalesce(len(ls) - len(keep), 0) AS n_dropped FROM kept
+"""
+
+ORACLES: dict[str, str] = {"op5_lines": _OP5}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, html, lines, mix, pii
+from wayfold.llm import bpe, html, jaccard, lines, mix, pii
 from wayfold.session import table
 
 
@@ -20,6 +20,10 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(docs, F.col("source")).select("doc_id", "source", "text", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken_by_document(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_lines": op5_lines,
+    "op7_jaccard": op7_jaccard,
     "op8_mix": op8_mix,
     "op9_bpe": op9_bpe,
     "op10_html": op10_html,

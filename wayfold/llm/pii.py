@@ -58,7 +58,8 @@ def _folds() -> dict[int, str]:
 
 
 _FOLDS = _folds()
-_FOLDED = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_FOLDS)) + _WIDTHLESS + "]")
+_FOLDED = frozenset(map(chr, _FOLDS)) | frozenset(_WIDTHLESS)
+_BEYOND_LATIN = re.compile("[\u00ad\u0250-\U0010ffff]")  # all that is folded lies there
 
 _EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
@@ -151,20 +152,46 @@ _REWRITES = re.compile(
     rf"|(?P<digit>(?<=[0-9][\s.-])(?:{_DIGIT})(?![^\W_])|(?<![^\W_])(?:{_DIGIT})(?=[\s.-][0-9]))",
     re.IGNORECASE,
 )
-_WORD_AT_MARK = re.compile(r"[\[({<]\s*(?:at|@|dot|arroba|arobase|\.|punkt|point|punto)\s*[\])}>]|\s(?:dot|punkt|punto)\s|\bplus\b", re.IGNORECASE)
-_DIGIT_MARK = re.compile(rf"(?<![^\W_])(?:{_DIGIT})[\s,.-]{{1,2}}(?:{_DIGIT}|[0-9]+)(?![^\W_])|[0-9][\s.-](?:{_DIGIT})(?![^\W_])", re.IGNORECASE)
+#: Signs of a rewrite, cheap to look for: spelled signs, and what may stand around them.
+_SIGN_MARKS = ("(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "< at", "(@", "[@", "{@", "<@", "arroba", "arobase", "dot", "(.", "[.", "{.", "<.", "punkt", "point", "punto", "plus")
+_SIGN_MARK = re.compile(r"[\[({<]\s*(?:at|@|dot|arroba|arobase|\.|punkt|point|punto)\s*[\])}>]|\s(?:dot|punkt|punto)\s|\bplus\b")
+_DIGIT_SET = frozenset(_DIGIT_WORDS)
+_AROUND = "!\"#$%&'()*+/:;<=>?@[\\]^_`{|}~"
+_DIGIT_FORMS = _DIGIT_SET | {before + w + after for w in _DIGIT_WORDS for before in ("", *"([{<\"'") for after in ("", *")]}>\"':;!?")}
+
+
+def _spelled(low: str) -> bool:
+    """Whether a digit word stands beside another or beside a digit."""
+    words = low.replace(",", " ").replace(".", " ").replace("-", " ").split()
+    if _DIGIT_FORMS.isdisjoint(words):
+        return False
+    words = [w.strip(_AROUND) for w in words]
+    last_word = last_digit = False
+    for w in words:
+        word, digit = w in _DIGIT_SET, w[-1:].isdigit() or w[:1].isdigit()
+        if word and (last_word or last_digit) or digit and last_word:
+            return True
+        last_word, last_digit = word, digit
+    return False
+
+
+def _marked(text: str) -> bool:
+    low = text.lower()
+    return any(m in low for m in _SIGN_MARKS) and _SIGN_MARK.search(low) is not None or _spelled(low)
+
+
 _ONE_DIGIT = re.compile(_DIGIT, re.IGNORECASE)
 
 
 def rewrite(text: str) -> tuple[str, list[int], list[int]] | None:
     """The normalised text with each character's source start and end; None where nothing changes."""
     folded, starts = text, None
-    if _FOLDED.search(text):
+    if _BEYOND_LATIN.search(text) and not _FOLDED.isdisjoint(text):
         folded = text.translate(_FOLDS)
         if any(c in folded for c in _WIDTHLESS):
             kept = [k for k, c in enumerate(folded) if c not in _WIDTHLESS]
             folded, starts = "".join([folded[k] for k in kept]), kept
-    if not (_WORD_AT_MARK.search(folded) or _DIGIT_MARK.search(folded)):
+    if not _marked(folded):
         if folded == text:
             return None
         begin = starts if starts is not None else list(range(len(folded)))

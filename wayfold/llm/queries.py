@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, html, jaccard, lines, mix, ordermin, pii
+from wayfold.llm import bpe, html, jaccard, lines, mix, ordermin, pii, toxicity
 from wayfold.session import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_order_minhash": op2_order_minhash,
     "op4_pii": op4_pii,
     "op5_lines": op5_lines,

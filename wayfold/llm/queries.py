@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, html, jaccard, lines, mix, ordermin, pii, toxicity
+from wayfold.llm import ann, bpe, html, jaccard, lines, mix, ordermin, pii, toxicity
 from wayfold.session import table
 
 
@@ -19,6 +19,11 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_order_minhash": op2_order_minhash,
+    "op3_ann": op3_ann,
     "op4_pii": op4_pii,
     "op5_lines": op5_lines,
     "op7_jaccard": op7_jaccard,

@@ -8,7 +8,7 @@ size band is cut into as many parts as the band's largest set has tokens; a part
 represented by the XOR of the hashes of its positions. A difference breaks at most one
 part, so of the D+1 first non-empty parts (in one global order) of two linked documents
 at least one must be the same: these D+1 keys are the pigeonhole join. A second, short
-sketch of 1024 bits then drops candidates by Hamming distance, and the rest are
+sketch (two to four bits a token) then drops candidates by Hamming distance, and the rest are
 verified on whole sets.
 
 Nothing is emitted pair by pair within a group. Each key's rows are first linked with
@@ -46,19 +46,6 @@ SKETCH_BITS, HOT, SMALL, SALTS = 1024, 0.001, 64, 32
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-class _WordHash(dict):
-    """Hashes of words met by this worker, bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
-
-
-_HASH = _WordHash()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64 bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -66,26 +53,72 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A word's hash is a polynomial in an odd number over its bytes, A-Z taken as a-z. Sums of
+#: a span of words share the powers; a span is short enough for the tables.
+_SPAN = 1 << 16
+_BYTES = mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(1))
+_SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
+_ODD = 0x9E3779B97F4A7C15
+_POWERS = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(_SPAN, _ODD, np.uint64))))
+_INVERSES = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(_SPAN, pow(_ODD, -1, 1 << 64), np.uint64))))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each word of a text, in order."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    if not raw:
+        return np.zeros(0, np.uint64)
+    codes = np.frombuffer(raw, np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[codes], prepend=True, append=True))
+    starts, ends = edge[::2], edge[1::2]
+    out, k = np.empty(len(starts), np.uint64), 0
+    while k < len(starts):
+        at = int(starts[k])
+        last = int(np.searchsorted(ends, at + _SPAN, side="right"))
+        if last <= k:  # one word longer than a span
+            out[k] = xxhash.xxh3_64_intdigest(raw[at : int(ends[k])].lower())
+            k += 1
+            continue
+        stop = int(ends[last - 1])
+        sums = np.zeros(stop - at + 1, np.uint64)
+        np.cumsum(_BYTES[codes[at:stop]] * _POWERS[: stop - at], out=sums[1:])
+        a, b = starts[k:last] - at, ends[k:last] - at
+        out[k:last] = (sums[b] - sums[a]) * _INVERSES[a] + (b - a).astype(np.uint64)
+        k = last
+    return mixed(out)
+
+
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     """The sorted distinct shingle hashes of a text, A-Z in lower case."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
-    if len(words) < n:
-        return mixed(np.array([sum(int(x) * pow(3, k, 1 << 64) for k, x in enumerate(h)) + len(words) & 0xFFFFFFFFFFFFFFFF], np.uint64))
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    if len(h) < n:
+        return mixed(np.array([(sum(int(x) * pow(3, k, 1 << 64) for k, x in enumerate(h)) + len(h)) % (1 << 64)], np.uint64))
     total = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
         total += h[k : len(h) - n + 1 + k] * _MULTIPLIERS[k % 5]
-    return np.unique(mixed(total))
+    total = np.sort(mixed(total))
+    return total[np.concatenate(([True], total[1:] != total[:-1]))]
 
 
-def parity(tokens: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
-    """The short sketch: bit (token mod bits) is the parity of its tokens."""
+def parity(tokens: np.ndarray) -> bytes:
+    """The short sketch: bit (token mod size) is the parity of its tokens; the size is a power of two that grows with the set."""
+    bits = max(SKETCH_BITS, 1 << (2 * len(tokens)).bit_length())
     counts = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def apart(a: bytes, b: bytes) -> int:
+    """The Hamming distance of two sketches, the longer one folded to the shorter one's size: never above the symmetric difference."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def allowed(a, b, similar: tuple[int, int] = SIMILAR):
     """The largest symmetric difference of linked sets of these sizes."""
     num, den = similar
@@ -214,9 +247,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, slim: DataFrame, n: int, simila
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, size_a, size_b = (batch.column(k).to_numpy() for k in range(4))
-            bits = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(a), -1) for k in (4, 5)]
-            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(1)
-            keep = (apart <= allowed(size_a, size_b, similar)) & (np.minimum(size_a, size_b) * den >= np.maximum(size_a, size_b) * num)
+            keep = np.minimum(size_a, size_b) * den >= np.maximum(size_a, size_b) * num
+            most = allowed(size_a, size_b, similar)
+            for k in np.flatnonzero(keep):
+                keep[k] = apart(batch.column(4)[k].as_py(), batch.column(5)[k].as_py()) <= most[k]
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     close = pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(near, "a long, b long")

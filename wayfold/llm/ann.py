@@ -5,7 +5,7 @@ sample is cut into balanced parts by repeated median cuts of its slowest diffusi
 a small neural network then learns, from a vector alone, which parts its graph
 neighbours lie in. Index: every vector goes to its most probable part. Search: a query
 goes to its `probes` most probable parts and is compared with all their vectors in
-double precision. `probes` is the least number whose recall on the sample is `GOAL`.
+double precision; what falls short of its k-th best sample vector there is not emitted. `probes` is the least number whose recall on the sample is `GOAL`.
 
 The number of parts grows with the table up to what the sample can teach. A part is cut
 into blocks of about `BLOCK` vectors and its queries into blocks of as many, so a part or
@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from wayfold.llm.frames import saved
 
-SAMPLE, GOAL, BLOCK, PER_PART, MOST_PARTS, NEIGHBOURS = 8192, 0.94, 4096, 1024, 64, 10
+SAMPLE, GOAL, BLOCK, PER_PART, MOST_PARTS, NEIGHBOURS = 8192, 0.94, 16384, 1024, 64, 10
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
@@ -163,19 +163,18 @@ def _stack(packed) -> np.ndarray:
     return np.frombuffer(b"".join(packed), np.float64).reshape(len(packed), -1)
 
 
-def nearest_in_block(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's k nearest of a block; a score does not depend on a row's place."""
+def nearest_in_block(queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score) of each query's k nearest of a block, as far as they reach its bound; a score does not depend on a row's place."""
     out_q, out_v, out_s = [], [], []
     for at in range(0, len(queries), 256):
         score = queries[at : at + 256] @ block.T
         for r in range(len(score)):
             row, q = score[r], query_ids[at + r]
             row[ids == q] = -np.inf
+            least = bounds[at + r]
             if len(row) > k:
-                bound = row[np.argpartition(-row, k - 1)[k - 1]]
-                pick = np.flatnonzero(row >= bound - 1e-9 * max(1.0, abs(bound)))
-            else:
-                pick = np.arange(len(row))
+                least = max(least, row[np.argpartition(-row, k - 1)[k - 1]])
+            pick = np.flatnonzero(row >= least - 1e-9 * max(1.0, abs(least))) if np.isfinite(least) else np.arange(len(row))
             pick = pick[ids[pick] != q]
             exact = (block[pick] * queries[at + r]).sum(1)
             best = np.lexsort((ids[pick], -exact))[:k]
@@ -193,8 +192,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     rows = usable(vectors, id_col, vector_col)
     total = rows.count()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    router = context.broadcast(fit(_stack([bytes(r.v) for r in sample]) if sample else np.zeros((0, 1)), total, k))
-    probes = router.value.probes
+    known = _stack([bytes(r.v) for r in sample]) if sample else np.zeros((0, 1))
+    fitted = fit(known, total, k)
+    probes = fitted.probes
+    router = context.broadcast(fitted)
+    held_out = context.broadcast((known, np.array([r.vec_id for r in sample], np.int64), fitted.best(known, 1)[:, 0]))
 
     def route(m: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +208,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
         return run
 
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a query's k-th nearest scores at least: the k-th best of the sample within its parts."""
+        for batch in route(probes)(batches):
+            x, ids, home = held_out.value
+            q_ids, parts = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+            q = _stack(batch.column(2).to_pylist())
+            bound = np.full(len(q), -np.inf)
+            for at in range(0, len(q), probes):  # a query's rows follow each other
+                score = x @ q[at]
+                score[(ids == q_ids[at]) | ~np.isin(home, parts[at : at + probes])] = -np.inf
+                if len(score) > k:
+                    bound[at : at + probes] = np.partition(score, -k)[-k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound)], names=["part", "vec_id", "v", "bound"])
+
     shape = "part int, vec_id long, v binary"
     index = saved(rows.mapInArrow(route(1), shape))
     asked = queries.select(F.col(id_col).cast("long").alias("vec_id")).distinct()
-    routed = saved(rows.join(asked, "vec_id", "left_semi").mapInArrow(route(probes), shape))
+    routed = saved(rows.join(asked, "vec_id", "left_semi").mapInArrow(reach, shape + ", bound double"))
     # One count per part: blocks of bounded size on either side.
     held = {r.part: -(-r["count"] // BLOCK) for r in index.groupBy("part").count().collect()}
     wanted = {r.part: -(-r["count"] // BLOCK) for r in routed.groupBy("part").count().collect()}
@@ -229,7 +245,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
             return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        got = nearest_in_block(_stack(q["v"]), q["vec_id"].to_numpy(), _stack(x["v"]), x["vec_id"].to_numpy(), k)
+        got = nearest_in_block(_stack(q["v"]), q["vec_id"].to_numpy(), q["bound"].to_numpy(), _stack(x["v"]), x["vec_id"].to_numpy(), k)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got, strict=True)))
 
     found = left.groupBy(group).cogroup(right.groupBy(group)).applyInPandas(compare, "query_id long, vec_id long, score double")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import ann, bpe, html, jaccard, lines, mix, ordermin, pii, toxicity
+from wayfold.llm import ann, bpe, html, jaccard, lines, lm, mix, ordermin, pii, toxicity
 from wayfold.session import table
 
 
@@ -33,6 +33,10 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(docs, F.col("source")).select("doc_id", "source", "text", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ann": op3_ann,
     "op4_pii": op4_pii,
     "op5_lines": op5_lines,
+    "op6_lm": op6_lm,
     "op7_jaccard": op7_jaccard,
     "op8_mix": op8_mix,
     "op9_bpe": op9_bpe,

@@ -27,6 +27,8 @@ are left out.
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.frames import remainder
 
-SAMPLE, PER_ROW, BUCKETS, STEMS = 12_000, 3000, 1 << 20, (4, 5, 6, 7)
+SAMPLE, PER_ROW, BUCKETS, STEMS = 6000, 2000, 1 << 20, (4, 5, 6, 7)
 HELD_OUT, MOD = 0, 5
 # Insults in the four languages that the corpus holds.
 LEXICON = (
@@ -163,12 +165,12 @@ def mine(found: list[set[str]], labels: np.ndarray, least: int = 3, most: int =
     toxic, clean = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
     out = []
     for stems in (False, True):
-        count: dict[str, list[int]] = {}
-        for row, y in zip(found, labels.astype(int), strict=True):
-            for w in {s for w in row for s in stems_of(w)} if stems else row:
-                count.setdefault(w, [0, 0])[y] += 1
-        lift = {w: (t / toxic) / ((c + 0.5) / clean) for w, (c, t) in count.items() if t >= least}
-        out.append(sorted(sorted((w for w in lift if lift[w] >= 12), key=lambda w: (-lift[w] * count[w][1], w))[:most]))
+        parts = (lambda row: {s for w in row for s in stems_of(w)}) if stems else (lambda row: row)
+        hits = Counter(w for row, y in zip(found, labels, strict=True) if y for w in parts(row))
+        hits = {w: n for w, n in hits.items() if n >= least}
+        misses = Counter(w for row, y in zip(found, labels, strict=True) if not y for w in parts(row) if w in hits)
+        lift = {w: (n / toxic) / ((misses[w] + 0.5) / clean) for w, n in hits.items()}
+        out.append(sorted(sorted((w for w in lift if lift[w] >= 12), key=lambda w: (-lift[w] * hits[w], w))[:most]))
     return out[0], out[1]
 
 
@@ -177,7 +179,7 @@ def votes(found: list[set[str]], texts: list[str], lexicon: list[str], stems: li
     place = {w: k for k, w in enumerate(lexicon)}
     stem_place = {w: len(lexicon) + k for k, w in enumerate(stems)}
     base = len(lexicon) + len(stems)
-    out = np.zeros((len(found), base + 3))
+    out = np.zeros((len(found), base + 3), np.float32)
     for r, (row, text) in enumerate(zip(found, texts, strict=True)):
         for w in row:
             if (k := place.get(w)) is not None:
@@ -207,17 +209,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.string()), pa.array(marks, pa.string())], names=["doc_id", "toxic", "found", "marks"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    rows = sorted(texts.mapInArrow(distinct_words, "doc_id long, toxic int, found string, marks string").collect(), key=lambda r: (r.doc_id, r.found))
-    known = np.array([r.toxic for r in rows], float)
+    rows = texts.mapInArrow(distinct_words, "doc_id long, toxic int, found string, marks string").toPandas().sort_values(["doc_id", "found"])
+    known = rows["toxic"].to_numpy(float)
     if not len(known) or known.min() == known.max():
         share = float(known.mean()) if len(known) else 0.0
         return Classifier(np.zeros(BUCKETS), 40.0 if share == 1 else -40.0)
-    found = [set(r.found.split("\n")) - {""} for r in rows]
+    found = [set(map(sys.intern, f.split("\n"))) - {""} for f in rows["found"]]
+    marks = rows["marks"].tolist()
+    del rows
     lexicon, stems = mine(found, known)
     lexicon = sorted(set(lexicon) | set(LEXICON))
-    matrix = votes(found, [r.marks for r in rows], lexicon, stems)
+    matrix = votes(found, marks, lexicon, stems)
     _, posterior = fit_label_model(matrix, known)
-    return fit_classifier([np.fromiter(sorted(features(f)), np.int64) for f in found], np.clip(posterior, 0.001, 0.999))
+    return fit_classifier([np.fromiter(sorted(features(f)), np.int32) for f in found], np.clip(posterior, 0.001, 0.999))
 
 
 SCHEMA = "doc_id long, score double"

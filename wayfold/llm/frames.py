@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def saved(frame: DataFrame) -> DataFrame:
-    """The frame, written to the checkpoint folder that all executors share, and read from there."""
-    spark = frame.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share; a temporary one only where the session names none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def saved(frame: DataFrame) -> DataFrame:
+    """The frame, written to the checkpoint folder and read from there."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 

@@ -362,6 +362,13 @@ def _reps(pairs: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
-    """The documents without those that a smaller doc_id links to, directly or through others; repeated rows of an id become one."""
-    kept = join(docs).filter("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    """The documents but those that a smaller doc_id links to, directly or through others, and repeated rows of a text and an id.
+
+    Rows without an id stay.
+    """
+    gone = join(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    again = kept.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
+    if again.isEmpty():
+        return kept
+    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")

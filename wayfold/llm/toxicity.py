@@ -240,6 +240,11 @@ class _Known(dict):
         return got
 
 
+def found_features(text: str | None, known: _Known) -> np.ndarray:
+    """The weighted features of a text."""
+    return np.fromiter({f for part in filter(None, map(known.__getitem__, words(text))) for f in part}, np.int64)
+
+
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """(doc_id, score) of every whole text."""
     held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
@@ -250,12 +255,29 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                rows.append(np.fromiter({f for part in filter(None, map(known.__getitem__, words(text))) for f in part}, np.int64))
+                rows.append(found_features(text, known))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.score(rows) if rows else np.zeros(0))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that score below one half, with all their columns."""
+    model = fit(docs, labels)
+    held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = held.value
+        own, known = Classifier(weights, bias), _Known(weights)
+        for batch in batches:
+            if batch.num_rows:
+                rows = [found_features(text, known) for text in batch.column(place).to_pylist()]
+                yield batch.filter(pa.array(own.score(rows) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     got = score(docs, fit(docs, labels))

@@ -5,8 +5,8 @@ met yet becomes rows (word, position, token) of a DuckDB table. One recursive qu
 joins neighbouring rows with the merge table and contracts, in every unfinished
 word, the leftmost pair of least rank, until no word has a pair left. Ordered
 aggregation gives each word's ids and, through the vocabulary table, its decoded
-bytes. A task keeps what it has met in a bounded table, so that a word that returns
-is looked up; beyond the bound the table starts anew and words are encoded again.
+bytes. A worker keeps what it has met in a bounded table, so that a word that returns
+is looked up; beyond the bound, words that did not return for long are let go.
 
 Cases: a null or empty text has no ids and decodes to nothing. Equal rows give
 equal results, row by row. Very long texts and words pass whole. Extra columns of
@@ -39,18 +39,22 @@ _PIECE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 SCHEMA = "doc_id long, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long"
 
 #: A turn keeps, of each word that still had a pair to contract, its rows after the
-#: contraction; a word's rows of its last turn are its encoding.
+#: contraction; a word's rows of its last turn are its encoding. A row knows its right
+#: neighbour. The pair chosen of a word is the least (rank, position), packed in one number.
 _FIXPOINT = """
 WITH RECURSIVE step(word, pos, tok, right_tok, right_pos, turn) AS (
     SELECT word, pos, tok, lead(tok) OVER w, lead(pos) OVER w, 0 FROM parts WINDOW w AS (PARTITION BY word ORDER BY pos)
   UNION ALL
-    SELECT word, pos, tok, lead(tok) OVER w, lead(pos) OVER w, turn FROM (
-        SELECT s.word, s.pos, CASE WHEN s.pos = b.best.pos THEN b.best.rank ELSE s.tok END AS tok, s.turn + 1 AS turn
-        FROM step s JOIN (
-            SELECT s.word, min({'rank': m.rank, 'pos': s.pos, 'gone': s.right_pos}) AS best
+    SELECT s.word, s.pos, CASE WHEN s.pos = b.pos THEN b.rank ELSE s.tok END,
+           CASE WHEN s.pos = b.pos THEN b.after_tok WHEN s.right_pos = b.pos THEN b.rank ELSE s.right_tok END,
+           CASE WHEN s.pos = b.pos THEN b.after_pos ELSE s.right_pos END, s.turn + 1
+    FROM step s JOIN (
+        SELECT gone.word, (a.best >> 32)::INT AS rank, (a.best & 4294967295)::INT AS pos, gone.pos AS gone, gone.right_tok AS after_tok, gone.right_pos AS after_pos
+        FROM (
+            SELECT s.word, min((m.rank::BIGINT << 32) | s.pos) AS best, arg_min(s.right_pos, (m.rank::BIGINT << 32) | s.pos) AS gone_pos
             FROM step s JOIN merges m ON m.left_tok = s.tok AND m.right_tok = s.right_tok GROUP BY s.word
-        ) b ON b.word = s.word AND s.pos <> b.best.gone
-    ) WINDOW w AS (PARTITION BY word ORDER BY pos)
+        ) a JOIN step gone ON gone.word = a.word AND gone.pos = a.gone_pos
+    ) b ON b.word = s.word AND s.pos <> b.gone
 )
 """
 
@@ -64,11 +68,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """One DuckDB connection with the merge table, and the words met so far."""
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, keep: int = 800_000, memory_mb: int = 400):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, keep: int = 500_000, memory_mb: int = 400):
         ranks = load_ranks(path)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.match, self.keep = regex.compile(pattern), keep
         self.pieces: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{memory_mb}MB"})
         left, right, rank = (pa.array(c, pa.int32()) for c in zip(*pairs, strict=True))
@@ -106,16 +111,13 @@ class Encoder:
         return [(ids[4 * a : 4 * b], decoded[p:q]) for a, b, p, q in zip(cuts, cuts[1:], places, places[1:], strict=False)]
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces that are new, all in one recursive query."""
-        fresh = sorted(pieces)
-        if len(self.pieces) + len(fresh) > self.keep:
-            self.pieces.clear()
-        cut = [self.match.findall(p) for p in fresh]
-        words = sorted({w for ws in cut for w in ws})
+        """Encode the pieces, all their new words in a few recursive queries."""
+        cut = {p: self.match.findall(p) for p in pieces}
+        known = self.pieces
         coded: dict[str, tuple[bytes, bytes]] = {}
         block: list[str] = []
         size = 0
-        for w in words:  # blocks of some 500,000 bytes bound the recursive query's tables
+        for w in sorted({w for ws in cut.values() for w in ws} - known.keys()):  # blocks of some 500,000 bytes bound the recursive query's tables
             block.append(w)
             size += len(w)
             if size >= 500_000:
@@ -123,21 +125,25 @@ class Encoder:
                 block, size = [], 0
         if block:
             coded.update(zip(block, self.words(block), strict=True))
-        for p, ws in zip(fresh, cut, strict=True):
-            self.pieces[p] = coded[ws[0]] if len(ws) == 1 else tuple(map(b"".join, zip(*[coded[w] for w in ws], strict=True)))
+        known.update(coded)
+        for p, ws in cut.items():
+            if len(ws) > 1:
+                known[p] = tuple(map(b"".join, zip(*[known[w] for w in ws], strict=True)))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """For each text its ids and the bytes that they decode to."""
         cut = [_PIECE.findall(t) for t in texts]
-        want = set().union(*cut) if cut else set()
-        known = self.pieces
-        if fresh := {p for p in want if p not in known}:
-            if len(known) + len(fresh) > self.keep:
-                fresh = want
-            self.learn(fresh)
+        if len(self.pieces) > self.keep:  # what the last generation didn't use goes
+            self.old, self.pieces = self.pieces, {}
+        want = set().union(*cut)
+        fresh = want - self.pieces.keys()
+        again = fresh & self.old.keys()
+        self.pieces.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        self.learn(fresh - again)
         known = self.pieces
         for pieces in cut:
-            yield tuple(map(b"".join, zip(*[known[p] for p in pieces], strict=True))) if pieces else (b"", b"")
+            got = [known[p] for p in pieces]
+            yield b"".join([x[0] for x in got]), b"".join([x[1] for x in got])
 
 
 _CODERS: dict[str, Encoder] = {}

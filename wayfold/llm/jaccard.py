@@ -11,9 +11,12 @@ at least one must be the same: these D+1 keys are the pigeonhole join. A second,
 sketch (two to four bits a token) then drops candidates by Hamming distance, and the rest are
 verified on whole sets.
 
-Nothing is emitted pair by pair within a group. Each key's rows are first linked with
-one pivot; verified links are contracted into components; only rows of a key that still
-lie in different components are then compared with each other. Keys made of very
+Nothing is emitted pair by pair within a group. Each key's documents gather around one
+pivot, the key's least document; keys of the same documents so fall together. Within a
+pivot's documents, in blocks of bounded size, the short sketches choose a spanning
+forest of least Hamming distances; its edges are verified and the links contracted into
+components. Only what a pivot still holds in different components is then compared
+further, and only pairs that the sketches allow leave a block. Keys made of very
 frequent tokens come last in the global order (so that a passage which many documents
 share is no key of theirs unless they consist of it) and are salted in the pivot step.
 The frequent tokens are found over all documents: a token held by the share `HOT` of
@@ -42,7 +45,7 @@ from pyspark.sql.window import Window
 from wayfold.llm.frames import saved
 
 WORDS, SIMILAR = 5, (3, 4)  # similarity as a fraction
-SKETCH_BITS, HOT, SMALL, SALTS = 1024, 0.001, 64, 32
+SKETCH_BITS, HOT, SMALL, SALTS, BLOCK = 1024, 0.001, 64, 32, 4096
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -109,16 +112,6 @@ def parity(tokens: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def apart(a: bytes, b: bytes) -> int:
-    """The Hamming distance of two sketches, the longer one folded to the shorter one's size: never above the symmetric difference."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def allowed(a, b, similar: tuple[int, int] = SIMILAR):
     """The largest symmetric difference of linked sets of these sizes."""
     num, den = similar
@@ -239,22 +232,10 @@ def _features(docs: DataFrame, hot_tokens, n: int, similar: tuple[int, int]) ->
     return docs.mapInArrow(run, "key long, salt int, doc_id long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, slim: DataFrame, n: int, similar: tuple[int, int]) -> DataFrame:
-    """Of the pairs (a, b) of ids those that link."""
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, similar: tuple[int, int]) -> DataFrame:
+    """Of the pairs (a, b) of ids those that link, on whole sets."""
     num, den = similar
-    left, right = (slim.select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, size_a, size_b = (batch.column(k).to_numpy() for k in range(4))
-            keep = np.minimum(size_a, size_b) * den >= np.maximum(size_a, size_b) * num
-            most = allowed(size_a, size_b, similar)
-            for k in np.flatnonzero(keep):
-                keep[k] = apart(batch.column(4)[k].as_py(), batch.column(5)[k].as_py()) <= most[k]
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
-
-    close = pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(near, "a long, b long")
-    close = saved(close)
+    close = pairs
     texts = _only(docs, close.select(F.col("a").alias("doc_id")).union(close.select("b")))
     both = close.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
 
@@ -313,6 +294,135 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
 
 
+def _folded(rows: list[bytes], words: int) -> np.ndarray:
+    """Sketches as rows of so many 64-bit words, longer ones folded."""
+    out = np.empty((len(rows), words), np.uint64)
+    for k, r in enumerate(rows):
+        x = np.frombuffer(r, np.uint64)
+        while len(x) > words:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[k] = x
+    return out
+
+
+def close_pairs(size: np.ndarray, sketches: list[bytes], side: np.ndarray, group: np.ndarray, forest: bool, similar: tuple[int, int] = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows whose sketches allow a link and whose groups differ; with `forest`, a spanning forest of least distances.
+
+    Where `side` differs at all, only pairs across the sides count.
+    """
+    num, den = similar
+    order = np.argsort(size, kind="stable")
+    size, side, group = size[order], side[order], group[order]
+    words = np.array([len(sketches[k]) // 8 for k in order])
+    both = side.min() != side.max()
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    n_held = 0
+    for w in np.unique(words):
+        mine = np.flatnonzero(words == w)
+        top = int(np.searchsorted(size, size[mine[-1]] * den // num, side="right"))
+        matrix = _folded([sketches[k] for k in order[mine[0] : top]], int(w))
+        for i in mine:
+            last = int(np.searchsorted(size, size[i] * den // num, side="right"))
+            if last <= i + 1:
+                continue
+            at = np.arange(i + 1, last)
+            keep = group[at] != group[i]
+            if both:
+                keep &= side[at] != side[i]
+            at = at[keep]
+            if len(at):
+                far = np.bitwise_count(matrix[at - mine[0]] ^ matrix[i - mine[0]]).sum(1, dtype=np.int64)
+                ok = far <= allowed(size[at], size[i], similar)
+                if ok.any():
+                    held.append((np.full(int(ok.sum()), i), at[ok], far[ok]))
+                    n_held += int(ok.sum())
+                    if forest and n_held > 2_000_000:
+                        held = [_forest(*map(np.concatenate, zip(*held, strict=True)), group)]
+                        n_held = len(held[0][0])
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j, far = map(np.concatenate, zip(*held, strict=True))
+    if forest:
+        i, j, _ = _forest(i, j, far, group)
+    return order[i], order[j]
+
+
+def _forest(i: np.ndarray, j: np.ndarray, far: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of least total distance over the groups."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    kept = []
+    a, b = group[i].tolist(), group[j].tolist()
+    for k in np.argsort(far, kind="stable").tolist():
+        x, y = root(a[k]), root(b[k])
+        if x != y:
+            above[x] = y
+            kept.append(k)
+    return i[kept], j[kept], far[kept]
+
+
+def _candidates(members: DataFrame, slim: DataFrame, of_group: DataFrame | None, forest: bool, similar: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of members of a pivot whose sketches allow a link and whose components differ.
+
+    A pivot's members are cut into blocks of about `BLOCK`; two blocks at a time meet in one
+    group of rows, so no task holds more than two blocks of a pivot, and only pairs that
+    may link leave it.
+    """
+    held = members.groupBy("pivot").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = members.join(held, "pivot")
+    if of_group is not None:
+        rows = rows.join(of_group.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+        mixed_pivots = rows.groupBy("pivot").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("pivot")
+        rows = rows.join(mixed_pivots, "pivot", "left_semi")
+    else:
+        rows = rows.withColumn("c", F.col("rep"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("pivot", "rep", "c", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    sketched = rows.join(slim.select(F.col("doc_id").alias("rep"), "size", "sketch"), "rep")
+    dealt = sketched.repartition("pivot", "lo", "hi").sortWithinPartitions("pivot", "lo", "hi").select("pivot", "lo", "hi", "rep", "c", "own", "size", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def pairs(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            rep, c, own, size = (part.column(k).to_numpy() for k in ("rep", "c", "own", "size"))
+            i, j = close_pairs(size, part.column("sketch").to_pylist(), own, c, forest, similar)
+            return np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+
+        def whole(held: pa.Table) -> pa.RecordBatch:
+            names = ("pivot", "lo", "hi")
+            keys_ = [held.column(k).to_numpy() for k in names]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys_], axis=0)) + 1
+            cuts = [0, *change.tolist(), held.num_rows]
+            found = [pairs(held.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1]
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            now = pa.concat_tables([rest, now]).combine_chunks() if rest is not None and rest.num_rows else now
+            # The last group of a batch may go on in the next one.
+            tail = [now.column(k).to_numpy() for k in ("pivot", "lo", "hi")]
+            same = np.all([k == k[-1] for k in tail], axis=0)
+            cut = int(np.argmax(same))
+            if cut:
+                yield whole(now.slice(0, cut))
+            rest = now.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield whole(rest)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document."""
     spark = docs.sparkSession
@@ -325,42 +435,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     hot = every.filter("token IS NOT NULL").groupBy("token").agg(F.sum("size").alias("n")).filter(F.col("n") >= max(8, HOT * n_docs)).select("token").toPandas()
     hot_tokens = spark.sparkContext.broadcast(np.sort(hot["token"].to_numpy(np.int64).view(np.uint64)))
 
-    features = _features(docs, hot_tokens, n, similar)
     by_key = Window.partitionBy("key", "salt")
-    rows = saved(features.withColumns({"pivot": F.min("doc_id").over(by_key), "top": F.max("doc_id").over(by_key)}).filter("pivot < top OR salt >= 0").select("key", "salt", "doc_id", "pivot"))
+    features = _features(docs, hot_tokens, n, similar).withColumns({"pivot": F.min("doc_id").over(by_key), "top": F.max("doc_id").over(by_key)})
+    rows = saved(features.filter("pivot < top OR salt >= 0").select("key", "salt", "doc_id", "pivot"))
     # A salted key's pivots meet in a second step.
-    tops = rows.filter("salt >= 0 AND doc_id = pivot").select("key", "doc_id").distinct()
-    second = tops.withColumn("pivot", F.min("doc_id").over(Window.partitionBy("key")))
-    stars = rows.select("doc_id", "pivot").union(second.select("doc_id", "pivot")).filter("doc_id <> pivot").distinct()
-    of = slim.select("doc_id", "digest").join(rep, "digest").select("doc_id", "rep")
-    edges = _reps(stars, of)
-    links = _verified(edges, docs, slim, n, similar)
-    group = components(links)
-
-    # What shares a key but lies in different components is compared, pair by pair of documents.
-    placed = rows.select("key", "doc_id").join(of, "doc_id").select("key", "rep").distinct().join(group.toDF("rep", "c"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
-    placed = saved(placed)
-    contested = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    open_ = placed.join(contested, "key")
-    sizes = slim.select(F.col("doc_id").alias("rep"), "size").distinct()
-    open_ = saved(open_.join(sizes, "rep"))
-    num, den = similar
-    left, right = open_.alias("l"), open_.alias("r")
-    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.c") < F.col("r.c")) & (F.least("l.size", "r.size") * den >= F.greatest("l.size", "r.size") * num))
-    pairs = pairs.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
-    more = _verified(saved(pairs), docs, slim, n, similar)
-    final = components(links.union(more))
+    salted = rows.filter("salt >= 0")
+    second = salted.select("key", "pivot").distinct().withColumn("first", F.min("pivot").over(Window.partitionBy("key")))
+    around = rows.filter("salt < 0").select("pivot", "doc_id").union(salted.join(second, ["key", "pivot"]).select("first", "doc_id")).distinct()
+    of = saved(slim.select("doc_id", "digest").join(rep, "digest").select("doc_id", "rep"))
+    members = saved(around.join(of, "doc_id").select("pivot", "rep").distinct())
+
+    near = saved(_candidates(members, slim, None, True, similar))
+    links = _verified(near, docs, n, similar)
+    # What a pivot holds but lies in different components is compared with each other.
+    rest = saved(_candidates(members, slim, components(links), False, similar).join(near, ["a", "b"], "left_anti"))
+    final = components(links.union(_verified(rest, docs, n, similar)))
     classes = of.select("rep").distinct().join(final.toDF("rep", "c"), "rep", "left").select("rep", F.coalesce("c", "rep").alias("component_id"))
     known = slim.join(rep, "digest", "left").join(classes, "rep", "left")
     return known.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _reps(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """Pairs of documents as pairs (a < b) of the first documents of their sets."""
-    got = pairs.join(of.toDF("doc_id", "x"), "doc_id").join(of.toDF("pivot", "y"), "pivot").filter("x <> y")
-    return saved(got.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-
-
 def first_of_groups(docs: DataFrame) -> DataFrame:
     """The documents but those that a smaller doc_id links to, directly or through others, and repeated rows of a text and an id.
 

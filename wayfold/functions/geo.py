@@ -26,8 +26,8 @@ def valid(lat: Column, lon: Column) -> Column:
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle metres between two points in degrees."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    a = F.greatest(F.lit(0.0), F.least(F.lit(1.0), a))
-    return 2 * EARTH_M * F.atan2(F.sqrt(a), F.sqrt(1 - a))
+    # abs() takes the place of a clamp, which greatest() and least() would also apply to nulls.
+    return 2 * EARTH_M * F.atan2(F.sqrt(a), F.sqrt(F.abs(1 - a)))
 
 
 def mercator_x(lon: Column) -> Column:

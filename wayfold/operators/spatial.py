@@ -77,11 +77,11 @@ def snap(points: DataFrame, located: DataFrame, radius_m: float, size: int = CEL
     entered = located.withColumn("cy", F.explode(F.sequence(lo_y, hi_y))).withColumn("cx", F.explode(F.sequence(lo_x, hi_x)))
     asked = points.select("point_id", "lat_e7", "lon_e7", cell(F.col("lat_e7"), size).alias("cy"), cell(F.col("lon_e7"), size).alias("cx"))
     p = [F.col(c) / 1e7 for c in ("lat_e7", "lon_e7", "a_lat", "a_lon", "b_lat", "b_lon")]
-    joined = asked.join(entered, ["cy", "cx"]).withColumn("fraction", geo.projection_fraction(*p))
-    on_lat, on_lon = p[2] + (p[4] - p[2]) * F.col("fraction"), p[3] + (p[5] - p[3]) * F.col("fraction")
-    near = joined.withColumn("distance_m", geo.haversine_m(p[0], p[1], on_lat, on_lon)).filter(F.col("distance_m") <= radius_m)
-    best = near.groupBy("point_id").agg(F.min(F.struct("distance_m", "a", "b", "fraction")).alias("s"))
-    return best.select("point_id", "s.a", "s.b", "s.fraction", "s.distance_m")
+    joined = asked.join(entered, ["cy", "cx"])
+    # The fraction is bound once: as a plain column it would be copied into each of its many uses.
+    metres = lambda f: F.struct(geo.haversine_m(p[0], p[1], p[2] + (p[4] - p[2]) * f, p[3] + (p[5] - p[3]) * f).alias("distance_m"), F.col("a").alias("a"), F.col("b").alias("b"), f.alias("fraction"))
+    best = joined.groupBy("point_id").agg(F.min(F.transform(F.array(geo.projection_fraction(*p)), metres)[0]).alias("s"))
+    return best.filter(F.col("s.distance_m") <= radius_m).select("point_id", "s.a", "s.b", "s.fraction", "s.distance_m")
 
 
 def gateways(left: DataFrame, right: DataFrame) -> DataFrame:

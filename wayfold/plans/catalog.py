@@ -98,7 +98,7 @@ def nearest_node(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def snap_segment(spark: SparkSession, sf: str) -> DataFrame:
     points = g.track(spark, sf).filter("seq % 4 = 3").select((F.col("trip") * 1_000_000 + F.col("seq")).alias("point_id"), "lat_e7", "lon_e7")
-    found = spatial.snap(points, _located_segments(spark, sf), 60.0)
+    found = spatial.snap(points, _located_segments(spark, sf), 60.0, 10_000)
     return found.select("point_id", "a", "b", F.round("distance_m", 3).alias("distance_m"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_HAV = "2 * 6371008.8 * atan2(sqrt(greatest(0.0, least(1.0, {a}))), sqrt(1 - greatest(0.0, least(1.0, {a}))))"
+_HAV = "2 * 6371008.8 * atan2(sqrt({a}), sqrt(abs(1 - {a})))"
 
 
 def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:

@@ -68,7 +68,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """One DuckDB connection with the merge table, and the words met so far."""
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, keep: int = 500_000, memory_mb: int = 400):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, keep: int = 250_000, memory_mb: int = 250):
         ranks = load_ranks(path)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.match, self.keep = regex.compile(pattern), keep
@@ -117,10 +117,10 @@ class Encoder:
         coded: dict[str, tuple[bytes, bytes]] = {}
         block: list[str] = []
         size = 0
-        for w in sorted({w for ws in cut.values() for w in ws} - known.keys()):  # blocks of some 500,000 bytes bound the recursive query's tables
+        for w in sorted({w for ws in cut.values() for w in ws} - known.keys()):  # blocks of some 300,000 bytes bound the recursive query's tables
             block.append(w)
             size += len(w)
-            if size >= 500_000:
+            if size >= 300_000:
                 coded.update(zip(block, self.words(block), strict=True))
                 block, size = [], 0
         if block:
@@ -172,6 +172,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True
                     names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
                 )
 
+        known.old = {}  # the worker lives on
+
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 

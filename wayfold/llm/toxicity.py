@@ -234,7 +234,7 @@ class _Known(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         got = self[word] = tuple(f for f in features({word}) if self.weights[f])
         return got

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfold.llm.frames import saved
+from wayfold.llm.frames import let_go, saved
 
 WORDS, SIMILAR = 5, (3, 4)  # similarity as a fraction
 SKETCH_BITS, HOT, SMALL, SALTS, BLOCK = 1024, 0.001, 64, 32, 4096
@@ -187,12 +187,13 @@ def sets(docs: DataFrame, n: int = WORDS) -> DataFrame:
                 size.append(len(got))
                 digest.append(xxhash.xxh3_128_digest(got.tobytes()))
                 sketch.append(parity(got))
-                if tokens_in > 4_000_000:
+                if tokens_in > 1_500_000:
                     yield frequent()
                     docs_in = tokens_in = 0
             ids = batch.column(0)
             yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.nulls(len(ids), pa.int64())], names=names)
         yield frequent()
+        let_go()
 
     return docs.mapInArrow(run, "doc_id long, size long, digest binary, sketch binary, token long")
 
@@ -228,6 +229,7 @@ def _features(docs: DataFrame, hot_tokens, n: int, similar: tuple[int, int]) ->
                     columns, rows = [], 0
             if columns:
                 yield out(columns)
+        let_go()
 
     return docs.mapInArrow(run, "key long, salt int, doc_id long")
 

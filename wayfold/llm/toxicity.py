@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.frames import remainder
+from wayfold.llm.frames import let_go, remainder
 
 SAMPLE, PER_ROW, BUCKETS, STEMS = 6000, 2000, 1 << 20, (4, 5, 6, 7)
 HELD_OUT, MOD = 0, 5
@@ -257,6 +257,8 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 rows.append(found_features(text, known))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.score(rows) if rows else np.zeros(0))], names=["doc_id", "score"])
+        known.clear()
+        let_go()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
@@ -274,6 +276,8 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             if batch.num_rows:
                 rows = [found_features(text, known) for text in batch.column(place).to_pylist()]
                 yield batch.filter(pa.array(own.score(rows) < 0.5))
+        known.clear()
+        let_go()
 
     return docs.mapInArrow(run, docs.schema)
 

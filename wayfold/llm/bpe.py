@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from wayfold.llm.frames import let_go
+from wayfold.llm.frames import let_go, text_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -70,7 +70,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """One DuckDB connection with the merge table, and the words met so far."""
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, keep: int = 250_000, memory_mb: int = 120):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, keep: int = 250_000, memory_mb: int = 200):
         ranks = load_ranks(path)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.match, self.keep = regex.compile(pattern), keep
@@ -119,10 +119,10 @@ class Encoder:
         coded: dict[str, tuple[bytes, bytes]] = {}
         block: list[str] = []
         size = 0
-        for w in sorted({w for ws in cut.values() for w in ws} - known.keys()):  # blocks of some 120,000 bytes bound the recursive query's tables
+        for w in sorted({w for ws in cut.values() for w in ws} - known.keys()):  # blocks of some 300,000 bytes bound the recursive query's tables
             block.append(w)
             size += len(w)
-            if size >= 120_000:
+            if size >= 300_000:
                 coded.update(zip(block, self.words(block), strict=True))
                 block, size = [], 0
         if block:
@@ -164,8 +164,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = coder(vocabulary or public_tokenizers.path(VOCABULARY))
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 rows = [(i if with_ids else None, len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest(), len(d)) for i, d in known.encode(texts)]
                 ids, n, sha, back, size = zip(*rows, strict=True)
@@ -177,7 +177,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True
         known.old = {}
         let_go()
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return text_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def decode(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:

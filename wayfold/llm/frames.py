@@ -29,6 +29,14 @@ def saved(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def text_batches(frame: DataFrame, rows: int = 1000) -> DataFrame:
+    """The frame; its session hands texts to Python workers in batches of at most so many rows, which bounds their memory."""
+    conf, name = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= rows:
+        conf.set(name, rows)
+    return frame
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -23,6 +23,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from wayfold.llm.frames import text_batches
+
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -312,4 +314,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
                 names=["page_id", "text", "n_chars", "n_lines"],
             )
 
-    return pages.select(pages[id_col].cast("long").alias("page_id"), pages[html_col].cast("string").alias("html")).mapInArrow(run, SCHEMA)
+    return text_batches(pages).select(pages[id_col].cast("long").alias("page_id"), pages[html_col].cast("string").alias("html")).mapInArrow(run, SCHEMA)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfold.llm.frames import let_go, saved
+from wayfold.llm.frames import let_go, saved, text_batches
 
 WORDS, SIMILAR = 5, (3, 4)  # similarity as a fraction
 SKETCH_BITS, HOT, SMALL, SALTS, BLOCK = 1024, 0.001, 64, 32, 4096
@@ -158,7 +158,7 @@ def _end(band: int) -> int:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def sets(docs: DataFrame, n: int = WORDS) -> DataFrame:

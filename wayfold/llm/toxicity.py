@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.frames import let_go, remainder
+from wayfold.llm.frames import let_go, remainder, text_batches
 
 SAMPLE, PER_ROW, BUCKETS, STEMS = 6000, 2000, 1 << 20, (4, 5, 6, 7)
 HELD_OUT, MOD = 0, 5
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
                 marks.append((" you are stupid" if _DIRECT.search(text or "") else "") + (" x*x" if _MASKED.search(text or "") else ""))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.string()), pa.array(marks, pa.string())], names=["doc_id", "toxic", "found", "marks"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     rows = texts.mapInArrow(distinct_words, "doc_id long, toxic int, found string, marks string").toPandas().sort_values(["doc_id", "found"])
     known = rows["toxic"].to_numpy(float)
     if not len(known) or known.min() == known.max():
@@ -279,7 +279,7 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         known.clear()
         let_go()
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ are boilerplate of that host and are dropped from its pages.
 The plan counts (host, line digest) with partial aggregation, so that a host or a
 line with a third of all rows arrives as one partial count per task. A host has at
 most (mean lines per page / ratio) boilerplate lines, so its list is a short array
-that joins the pages by host; Spark broadcasts the lists only where their size
-allows and else splits a skewed host.
+that joins the pages by host. The lists are counted first: up to `BROADCAST_LINES`
+lines in all they are broadcast, beyond that Spark joins by host and splits a skewed one.
 
 Cases: a null text stays null with no lines. A page with the same line twice counts
 once. Blank lines are never counted or dropped. Pages without a host (null) form one
@@ -21,7 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RATIO, LEAST = 0.05, 5
+from wayfold.llm.frames import saved
+
+RATIO, LEAST, BROADCAST_LINES = 0.05, 5, 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -49,7 +51,9 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
 def dedup(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """The pages with boilerplate lines dropped from the text, and n_lines and n_dropped beside."""
     text = F.col(text_col)
-    drops = boilerplate(pages, host, text, ratio, least).toDF("__host", "__drop")
+    drops = saved(boilerplate(pages, host, text, ratio, least).toDF("__host", "__drop"))
+    if (drops.agg(F.sum(F.size("__drop"))).collect()[0][0] or 0) <= BROADCAST_LINES and drops.count() <= BROADCAST_LINES:
+        drops = F.broadcast(drops)  # and the pages stay where they are
     parted = F.split(text, "\n")
     kept = F.filter(parted, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__drop"), _digest(x)))
     joined = pages.join(drops, host.eqNullSafe(F.col("__host")), "left").withColumns(

@@ -81,4 +81,21 @@ kept AS (
 SELECT doc_id, source, array_to_string(keep, chr(10)) AS text, coalesce(len(ls), 0) AS n_lines, coalesce(len(ls) - len(keep), 0) AS n_dropped FROM kept
 """
 
-ORACLES: dict[str, str] = {"op5_lines": _OP5}
+_OP7 = r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM worded
+),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+links AS (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+),
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM sets UNION SELECT b.y, r.c FROM reach r JOIN sides b ON b.x = r.doc_id)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(r.c) AS component_id FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.s
+"""
+
+ORACLES: dict[str, str] = {"op5_lines": _OP5, "op7_jaccard": _OP7}

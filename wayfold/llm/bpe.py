@@ -5,7 +5,7 @@ met yet becomes rows (word, position, token) of a DuckDB table. One recursive qu
 joins neighbouring rows with the merge table and contracts, in every unfinished
 word, the leftmost pair of least rank, until no word has a pair left. Ordered
 aggregation gives each word's ids and, through the vocabulary table, its decoded
-bytes. A worker keeps what it has met in a bounded table, so that a word that returns
+bytes. A task keeps what it has met in a bounded table, so that a word that returns
 is looked up; beyond the bound, words that did not return for long are let go.
 
 Cases: a null or empty text has no ids and decodes to nothing. Equal rows give
@@ -70,7 +70,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """One DuckDB connection with the merge table, and the words met so far."""
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, keep: int = 250_000, memory_mb: int = 200):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, keep: int = 150_000, memory_mb: int = 150):
         ranks = load_ranks(path)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.match, self.keep = regex.compile(pattern), keep
@@ -152,17 +152,26 @@ _CODERS: dict[str, Encoder] = {}
 
 
 def coder(path: str) -> Encoder:
-    """The worker process's encoder for a vocabulary; the tasks that a worker runs share it."""
+    """The task's encoder for a vocabulary."""
     if path not in _CODERS:
         _CODERS[path] = Encoder(path)
     return _CODERS[path]
 
 
+def finish(path: str) -> None:
+    """A task's end: its worker lives on and must not hold the tables and words."""
+    if (known := _CODERS.pop(path, None)) is not None:
+        known.db.close()
+        known.pieces, known.old = {}, {}
+    let_go()
+
+
 def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ids (binary, little-endian unsigned 32 bits; null unless with_ids) and digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = coder(vocabulary or public_tokenizers.path(VOCABULARY))
+        path = vocabulary or public_tokenizers.path(VOCABULARY)
+        known = coder(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
@@ -174,8 +183,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True
                     names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
                 )
 
-        known.old = {}
-        let_go()
+        finish(path)
 
     return text_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
@@ -184,7 +192,8 @@ def decode(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, ids) back to (doc_id, text): DuckDB joins the ids with the vocabulary and aggregates in order."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = coder(vocabulary or public_tokenizers.path(VOCABULARY))
+        path = vocabulary or public_tokenizers.path(VOCABULARY)
+        known = coder(path)
         for frame in frames:
             for at in range(0, len(frame), 64):
                 part = frame.iloc[at : at + 64]
@@ -193,5 +202,6 @@ def decode(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 rows = pa.table({"doc": np.repeat(np.arange(len(ids)), sizes), "pos": np.concatenate([np.arange(s) for s in sizes] or [[]]).astype(np.int64), "tok": np.concatenate(ids).astype(np.int32)})  # noqa: F841
                 got = dict(known.db.execute("SELECT doc, list(bytes ORDER BY pos) FROM rows JOIN vocab USING (tok) GROUP BY doc").fetchall())
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "text": [b"".join(got.get(k, [])).decode("utf-8", "replace") for k in range(len(ids))]})
+        finish(path)
 
     return tokens.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")

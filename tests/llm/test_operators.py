@@ -360,6 +360,22 @@ def test_bpe_equals_library(spark, odd):
     assert bpe.encode(docs.limit(0)).count() == 0
 
 
+def test_bpe_long_words():
+    """Unbroken words of up to 30,000 letters, in a database of 150 MB."""
+    import public_tokenizers as P
+    import tiktoken
+
+    coder = bpe.Encoder(P.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    rng = np.random.default_rng(3)
+    word = lambda letters, n: "".join(rng.choice(list(letters), n))
+    az = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["x" * 30_000, word(az, 30_000), word("ab", 9000), "ab" * 5000 + "a", word("\u4e00\u4e8c\u4e09\u00e9", 3000), " ".join(word(a, n) for a in (az, "aeinst", "th") for n in range(62, 90)), "=" * 999 + "-" * 1001]
+    for text, (ids, back) in zip(texts, coder.encode(texts), strict=True):
+        want = enc.encode_ordinary(text)
+        assert ids == struct.pack(f"<{len(want)}I", *want) and back == text.encode()
+
+
 # 10 -----------------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,9 @@
 A text is cut into the pattern's matches. Each distinct match that a task has not
 met yet becomes rows (word, position, token) of a DuckDB table. One recursive query
 joins neighbouring rows with the merge table and contracts, in every unfinished
-word, the leftmost pair of least rank, until no word has a pair left. Ordered
+word, the leftmost pair of least rank, until no word has a pair left. Words of over `LONG` bytes
+are contracted turn by turn in a table that holds only their current rows, many pairs
+a turn, so that rows stay in proportion to the bytes. Ordered
 aggregation gives each word's ids and, through the vocabulary table, its decoded
 bytes. A task keeps what it has met in a bounded table, so that a word that returns
 is looked up; beyond the bound, words that did not return for long are let go.
@@ -60,6 +62,43 @@ WITH RECURSIVE step(word, pos, tok, right_tok, right_pos, turn) AS (
 )
 """
 
+#: Words of more bytes than this are contracted by turns written back to a table.
+LONG = 64
+
+#: One turn over the current rows of long words. `least` is, over a word's present pairs up to
+#: a rank, the least rank of a pair that their contractions can form with what stands beside
+#: them, contracted or not. While it is greater, the present pairs up to that rank come
+#: before any new one: they are contracted by (rank, position), but for those that overlap a
+#: contracted one. So a run of equal ranks that begins beside a greater rank is contracted at every
+#: second pair (the last of the run only if no lesser rank follows), all such runs at once.
+#: Where the least pair itself could form a lesser one, the leftmost of them goes alone.
+_TURN = """
+CREATE OR REPLACE TABLE turned AS
+WITH n AS (SELECT word, pos, tok, lead(tok) OVER w AS right_tok FROM long WINDOW w AS (PARTITION BY word ORDER BY pos)),
+p AS (SELECT n.word, n.pos, n.tok, m.rank FROM n LEFT JOIN merges m ON m.left_tok = n.tok AND m.right_tok = n.right_tok),
+q AS (
+    SELECT word, pos, tok, rank, row_number() OVER w AS i, lag(tok) OVER w AS tok_before, lead(tok, 2) OVER w AS tok_after, lead(rank, 2) OVER w AS next_rank,
+           coalesce(lag(rank) OVER w, 2147483647) AS before, coalesce(lead(rank) OVER w, 2147483647) AS after
+    FROM p WINDOW w AS (PARTITION BY word ORDER BY pos)
+),
+r AS (
+    SELECT *, max(CASE WHEN rank IS NULL OR before <> rank THEN 2 * i + (before > rank)::INT END) OVER (PARTITION BY word ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run
+    FROM q
+),
+v AS (
+    SELECT r.word, r.pos, r.rank, r.after, r.i, r.run, least(coalesce(x.rank, 2147483647), coalesce(y.rank, 2147483647), coalesce(z.rank, 2147483647)) AS formed
+    FROM r LEFT JOIN merges x ON x.left_tok = r.tok_before AND x.right_tok = r.rank LEFT JOIN merges y ON y.left_tok = r.rank AND y.right_tok = r.tok_after
+    LEFT JOIN merges z ON z.left_tok = r.rank AND z.right_tok = r.next_rank WHERE r.rank IS NOT NULL
+),
+l AS (SELECT *, min(formed) OVER (PARTITION BY word ORDER BY rank) AS least, min((rank::BIGINT << 32) | pos) OVER (PARTITION BY word) AS best FROM v),
+t AS (SELECT word, pos, rank FROM l WHERE rank < least AND run % 2 = 1 AND (i - run // 2) % 2 = 0 AND after >= rank OR rank >= least AND ((rank::BIGINT << 32) | pos) = best),
+open AS (SELECT DISTINCT word FROM t)
+SELECT word, pos, tok, done FROM (
+    SELECT p.word, p.pos, coalesce(t.rank, p.tok) AS tok, open.word IS NULL AS done, lag(t.rank) OVER (PARTITION BY p.word ORDER BY p.pos) IS NOT NULL AS gone
+    FROM p LEFT JOIN t ON t.word = p.word AND t.pos = p.pos LEFT JOIN open ON open.word = p.word
+) WHERE NOT gone
+"""
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """The vocabulary file: a token in base64 and its rank on each line."""
@@ -94,15 +133,15 @@ class Encoder:
             "pos": (np.arange(lengths.sum()) - np.repeat(starts, lengths)).astype(np.int32),
             "tok": self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)],
         })
-        rows = self.db.sql(
-            f"""
+        if lengths.max(initial=0) > LONG:
+            every = self.contracted(parts)
+        else:
+            every = f"""
             {_FIXPOINT}, every AS (
                 SELECT s.word, s.pos, s.tok FROM step s
                 JOIN (SELECT word, max(turn) AS turn FROM step GROUP BY word) l ON l.word = s.word AND l.turn = s.turn
-            )
-            SELECT e.word, e.tok, v.bytes FROM every e JOIN vocab v USING (tok) ORDER BY e.word, e.pos
-            """
-        ).to_arrow_table()
+            )"""
+        rows = self.db.sql(f"{every} SELECT e.word, e.tok, v.bytes FROM every e JOIN vocab v USING (tok) ORDER BY e.word, e.pos").to_arrow_table()
         ends = np.searchsorted(rows["word"].to_numpy(), np.arange(len(raw)), side="right")
         ids, tokens = rows["tok"].to_numpy().astype("<u4").tobytes(), rows["bytes"].combine_chunks().cast(pa.large_binary())
         if isinstance(tokens, pa.ChunkedArray):
@@ -112,21 +151,35 @@ class Encoder:
         places = at[cuts].tolist()
         return [(ids[4 * a : 4 * b], decoded[p:q]) for a, b, p, q in zip(cuts, cuts[1:], places, places[1:], strict=False)]
 
+    def contracted(self, parts: pa.Table) -> str:
+        """Contracts the words in the table `long`, whose finished words go to `coded`; the SQL that names these `every`."""
+        self.db.execute("CREATE OR REPLACE TABLE long AS SELECT word, pos, tok FROM parts")
+        self.db.execute("CREATE OR REPLACE TABLE coded (word INT, pos INT, tok INT)")
+        while self.db.execute("SELECT count(*) FROM long").fetchone()[0]:
+            self.db.execute(_TURN)
+            self.db.execute("INSERT INTO coded SELECT word, pos, tok FROM turned WHERE done")
+            self.db.execute("CREATE OR REPLACE TABLE long AS SELECT word, pos, tok FROM turned WHERE NOT done")
+        self.db.execute("DROP TABLE turned")
+        return "WITH every AS (FROM coded)"
+
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces, all their new words in a few recursive queries."""
         cut = {p: self.match.findall(p) for p in pieces}
         known = self.pieces
         coded: dict[str, tuple[bytes, bytes]] = {}
-        block: list[str] = []
-        size = 0
-        for w in sorted({w for ws in cut.values() for w in ws} - known.keys()):  # blocks of some 300,000 bytes bound the recursive query's tables
-            block.append(w)
-            size += len(w)
-            if size >= 300_000:
+        new = sorted({w for ws in cut.values() for w in ws} - known.keys())
+        far = [w for w in new if len(w) > LONG // 4 and len(w.encode()) > LONG]
+        for some in (sorted(set(new) - set(far)), far) if far else (new,):
+            block: list[str] = []
+            size = 0
+            for w in some:  # blocks of some 300,000 bytes bound the queries' tables
+                block.append(w)
+                size += len(w)
+                if size >= 300_000:
+                    coded.update(zip(block, self.words(block), strict=True))
+                    block, size = [], 0
+            if block:
                 coded.update(zip(block, self.words(block), strict=True))
-                block, size = [], 0
-        if block:
-            coded.update(zip(block, self.words(block), strict=True))
         known.update(coded)
         for p, ws in cut.items():
             if len(ws) > 1:

@@ -396,6 +396,22 @@ def test_html_layout(source, want):
     assert re.sub(r"\n\n+", "\n", got) == re.sub(r"\n\n+", "\n", want)
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<p class='hidden md:block'>a</p><p class=\"a hidden b\">b</p><p title='the hidden door'>c</p>", "a\nb\nc"),
+        ("<p style='overflow: hidden !important'>a</p><p data-css='display:none'>b</p><p aria-hidden='true'>c</p>", "a\nb\nc"),
+        ("<p hidden=''>no</p><p HIDDEN>no</p><p style='color:red; DISPLAY : none !important'>no</p><p style=visibility:hidden>no</p>yes", "yes"),
+        ("<p style='display:none;display:block'>a</p><p style='/*display:none*/'>b</p>", "a\nb"),
+        ("<svg><title>no</title><defs><text>no</text></defs><path d=''/><defs/><text>in <tspan>svg</tspan></text><text>b</text></svg>", "in svg b"),
+        ("<select><option>a<option selected>b<option>c</select>", "b"),
+        ("<select><option disabled>a<option>b</select><select multiple><option>c<option>d</select>", "b c\nd"),
+    ],
+)
+def test_html_shows_all_that_is_visible(source, want):
+    assert re.sub(r"\n\n+", "\n", html.text_of(source)) == want
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, None), (2, "<p>x"), (2, "<p>x")], "page_id long, html string").withColumn("text", F.lit(0))
     assert [tuple(r) for r in html.extract(pages).orderBy("page_id").collect()] == [(1, "", 0, 0), (2, "x", 1, 1), (2, "x", 1, 1)]

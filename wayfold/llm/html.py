@@ -7,8 +7,10 @@ own, paragraphs and headings are set apart by a blank line, list items carry the
 marker and nesting, table cells are padded to the width of their column.
 
 Invisible: head (but for nothing else than the title, which is not page text),
-script, style, template, noscript, hidden attributes, display:none and
-visibility:hidden styles, comments and declarations.
+script, style, template, noscript, elements with an attribute named hidden (but until-found), display:none
+and visibility:hidden declarations of a style attribute, an svg's title, desc, metadata and
+defs, comments and declarations. Of a select the shown options are visible: the last selected
+one or else the first that is not disabled; of a list box (multiple or size) all.
 
 Cases: null or empty HTML gives empty text. Unclosed, misnested and deeply nested
 tags never fail; the walk doesn't recurse. Text outside any tag is page text.
@@ -28,7 +30,8 @@ from wayfold.llm.frames import text_batches
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object svg math datalist audio video canvas select".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object math datalist audio video canvas".split())
+SVG_UNSEEN = frozenset("desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient".split())
 BLOCK = frozenset(
     "address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -45,7 +48,11 @@ CLOSES = {
 HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
-_HIDDEN = re.compile(r"(?:^|[\s/\"'])hidden(?=[\s/=>]|$)(?!\s*=\s*[\"']?until-found)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+_ATTR = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+_QUOTED = re.compile(r"\"(?:[^\"\\]|\\.)*(?:\"|\Z)|'(?:[^'\\]|\\.)*(?:'|\Z)", re.DOTALL)
+#: Attribute strings without these words can't hide anything.
+_MAYBE = re.compile(r"hidden|style", re.IGNORECASE)
 _START = re.compile(r"(?:^|\s)start\s*=\s*[\"']?(-?\d{1,9})", re.IGNORECASE)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
@@ -80,6 +87,9 @@ def parse(source: str) -> Node:
             stack[0].attrs += m[3] if name == "html" else ""
         else:
             attrs = m[3]
+            drawn = (attrs.endswith("/") or name in SVG_UNSEEN) and any(n.tag in ("svg", "math") for n in stack)
+            if drawn and name in SVG_UNSEEN:  # defines what is drawn elsewhere or not at all
+                attrs = f" hidden {attrs}"
             _open(stack, name)
             node = Node(name, attrs)
             stack[-1].kids.append(node)
@@ -87,7 +97,7 @@ def parse(source: str) -> Node:
                 end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
                 node.kids.append(source[at : end.start() if end else size])
                 at = end.end() if end else size
-            elif name not in VOID and not (attrs.endswith("/") and name in ("svg", "math")):
+            elif name not in VOID and not (attrs.endswith("/") and (drawn or name in ("svg", "math"))):
                 stack.append(node)
     return root
 
@@ -187,8 +197,58 @@ class Lines:
         return "\n".join(self.done).strip("\n")
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """Names in lower case and values; of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(raw):
+        out.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def _styled_away(style: str) -> bool:
+    """Whether the declarations of a style attribute, the last of each property or the important one, hide the element."""
+    last: dict[str, tuple[bool, str]] = {}
+    for part in _QUOTED.sub("''", _COMMENT.sub(" ", style)).split(";"):
+        name, colon, value = part.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        head, bang, tail = value.rpartition("!")
+        important = bool(bang) and tail.strip() == "important"
+        value = head.strip() if important else value
+        if colon and value and (important or not last.get(name, (False, ""))[0]):
+            last[name] = important, value
+    return last.get("display", (False, ""))[1] == "none" or last.get("visibility", (False, ""))[1] in ("hidden", "collapse")
+
+
 def _seen(node: Node) -> bool:
-    return node.tag not in UNSEEN and not (node.attrs and _HIDDEN.search(node.attrs))
+    if node.tag in UNSEEN:
+        return False
+    if not node.attrs or not _MAYBE.search(node.attrs):
+        return True
+    named = attributes(node.attrs)
+    if named.get("hidden", "until-found").strip().lower() != "until-found":
+        return False
+    return not _styled_away(named.get("style", ""))
+
+
+def _options(select: Node) -> list[Node]:
+    """The options that a select shows."""
+    options, stack = [], [(kid, False) for kid in reversed(select.kids)]
+    while stack:
+        kid, off = stack.pop()
+        if isinstance(kid, str):
+            continue
+        if kid.tag == "option":
+            options.append((kid, off))
+        elif _seen(kid):
+            off = off or kid.tag == "optgroup" and "disabled" in attributes(kid.attrs)
+            stack += [(k, off) for k in reversed(kid.kids)]
+    named = attributes(select.attrs)
+    size = named.get("size", "")
+    if "multiple" in named or size.isdecimal() and int(size) > 1:
+        return [o for o, _ in options if _seen(o)]
+    chosen = [o for o, _ in options if "selected" in attributes(o.attrs)]
+    free = [o for o, off in options if not off and "disabled" not in attributes(o.attrs)]
+    return chosen[-1:] or free[:1]
 
 
 def render(root: Node) -> str:
@@ -219,6 +279,24 @@ def render(root: Node) -> str:
                 continue
             if tag == "img":
                 continue
+            if tag == "text":  # of an svg, placed by itself
+                out.write(" ")
+            if tag == "select":
+                out.write(" ")
+                for k, option in enumerate(_options(node)):
+                    if k:
+                        out.end()
+                    label = attributes(option.attrs).get("label", "")
+                    shown, kids = [], list(reversed(option.kids))
+                    while kids:
+                        kid = kids.pop()
+                        if isinstance(kid, str):
+                            shown.append(kid)
+                        elif _seen(kid):
+                            kids += reversed(kid.kids)
+                    out.write(label or "".join(shown))
+                out.write(" ")
+                continue
             if tag == "textarea":
                 out.write(entities.unescape(node.kids[0]) if node.kids else "", keep=True)
                 continue

@@ -62,8 +62,9 @@ WITH RECURSIVE step(word, pos, tok, right_tok, right_pos, turn) AS (
 )
 """
 
-#: Words of more bytes than this are contracted by turns written back to a table.
-LONG = 64
+#: Words of more bytes than this are contracted by turns written back to a table. Blocks of
+#: shorter ones end at `SQUARES`, as the recursive query's rows grow with a word's square.
+LONG, SQUARES = 512, 6_000_000
 
 #: One turn over the current rows of long words. `least` is, over a word's present pairs up to
 #: a rank, the least rank of a pair that their contractions can form with what stands beside
@@ -171,13 +172,14 @@ class Encoder:
         far = [w for w in new if len(w) > LONG // 4 and len(w.encode()) > LONG]
         for some in (sorted(set(new) - set(far)), far) if far else (new,):
             block: list[str] = []
-            size = 0
+            size = squares = 0
             for w in some:  # blocks of some 300,000 bytes bound the queries' tables
                 block.append(w)
                 size += len(w)
-                if size >= 300_000:
+                squares += len(w.encode()) ** 2 if some is not far else 0
+                if size >= 300_000 or squares >= SQUARES:
                     coded.update(zip(block, self.words(block), strict=True))
-                    block, size = [], 0
+                    block, size, squares = [], 0, 0
             if block:
                 coded.update(zip(block, self.words(block), strict=True))
         known.update(coded)

@@ -124,3 +124,18 @@ def test_stores(spark):
     rows = spark.createDataFrame([("zoom", "1", 1), ("zoom", "3", 3), ("zoom", "2", 2)], "key string, value string, at int")
     assert store.upserted(rows, "key", "value", ["at"]).collect()[0].value == "3"
     assert [r.at for r in store.newest(rows, "at", "key", 2).collect()] == [3, 2]
+
+
+def test_nearest_node_far_away(spark):
+    """Points far from every node, and one whose own cells hold a farther node than the cells beyond."""
+    points = spark.createDataFrame([(1, 800_000_000, 1_700_000_000), (2, -450_000_000, -1_600_000_000), (3, 0, 1)], "point_id long, lat_e7 long, lon_e7 long")
+    nodes = spark.createDataFrame([(7, 430_000_000, 10_000_000), (8, 1, 5)], "node_id long, lat_e7 long, lon_e7 long")
+    got = {r.point_id: r.node_id for r in spatial.nearest_node(points, nodes, 1000).collect()}
+    assert set(got) == {1, 2, 3} and got[3] == 8 and got[1] == 7
+    assert spatial.nearest_node(points, nodes.limit(0), 1000).count() == 0
+
+
+def test_ways_in_a_circle_fail(spark):
+    found = spark.createDataFrame([(0, 1, 0, 2), (0, 2, 0, 1)], "origin long, node long, cost long, via long")
+    with pytest.raises(ValueError, match="circle"):
+        graph.ways(found, found.select("origin", "node").limit(1))

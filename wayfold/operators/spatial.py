@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfold.functions import geo, roads
+from wayfold.operators.graph import saved
 
 CELL_E7 = 100_000  # 0.01 degree
+MAP_E7 = 3_600_000_000
 
 
 def cell(e7: Column, size: int = CELL_E7) -> Column:
@@ -31,16 +33,17 @@ def segments(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct()
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, size: int = CELL_E7, max_rings: int = 512) -> DataFrame:
+def nearest_node(points: DataFrame, nodes: DataFrame, size: int = CELL_E7) -> DataFrame:
     """(point_id, node_id, distance_m): the nearest node of each point; ties to the smaller node.
 
     Points meet the nodes of the cells around them. A point is done when no node outside
-    the searched square can be nearer; the others search twice as far. Each round is one
-    equi-join on cells, over the points that are left.
+    the searched square can be nearer; the others search eight times as far, until cells as
+    wide as the map leave no node outside. Each round is one equi-join on cells, over the
+    points that are left.
     """
     held = nodes.select("node_id", F.col("lat_e7").alias("n_lat"), F.col("lon_e7").alias("n_lon"), cell(F.col("lat_e7"), size).alias("cy"), cell(F.col("lon_e7"), size).alias("cx"))
     open_ = points.select("point_id", "lat_e7", "lon_e7")
-    found, rings, side = [], 1, size
+    found, side = [], size
     while True:
         at = held.withColumn("cy", F.floor(F.col("n_lat") / side)).withColumn("cx", F.floor(F.col("n_lon") / side))
         around = F.sequence(F.lit(-1), F.lit(1))
@@ -50,13 +53,13 @@ def nearest_node(points: DataFrame, nodes: DataFrame, size: int = CELL_E7, max_r
         # A node outside the 3 x 3 square is at least one cell away, in latitude or in longitude at the square's outer parallel.
         k = F.cos(F.radians(F.least(F.lit(89.9), F.abs(F.col("lat_e7") / 1e7) + 2 * side / 1e7)))
         safe = F.lit(geo.EARTH_M * 3.141592653589793 / 180 * side / 1e7) * k * F.lit(0.999)
-        done = best.filter((F.col("b.d") <= safe) | F.lit(rings >= max_rings)).select("point_id", F.col("b.node_id").alias("node_id"), F.col("b.d").alias("distance_m"))
+        done = best.filter((F.col("b.d") <= safe) | F.lit(side >= MAP_E7)).select("point_id", F.col("b.node_id").alias("node_id"), F.col("b.d").alias("distance_m"))
+        done = saved(done)
         found.append(done)
-        if rings >= max_rings:
+        open_ = saved(open_.join(done.select("point_id"), "point_id", "left_anti"))
+        if side >= MAP_E7 or open_.isEmpty():
             break
-        left = open_.join(done.select("point_id"), "point_id", "left_anti")
-        rings, side = rings * 8, side * 8
-        open_ = left
+        side *= 8
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

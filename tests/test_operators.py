@@ -139,3 +139,18 @@ def test_ways_in_a_circle_fail(spark):
     found = spark.createDataFrame([(0, 1, 0, 2), (0, 2, 0, 1)], "origin long, node long, cost long, via long")
     with pytest.raises(ValueError, match="circle"):
         graph.ways(found, found.select("origin", "node").limit(1))
+
+
+def test_merged_search_drops_copies_before_the_cut(spark):
+    """A place repeated often leaves room for the others, and signs don't push a short name out."""
+    kind = "place_id long, name string, rank int, lat_e7 long, lon_e7 long"
+    copies = [(k, "blue", 9, 1, 1) for k in range(60)]
+    signed = [(100, "blue -- !! -- a", 5, 2, 2)] + [(200 + k, f"blue b{k:02d}", 5, 3 + k, 3) for k in range(30)]
+    left, right = spark.createDataFrame(copies + signed, kind), spark.createDataFrame([(500, "Blue", 9, 1, 1)], kind)
+    got = search.merged([left, right], "blue", 12).collect()
+    want = sorted({(r[1]): r for r in signed}.values(), key=lambda r: (len(normal(spark, r[1])), r[1], r[0]))
+    assert [r.place_id for r in got] == [0] + [r[0] for r in want[:11]]
+
+
+def normal(spark, name):
+    return one(spark, n=text.normalized(F.lit(name))).n

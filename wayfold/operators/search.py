@@ -6,30 +6,32 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wayfold.functions import text
 
 
+def _hits(places: DataFrame, query: str, least_chars: int) -> DataFrame:
+    """The places that a query finds, with `normalized` and `match`."""
+    asked = places.sparkSession.range(1).select(text.normalized(F.lit(query)).alias("q")).collect()[0].q or ""
+    named = places.withColumn("normalized", text.normalized(F.col("name")))
+    return named.withColumn("match", text.match_class(F.col("normalized"), asked)).filter(F.col("match").isNotNull() if len(asked) >= least_chars else F.lit(False))
+
+
 def search(places: DataFrame, query: str, limit: int = 8, least_chars: int = 2) -> DataFrame:
     """The best places for a query, with `match`: exact, then prefix, then contained; higher rank, shorter name, name, id.
 
     `query` is compared in normalised form; shorter ones than `least_chars` find nothing.
     """
-    spark = places.sparkSession
-    asked = spark.range(1).select(text.normalized(F.lit(query)).alias("q")).collect()[0].q or ""
-    named = places.withColumn("normalized", text.normalized(F.col("name")))
-    hits = named.withColumn("match", text.match_class(F.col("normalized"), asked)).filter(F.col("match").isNotNull() if len(asked) >= least_chars else F.lit(False))
-    return hits.orderBy("match", F.desc("rank"), F.length("name"), F.lower("name"), "place_id").limit(limit)
+    return _hits(places, query, least_chars).orderBy("match", F.desc("rank"), F.length("name"), F.lower("name"), "place_id").limit(limit)
 
 
 def merged(sources: list[DataFrame], query: str, limit: int = 8) -> DataFrame:
     """The best of several sources; a place found again at the same spot under the same name counts once, the earlier source's.
 
-    Each source is cut to `limit` plus what could be repeated of it before the union, so
-    only a few rows of each meet.
+    Copies go before the only cut, so a source's copies take no room from its other places.
     """
-    found = [search(s, query, limit * max(1, len(sources))).withColumn("source_no", F.lit(k)) for k, s in enumerate(sources)]
+    found = [_hits(s, query, 2).withColumn("source_no", F.lit(k)) for k, s in enumerate(sources)]
     rows = reduce(DataFrame.unionByName, found)
-    first = F.row_number().over(Window.partitionBy("lat_e7", "lon_e7", "normalized").orderBy("source_no", "place_id"))
-    return rows.withColumn("nth", first).filter("nth = 1").drop("nth").orderBy("match", F.desc("rank"), F.length("normalized"), "name", "place_id").limit(limit)
+    first = F.min_by(F.struct(*rows.columns), F.struct("source_no", "place_id")).alias("first")
+    once = rows.groupBy(F.col("lat_e7").alias("y"), F.col("lon_e7").alias("x"), F.col("normalized").alias("n")).agg(first).select("first.*")
+    return once.orderBy("match", F.desc("rank"), F.length("normalized"), "name", "place_id").limit(limit)

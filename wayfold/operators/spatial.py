@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfold.functions import geo, roads
-from wayfold.operators.graph import saved
+from wayfold.session import saved
 
 CELL_E7 = 100_000  # 0.01 degree
 MAP_E7 = 3_600_000_000

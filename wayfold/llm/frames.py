@@ -5,28 +5,17 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but blanks, tabs and line ends (fixed value of the contracts).
-WORD = r"[^\x20\x09-\x0D]+"
-
+from wayfold.session import saved, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; a temporary one only where the session names none."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
+__all__ = ["WORD", "let_go", "lower_ascii", "partitions", "remainder", "saved", "shared_folder", "text_batches", "words"]
 
-
-def saved(frame: DataFrame) -> DataFrame:
-    """The frame, written to the checkpoint folder and read from there."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint()
+#: A word: a run of anything but blanks, tabs and line ends (fixed value of the contracts).
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def text_batches(frame: DataFrame, rows: int = 1000) -> DataFrame:

@@ -5,10 +5,12 @@ met yet becomes rows (word, position, token) of a DuckDB table. One recursive qu
 joins neighbouring rows with the merge table and contracts, in every unfinished
 word, the leftmost pair of least rank, until no word has a pair left. Words of over `LONG` bytes
 are contracted turn by turn in a table that holds only their current rows, many pairs
-a turn, so that rows stay in proportion to the bytes. Ordered
-aggregation gives each word's ids and, through the vocabulary table, its decoded
-bytes. A task keeps what it has met in a bounded table, so that a word that returns
-is looked up; beyond the bound, words that did not return for long are let go.
+a turn, so that rows stay in proportion to the bytes. A task keeps the ids of what it has
+met in a bounded table, so that a word that returns is looked up; beyond the bound, words
+that did not return for long are let go.
+
+Decoding starts from a text's ids alone: their rows (text, position, token) join the
+vocabulary table, and ordered aggregation puts the bytes together, `SPAN` ids at a time.
 
 Cases: a null or empty text has no ids and decodes to nothing. Equal rows give
 equal results, row by row. Very long texts and words pass whole. Extra columns of
@@ -19,7 +21,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
+import tempfile
 from collections.abc import Iterator
 
 import duckdb
@@ -62,6 +66,9 @@ WITH RECURSIVE step(word, pos, tok, right_tok, right_pos, turn) AS (
 )
 """
 
+#: Ids decoded by one query.
+SPAN = 400_000
+
 #: Words of more bytes than this are contracted by turns written back to a table. Blocks of
 #: shorter ones end at `SQUARES`, as the recursive query's rows grow with a word's square.
 LONG, SQUARES = 512, 6_000_000
@@ -114,18 +121,20 @@ class Encoder:
         ranks = load_ranks(path)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.match, self.keep = regex.compile(pattern), keep
-        self.pieces: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{memory_mb}MB"})
+        # What one query of a very long word can't hold goes to the task's own scratch files, gone with the connection.
+        scratch = os.path.join(tempfile.gettempdir(), f"bpe-{os.getpid()}")
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{memory_mb}MB", "temp_directory": scratch})
         left, right, rank = (pa.array(c, pa.int32()) for c in zip(*pairs, strict=True))
         merges = pa.table({"left_tok": left, "right_tok": right, "rank": rank})  # noqa: F841  read by name below
         vocab = pa.table({"tok": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
-        self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab")
+        self.db.execute("CREATE TABLE vocab AS SELECT tok, hex(bytes) AS bytes FROM vocab")
 
-    def words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
-        """For each word its ids as little-endian unsigned 32-bit integers, and what they decode to."""
+    def words(self, words: list[str]) -> list[bytes]:
+        """For each word its ids as little-endian unsigned 32-bit integers."""
         raw = [w.encode() for w in words]
         lengths = np.array([len(b) for b in raw], np.int64)
         starts = np.cumsum(lengths) - lengths
@@ -142,15 +151,10 @@ class Encoder:
                 SELECT s.word, s.pos, s.tok FROM step s
                 JOIN (SELECT word, max(turn) AS turn FROM step GROUP BY word) l ON l.word = s.word AND l.turn = s.turn
             )"""
-        rows = self.db.sql(f"{every} SELECT e.word, e.tok, v.bytes FROM every e JOIN vocab v USING (tok) ORDER BY e.word, e.pos").to_arrow_table()
+        rows = self.db.sql(f"{every} SELECT word, tok FROM every ORDER BY word, pos").to_arrow_table()
         ends = np.searchsorted(rows["word"].to_numpy(), np.arange(len(raw)), side="right")
-        ids, tokens = rows["tok"].to_numpy().astype("<u4").tobytes(), rows["bytes"].combine_chunks().cast(pa.large_binary())
-        if isinstance(tokens, pa.ChunkedArray):
-            tokens = pa.concat_arrays(tokens.chunks) if tokens.num_chunks else pa.array([], pa.large_binary())
-        at = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset : tokens.offset + len(tokens) + 1]
-        decoded, cuts = tokens.buffers()[2].to_pybytes(), [0, *ends.tolist()]
-        places = at[cuts].tolist()
-        return [(ids[4 * a : 4 * b], decoded[p:q]) for a, b, p, q in zip(cuts, cuts[1:], places, places[1:], strict=False)]
+        ids, cuts = rows["tok"].to_numpy().astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def contracted(self, parts: pa.Table) -> str:
         """Contracts the words in the table `long`, whose finished words go to `coded`; the SQL that names these `every`."""
@@ -163,12 +167,17 @@ class Encoder:
         self.db.execute("DROP TABLE turned")
         return "WITH every AS (FROM coded)"
 
+    def cut(self, piece: str) -> list[str]:
+        """The pattern's matches of a piece; plain letters with at most one blank before them are one match."""
+        letters = piece[1:] if piece[0] == " " else piece
+        return [piece] if letters.isascii() and letters.isalpha() else self.match.findall(piece)
+
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces, all their new words in a few recursive queries."""
-        cut = {p: self.match.findall(p) for p in pieces}
+        cut = {p: ws for p in pieces if len(ws := self.cut(p)) > 1}
         known = self.pieces
-        coded: dict[str, tuple[bytes, bytes]] = {}
-        new = sorted({w for ws in cut.values() for w in ws} - known.keys())
+        coded: dict[str, bytes] = {}
+        new = sorted(({w for ws in cut.values() for w in ws} | (pieces - cut.keys())) - known.keys())
         far = [w for w in new if len(w) > LONG // 4 and len(w.encode()) > LONG]
         for some in (sorted(set(new) - set(far)), far) if far else (new,):
             block: list[str] = []
@@ -184,11 +193,10 @@ class Encoder:
                 coded.update(zip(block, self.words(block), strict=True))
         known.update(coded)
         for p, ws in cut.items():
-            if len(ws) > 1:
-                known[p] = tuple(map(b"".join, zip(*[known[w] for w in ws], strict=True)))
+            known[p] = b"".join([known[w] for w in ws])
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """For each text its ids and the bytes that they decode to."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids."""
         cut = [_PIECE.findall(t) for t in texts]
         if len(self.pieces) > self.keep:  # what the last generation didn't use goes
             self.old, self.pieces = self.pieces, {}
@@ -197,10 +205,26 @@ class Encoder:
         again = fresh & self.old.keys()
         self.pieces.update(zip(again, map(self.old.__getitem__, again), strict=True))
         self.learn(fresh - again)
-        known = self.pieces
-        for pieces in cut:
-            got = [known[p] for p in pieces]
-            yield b"".join([x[0] for x in got]), b"".join([x[1] for x in got])
+        return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in cut]
+
+    def decode(self, coded: list[bytes]) -> Iterator[bytes]:
+        """The bytes that ids stand for: a join with the vocabulary and an ordered aggregation for each span of at most `SPAN` ids."""
+        at = 0
+        while at < len(coded):
+            to, size = at + 1, len(coded[at]) // 4
+            while to < len(coded) and size + len(coded[to]) // 4 <= SPAN:
+                size += len(coded[to]) // 4
+                to += 1
+            sizes = [len(i) // 4 for i in coded[at:to]]
+            flat = np.frombuffer(b"".join(coded[at:to]), "<u4").astype(np.int32)
+            texts: list[list[bytes]] = [[] for _ in sizes]
+            owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            for a in range(0, size, SPAN):
+                rows = pa.table({"text": owner[a : a + SPAN], "pos": np.arange(a, min(size, a + SPAN)), "tok": flat[a : a + SPAN]})  # noqa: F841
+                for k, joined in self.db.execute("SELECT text, string_agg(bytes, '' ORDER BY pos) FROM rows JOIN vocab USING (tok) GROUP BY text").fetchall():
+                    texts[k].append(bytes.fromhex(joined))
+            yield from map(b"".join, texts)
+            at = to
 
 
 _CODERS: dict[str, Encoder] = {}
@@ -230,13 +254,15 @@ def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                rows = [(i if with_ids else None, len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest(), len(d)) for i, d in known.encode(texts)]
-                ids, n, sha, back, size = zip(*rows, strict=True)
+                coded = known.encode([t or "" for t in batch.column(1).to_pylist()])
+                decoded = [(hashlib.sha256(d).hexdigest(), len(d)) for d in known.decode(coded)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string()), pa.array(size, pa.int64())],
+                    [
+                        batch.column(0).cast(pa.int64()), pa.array(coded if with_ids else [None] * len(coded), pa.binary()), pa.array([len(i) // 4 for i in coded], pa.int64()),
+                        pa.array([hashlib.sha256(i).hexdigest() for i in coded], pa.string()), pa.array([d for d, _ in decoded], pa.string()), pa.array([n for _, n in decoded], pa.int64()),
+                    ],
                     names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
-                )
+                )
 
         finish(path)
 
@@ -244,7 +270,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True
 
 
 def decode(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, ids) back to (doc_id, text): DuckDB joins the ids with the vocabulary and aggregates in order."""
+    """(doc_id, ids) back to (doc_id, text)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path = vocabulary or public_tokenizers.path(VOCABULARY)
@@ -252,11 +278,7 @@ def decode(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for frame in frames:
             for at in range(0, len(frame), 64):
                 part = frame.iloc[at : at + 64]
-                ids = [np.frombuffer(i or b"", "<u4").astype(np.int32) for i in part["ids"]]
-                sizes = [len(i) for i in ids]
-                rows = pa.table({"doc": np.repeat(np.arange(len(ids)), sizes), "pos": np.concatenate([np.arange(s) for s in sizes] or [[]]).astype(np.int64), "tok": np.concatenate(ids).astype(np.int32)})  # noqa: F841
-                got = dict(known.db.execute("SELECT doc, list(bytes ORDER BY pos) FROM rows JOIN vocab USING (tok) GROUP BY doc").fetchall())
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "text": [b"".join(got.get(k, [])).decode("utf-8", "replace") for k in range(len(ids))]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "text": [d.decode("utf-8", "replace") for d in known.decode([i or b"" for i in part["ids"]])]})
         finish(path)
 
     return tokens.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")

@@ -50,7 +50,7 @@ def test_line_dedup(stages):
     held = Counter((r.source, line) for r in before.values() for line in {x.strip(" ") for x in r.text.split("\n")} - {""})
     for r in stages[2].collect():
         old = before[r.doc_id]
-        kept = [x for x in old.text.split("\n") if not x.strip(" ") or not (held[old.source, x.strip(" ")] >= 5 and held[old.source, x.strip(" ")] > 0.05 * pages[old.source])]
+        kept = [x for x in old.text.split("\n") if not x.strip(" ") or not (held[old.source, x.strip(" ")] > 1 and held[old.source, x.strip(" ")] > 0.05 * pages[old.source])]
         assert r.text == "\n".join(kept) and r.n_chars == len(r.text)
 
 

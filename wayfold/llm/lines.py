@@ -1,14 +1,16 @@
 """Line dedup by site-relative frequency.
 
 Pages are grouped by host. A line's ratio is the number of the host's pages that
-hold it over the host's page total; lines above `ratio` on at least `least` pages
-are boilerplate of that host and are dropped from its pages.
+hold it over the host's page total; lines above `ratio` are boilerplate of that host and
+are dropped from its pages. A line that one page alone holds repeats nothing and stays,
+so a host of one page keeps all its lines.
 
 The plan counts (host, line digest) with partial aggregation, so that a host or a
 line with a third of all rows arrives as one partial count per task. A host has at
 most (mean lines per page / ratio) boilerplate lines, so its list is a short array
-that joins the pages by host. The lists are counted first: up to `BROADCAST_LINES`
-lines in all they are broadcast, beyond that Spark joins by host and splits a skewed one.
+that joins the pages by host, and meets a page's lines in one hashed intersection. The lists
+are counted first: up to `BROADCAST_LINES` lines in all they are broadcast, beyond that
+Spark joins by host and splits a skewed one.
 
 Cases: a null text stays null with no lines. A page with the same line twice counts
 once. Blank lines are never counted or dropped. Pages without a host (null) form one
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.frames import saved
 
-RATIO, LEAST, BROADCAST_LINES = 0.05, 5, 100_000
+RATIO, BROADCAST_LINES = 0.05, 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -31,32 +33,41 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
 
 
-def _digest(line: Column) -> Column:
-    """96 bits: two lines of a host are told apart at any scale."""
-    line = F.trim(line)
-    return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))
+#: What is no text of a page, and the tags that end a line, as patterns that Java and RE2 read alike.
+_NO_TEXT = r"(?is)<!--.*?-->|<(?:script|style|noscript|template|head)(?:\s[^>]*)?>.*?</(?:script|style|noscript|template|head)\s*>"
+_ENDS_LINE = r"(?i)</?(?:p|div|li|ul|ol|br|tr|table|h[1-6]|section|article|header|footer|nav|aside|main|blockquote|pre|td|th|dd|dt|dl|form|hr|body|html)(?:\s[^>]*)?/?>"
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def lines_of_html(html: Column) -> Column:
+    """The text of a page by its block tags, a line each; entities stay as they are written."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, _NO_TEXT, ""), _ENDS_LINE, "\n"), "<[^>]*>", "")
+
+
+def _digests(lines: Column) -> Column:
+    return F.transform(lines, lambda x: F.xxhash64(F.trim(x)))
+
+
+def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO) -> DataFrame:
     """(host, drop): for each host that has any, the digests of its boilerplate lines."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    seen = pages.select(host.alias("host"), F.explode(F.array_distinct(F.transform(lines, _digest))).alias("line"))
+    seen = pages.select(host.alias("host"), F.explode(F.array_distinct(_digests(lines))).alias("line"))
     totals = pages.groupBy(host.alias("host")).agg(F.count("*").alias("pages"))
-    counts = seen.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    counts = seen.groupBy("host", "line").agg(F.count("*").alias("n")).filter("n > 1")
     # Totals are one row per host. A line's own count is compared after the join; hosts are few against lines.
     often = counts.alias("c").join(totals.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host"))).filter(F.col("n") > ratio * F.col("pages"))
     return often.groupBy("c.host").agg(F.collect_list("line").alias("drop"))
 
 
-def dedup(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def dedup(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO) -> DataFrame:
     """The pages with boilerplate lines dropped from the text, and n_lines and n_dropped beside."""
     text = F.col(text_col)
-    drops = saved(boilerplate(pages, host, text, ratio, least).toDF("__host", "__drop"))
+    drops = saved(boilerplate(pages, host, text, ratio).toDF("__host", "__drop"))
     if (drops.agg(F.sum(F.size("__drop"))).collect()[0][0] or 0) <= BROADCAST_LINES and drops.count() <= BROADCAST_LINES:
         drops = F.broadcast(drops)  # and the pages stay where they are
     parted = F.split(text, "\n")
-    kept = F.filter(parted, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__drop"), _digest(x)))
-    joined = pages.join(drops, host.eqNullSafe(F.col("__host")), "left").withColumns(
+    kept = F.filter(parted, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__here"), F.xxhash64(F.trim(x))))
+    found = pages.join(drops, host.eqNullSafe(F.col("__host")), "left").withColumn("__here", F.array_intersect(_digests(parted), F.col("__drop")))
+    joined = found.withColumns(
         {"n_lines": F.coalesce(F.size(parted), F.lit(0)), "__kept": F.when(F.col("__drop").isNull(), parted).otherwise(kept)}
     )
-    return joined.withColumns({"n_dropped": F.when(text.isNull(), 0).otherwise(F.col("n_lines") - F.size("__kept")), text_col: F.when(F.col("__drop").isNull(), text).otherwise(F.array_join("__kept", "\n"))}).drop("__host", "__drop", "__kept")
+    return joined.withColumns({"n_dropped": F.when(text.isNull(), 0).otherwise(F.col("n_lines") - F.size("__kept")), text_col: F.when(F.col("__drop").isNull(), text).otherwise(F.array_join("__kept", "\n"))}).drop("__host", "__drop", "__here", "__kept")

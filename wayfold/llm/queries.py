@@ -29,8 +29,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return lines.dedup(docs, F.col("source")).select("doc_id", "source", "text", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"))
+    pages = table(spark, sf_dir, "pages").select("page_id", lines.host_of(F.col("url")).alias("host"), lines.lines_of_html(F.col("html")).alias("text"))
+    return lines.dedup(pages, F.col("host")).withColumns({n: F.col(n).cast("long") for n in ("n_lines", "n_dropped")})
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,20 +65,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_html": op10_html,
 }
-_OP5 = """
-WITH parted AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls, row_number() OVER () AS r FROM documents),
-seen AS (SELECT DISTINCT r, source, trim(l) AS line FROM (SELECT r, source, unnest(ls) AS l FROM parted) WHERE trim(l) <> ''),
-totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+_OP5 = r"""
+WITH texts AS (
+    SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host, regexp_replace(regexp_replace(regexp_replace(html,
+        '(?is)<!--.*?-->|<(?:script|style|noscript|template|head)(?:\s[^>]*)?>.*?</(?:script|style|noscript|template|head)\s*>', '', 'g'),
+        '(?i)</?(?:p|div|li|ul|ol|br|tr|table|h[1-6]|section|article|header|footer|nav|aside|main|blockquote|pre|td|th|dd|dt|dl|form|hr|body|html)(?:\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS text
+    FROM pages
+),
+parted AS (SELECT *, string_split(text, chr(10)) AS ls, row_number() OVER () AS r FROM texts),
+seen AS (SELECT DISTINCT r, host, trim(l) AS line FROM (SELECT r, host, unnest(ls) AS l FROM parted) WHERE trim(l) <> ''),
+totals AS (SELECT host, count(*) AS pages FROM texts GROUP BY host),
 often AS (
-    SELECT c.source, c.line FROM (SELECT source, line, count(*) AS n FROM seen GROUP BY source, line) c
-    JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 5 AND n > 0.05 * pages
+    SELECT c.host, c.line FROM (SELECT host, line, count(*) AS n FROM seen GROUP BY host, line) c
+    JOIN totals t ON c.host IS NOT DISTINCT FROM t.host WHERE n > 1 AND n > 0.05 * pages
 ),
-drops AS (SELECT source, list(line) AS gone FROM often GROUP BY source),
+drops AS (SELECT host, list(line) AS gone FROM often GROUP BY host),
 kept AS (
-    SELECT p.doc_id, p.source, p.text, p.ls, CASE WHEN d.gone IS NULL THEN p.ls ELSE list_filter(p.ls, lambda l: trim(l) = '' OR NOT list_contains(d.gone, trim(l))) END AS keep
-    FROM parted p LEFT JOIN drops d ON p.source IS NOT DISTINCT FROM d.source
+    SELECT p.page_id, p.host, p.text, p.ls, CASE WHEN d.gone IS NULL THEN p.ls ELSE list_filter(p.ls, lambda l: trim(l) = '' OR NOT list_contains(d.gone, trim(l))) END AS keep
+    FROM parted p LEFT JOIN drops d ON p.host IS NOT DISTINCT FROM d.host
 )
-SELECT doc_id, source, array_to_string(keep, chr(10)) AS text, coalesce(len(ls), 0) AS n_lines, coalesce(len(ls) - len(keep), 0) AS n_dropped FROM kept
+SELECT page_id, host, array_to_string(keep, chr(10)) AS text, coalesce(len(ls), 0) AS n_lines, coalesce(len(ls) - len(keep), 0) AS n_dropped FROM kept
 """
 
 _OP7 = r"""

@@ -1,18 +1,18 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-A document's words are cut into blocks. A source's target in words is met by whole
-epochs of its blocks and a last part epoch; each epoch is an own pseudo-random
-permutation of the source's blocks, of which the part epoch takes the first ones (the
-last of them cut to size). The block quotas of all sources are then split between the
-output shards by a binary tree: at each node the left half receives its exact number of
-blocks, drawn by the multivariate hypergeometric law, and the right half the rest.
-Each shard so owns disjoint runs of every source's permutation; within a shard, rows
-are put in the order of a hash.
+A document's words are cut into blocks. A source's target in words is a quota of its
+blocks: whole epochs and a last part epoch, each an own pseudo-random permutation of the
+source's blocks. The quotas of all sources are split between the output shards by a binary
+tree: at each node the left half receives its exact number of blocks, drawn by the
+multivariate hypergeometric law, and the right half the rest. A shard then draws, of each
+source, the run of the permuted blocks that the tree gives it: what no run covers is not
+taken, and no block of an epoch is taken twice. The block that meets the target is cut to
+size. Within a shard, rows are put in the order of a hash.
 
 Only numbers by source (and by source and shard) pass the driver: a documented bound
 of `MAX_SOURCES` sources. Ranks and running sums within a source come from a histogram
-over hash ranges and a window inside each range, so that a source with a third of all
-rows is spread over all tasks.
+over hash ranges, as many as the blocks need, and a window inside each range, so that a
+source with a third of all rows is spread over all tasks.
 
 Cases: a null text has size 0, and a document of size 0 gives nothing. Null is a
 source, the last one. Repeated rows are copies with blocks of their own. Results depend
@@ -30,7 +30,7 @@ from wayfold.llm.frames import WORD, saved
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
-BLOCK_WORDS, RANGES, SHARDS = 256, 1024, 64
+BLOCK_WORDS, PER_RANGE, SHARDS = 256, 100_000, 64
 MAX_SOURCES = 1_000_000
 KEY = ("doc_id", "source", "text_key", "copy")
 
@@ -103,9 +103,11 @@ def plan(rows: DataFrame) -> DataFrame:
     return spark.createDataFrame([(r.source, k, r.source_size, goal[k]) for k, r in enumerate(found)], "source string, source_no int, source_size long, target double")
 
 
-def blocks(rows: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, ranges: int = RANGES, seed: int = 7) -> DataFrame:
-    """The blocks that the mix takes, each with its place in the permutation of its source and epoch."""
-    of = sources.select(F.col("source").alias("s"), "source_no", F.floor(F.try_divide("target", "source_size")).cast("int").alias("whole"), F.col("source_size"), F.col("target"))
+def permuted(rows: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
+    """All blocks of the epochs that the targets reach, with rank and words before in the permutation of source and epoch, and `wanted`: the words up to the target."""
+    # Sources are a table that the driver made, at most `MAX_SOURCES` rows: small enough to send to every task.
+    of = F.broadcast(sources.select(F.col("source").alias("s"), "source_no", F.floor(F.try_divide("target", "source_size")).cast("int").alias("whole"), F.col("source_size"), F.col("target")))
+    bits = max(10, (int(rows.agg(F.sum(F.col("size") / block_words + 1)).collect()[0][0] or 0) // PER_RANGE).bit_length())
     cut = (
         rows.filter("size > 0")
         .join(of, F.col("source").eqNullSafe(F.col("s")))
@@ -115,7 +117,7 @@ def blocks(rows: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS,
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((size - 1) DIV {block_words} AS INT)"))))
         .withColumn("n_words", F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block") * block_words))
         .withColumn("h", F.xxhash64("doc_id", "text_key", "copy", "block", "epoch", F.lit(seed)))
-        .withColumn("range", F.pmod(F.shiftrightunsigned("h", 20), F.lit(ranges)))
+        .withColumn("range", F.shiftright("h", 64 - bits))  # ranges in the order of h, whatever their number
     )
     order = Window.partitionBy("source_no", "epoch").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     histogram = cut.groupBy("source_no", "epoch", "range").agg(F.sum("n_words").alias("w"), F.count("*").alias("n"))
@@ -125,68 +127,71 @@ def blocks(rows: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS,
     return (
         cut.join(before, ["source_no", "epoch", "range"])
         .withColumns({"start": start, "rank": F.col("n0") + F.coalesce(F.count("*").over(within), F.lit(0))})
-        .withColumn("n_words", F.when(F.col("epoch") < F.col("whole"), F.col("n_words")).otherwise(F.least("n_words", F.col("rest") - F.col("start"))))
-        .filter("n_words > 0")
-        .select(*KEY, "source_no", "epoch", "block", "n_words", "rank", (F.col("block") * block_words).cast("long").alias("first_word"))
+        .withColumn("wanted", F.when(F.col("epoch") < F.col("whole"), F.col("n_words")).otherwise(F.least("n_words", F.col("rest") - F.col("start"))))
+        .select(*KEY, "source_no", "epoch", "block", "wanted", "rank", (F.col("block") * block_words).cast("long").alias("first_word"))
     )
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(rows, taken): the documents in slim form with their source's size and target, and the blocks taken.
+    """(rows, taken): the documents in slim form with their source's size and target, and the blocks that the shards draw.
 
     taken has doc_id, source, text_key, copy, epoch, block, first_word, n_words, shard and place,
     by which the shard's rows are shuffled.
     """
     rows = saved(sized(docs))
     sources = plan(rows)
-    taken = saved(blocks(rows, sources, block_words, seed=seed))
-    drawn = {(r.source_no, r.epoch): r.n for r in taken.groupBy("source_no", "epoch").agg(F.count("*").alias("n")).collect()}
-    epochs = sorted(drawn)
-    numbers = sorted({k for k, _ in epochs})
-    per_shard = split([sum(n for (k, _), n in drawn.items() if k == no) for no in numbers], shards, seed)
-    #: A source's blocks run through its epochs; a shard owns a run of them.
-    offset, so_far = [], dict.fromkeys(numbers, 0)
-    for k, e in epochs:
-        offset.append((k, e, so_far[k]))
-        so_far[k] += drawn[k, e]
-    bounds = [(no, np.cumsum([q[k] for q in per_shard]).tolist()) for k, no in enumerate(numbers)]
+    every = saved(permuted(rows, sources, block_words, seed=seed))
+    counts = every.groupBy("source_no", "epoch").agg(F.count("*").alias("n"), F.count_if(F.col("wanted") > 0).alias("quota")).collect()
+    epochs = sorted((r.source_no, r.epoch, r.n, r.quota) for r in counts)
+    numbers = sorted({e[0] for e in epochs})
+    quota = dict.fromkeys(numbers, 0)
+    offset = []  # a source's blocks run through its epochs; a shard owns a run of them
+    for no, epoch, _, wanted in epochs:
+        offset.append((no, epoch, quota[no]))
+        quota[no] += wanted
+    per_shard = split([quota[no] for no in numbers], shards, seed)
+    runs = [(no, np.cumsum([q[k] for q in per_shard]).tolist()) for k, no in enumerate(numbers)]
     spark = docs.sparkSession
-    offsets = spark.createDataFrame(offset, "source_no int, epoch int, offset long")
-    ends = spark.createDataFrame(bounds, "source_no int, ends array<long>")
-    placed = (
-        taken.join(offsets, ["source_no", "epoch"])
+    offsets = F.broadcast(spark.createDataFrame(offset, "source_no int, epoch int, offset long"))
+    ends = F.broadcast(spark.createDataFrame(runs, "source_no int, ends array<long>"))
+    drawn = (
+        every.join(offsets, ["source_no", "epoch"])
         .join(ends, "source_no")
         .withColumn("at", F.col("offset") + F.col("rank"))
         .withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("at"))))
+        .filter(F.col("shard") < shards)
         .withColumn("place", F.xxhash64("shard", "doc_id", "text_key", "copy", "epoch", "block", F.lit(seed)))
-        .select(*KEY, "epoch", "block", "first_word", "n_words", "shard", "place")
+        .select(*KEY, "epoch", "block", "first_word", F.col("wanted").alias("n_words"), "shard", "place")
     )
-    return rows.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), placed
+    return rows.join(F.broadcast(sources.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s"), drawn
 
 
 def taken_by_document(docs: DataFrame) -> DataFrame:
-    """Each document's size, its source's size and target, and the words that the mix takes of it."""
+    """Each document's size, its source's size and target, the words and blocks that the shards draw of it, and which shards do."""
     rows, taken = mix(docs)
-    left, right = rows.alias("l"), taken.groupBy(*KEY).agg(F.sum("n_words").alias("taken"), F.count("*").alias("n_blocks")).alias("r")
+    by_shard = taken.groupBy(*KEY, "shard").agg(F.sum("n_words").alias("taken"), F.count("*").alias("n_blocks"))
+    by_row = by_shard.groupBy(*KEY).agg(F.sum("taken").alias("taken"), F.sum("n_blocks").alias("n_blocks"), F.sort_array(F.collect_list("shard")).alias("shards"))
+    left, right = rows.alias("l"), by_row.alias("r")
     same = F.lit(True)
     for c in KEY:
         same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
     return left.join(right, same, "left").select(
-        F.col("l.doc_id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_blocks", F.lit(0)).alias("n_blocks")
+        F.col("l.doc_id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), F.array_join(F.coalesce("shards", F.array().cast("array<int>")), ",").alias("shards")
     )
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents as the mix takes them: one row per document and epoch, the text cut to the words taken.
+    """The documents as the shards draw them: one row per document, epoch and shard, with the words of the shard's blocks.
 
-    A document that an epoch takes whole keeps its text as it is; of others, the words
-    taken are joined by blanks, in their order. n_chars is the new text's; the columns are those of `docs`.
+    Rows come by shard, and within a shard in the order of `place`. Where a shard draws all of a
+    document, the text stays as it is; of others, the words taken are joined by blanks, in
+    their order. n_chars is the new text's; the columns are those of `docs`.
     """
     columns = docs.columns
     _, taken = mix(docs)
     text_key = F.xxhash64("text").alias("text_key")
-    parts = taken.groupBy(*KEY, "epoch").agg(F.sum("n_words").alias("__took"), F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("__parts"))
-    parts = parts.select(*[F.col(c).alias(f"__{c}") for c in (*KEY, "epoch")], "__took", "__parts")
+    parts = taken.groupBy(*KEY, "epoch", "shard").agg(F.sum("n_words").alias("__took"), F.min("place").alias("__place"), F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("__parts"))
+    parts = parts.select(*[F.col(c).alias(f"__{c}") for c in (*KEY, "epoch", "shard")], "__took", "__place", "__parts")
     numbered = docs.withColumn("__key", text_key).withColumn("__no", F.row_number().over(Window.partitionBy("doc_id", "source", "__key").orderBy(F.lit(0))))
     joined = numbered.join(
         parts,
@@ -198,14 +203,5 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     out = out.withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(F.array_join(pieces, " ")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
-
-
-def shards(docs: DataFrame) -> DataFrame:
-    """The mix as training rows: (shard, place, doc_id, epoch, block, text), each shard in the order of `place`."""
-    _, taken = mix(docs)
-    texts = docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), "text").dropDuplicates(["doc_id", "source", "text_key"]).toDF("d", "s", "k", "text")
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), 0)
-    joined = taken.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("text_key") == F.col("k")))
-    rows = joined.select("shard", "place", "doc_id", "epoch", "block", F.array_join(F.slice(words, (F.col("first_word") + 1).cast("int"), F.col("n_words").cast("int")), " ").alias("text"))
-    return rows.repartition("shard").sortWithinPartitions("shard", "place")
+    # A shard may be large: its rows go to as many tasks as there are ranges of `place`.
+    return out.select(*columns, "__shard", "__place").repartition("__shard", F.shiftright("__place", 54)).sortWithinPartitions("__shard", "__place").select(*columns)

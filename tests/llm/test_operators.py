@@ -178,15 +178,31 @@ def test_pii_table(spark, odd):
 
 
 def test_lines_drop_by_site(spark):
-    rows = [(k, f"u{k} own\nfooter\n\nfooter", "a" if k < 6 else "b" if k < 8 else None) for k in range(10)] + [(10, None, "a"), (11, "", "a")]
+    rows = [(k, f"u{k} own\nfooter\n\nfooter", "a" if k < 6 else "b" if k < 8 else None) for k in range(10)] + [(10, None, "a"), (11, "", "a"), (12, "alone\nfooter", "c")]
     pages = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("line", F.lit(1)).withColumn("host", F.lit(2))
-    got = {r.doc_id: r for r in lines.dedup(pages, F.col("source"), ratio=0.5, least=5).collect()}
-    assert got[0].text == "u0 own\n" and got[0].n_dropped == 2 and got[7].n_dropped == 0 and got[9].n_dropped == 0
+    got = {r.doc_id: r for r in lines.dedup(pages, F.col("source"), ratio=0.5).collect()}
+    assert got[0].text == "u0 own\n" and got[0].n_dropped == 2 and got[7].n_dropped == 2 and got[9].n_dropped == 2
     assert got[10].text is None and got[10].n_lines == 0 and got[11].text == ""
+    assert got[12].text == "alone\nfooter" and got[12].n_dropped == 0
     assert lines.dedup(pages.limit(0), F.col("source")).count() == 0
     assert spark.range(1).select(lines.host_of(F.lit("https://me@WWW.Ex.org:80/x"))).collect()[0][0] == "www.ex.org"
 
 
+def test_lines_of_repeated_rows_and_long_texts(spark):
+    """Repeated rows are pages of their own; a very long text keeps its own lines and loses the site's."""
+    long = "\n".join([f"line {k}" for k in range(20_000)] + ["footer"])
+    rows = [(1, long, "a"), (2, "x\nfooter", "a"), (3, "y", "a"), (3, "y", "a"), (4, "z", "a"), (5, "w", "a")]
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"), F.col("source"), ratio=0.3).collect()
+    assert len(got) == 6 and {r.doc_id: r.n_dropped for r in got} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0}
+    assert next(r.text for r in got if r.doc_id == 1) == long.removesuffix("\nfooter")
+
+
+def test_lines_of_pages(spark):
+    html = "<html><head><title>no</title></head><body class='x'><script>var a='<p>';</script><p>one <b>two</b><P>three<br/>four<!-- <p>no --><table><tr><td>a</td></tr></table>"
+    got = spark.createDataFrame([(html,), (None,)], "html string").select(lines.lines_of_html(F.col("html")).alias("t")).collect()
+    assert [x for x in got[0].t.split("\n") if x] == ["one two", "three", "four", "a"] and got[1].t is None
+
+
 # 6 ------------------------------------------------------------------------------------------------
 
 
@@ -202,25 +218,139 @@ def test_lm_counts_and_model(spark):
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws)) and r.score < 0
 
 
-def test_lm_each_id_scored_once_and_normalised():
-    model = lm.train([np.array([5, 6, 7, 5, 6, 7] * 20)], steps=20)
-    model = lm.with_counts(model, np.array([lm.START * lm.SIZE + 5]), np.array([3.0]))
-    mass = sum(10 ** float(lm.log10_probabilities(model, [np.array([], "<u4")])[0]) for _ in range(1))
-    assert 0 < mass < 1
-    marked = np.array([5 | lm.BEGINS, 6, 7] * 30, "<u4")
-    whole = lm.log10_probabilities(model, [marked, marked])
-    assert whole[0] == pytest.approx(whole[1]) and np.isfinite(whole).all()
-    ids, real, goal, _ = lm.windows([np.array([5, 6, 7] * 30)])
-    assert (goal >= 0).sum() == 91 and real[0, : lm.HALF].sum() == 0
-    logits, _ = lm.forward(model.params, ids, real)
-    prob = np.exp(logits - logits.max(-1, keepdims=True))
+@pytest.fixture(scope="module")
+def small_lm():
+    """A model with trained attention and counts of a few words, and the vocabulary's path."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(lm.VOCABULARY)
+    _, begins = lm.known_vocabulary(path)
+    found = text_words("the quick brown fox jumps over the lazy dog and runs away from antidisestablishmentarianism \u00e9t\u00e9 " * 4)
+    ids, first = lm.coded([w.encode() for w in found], path)
+    count = np.bincount(ids, minlength=lm.SIZE).astype(float)
+    cls = lm.classes(np.random.default_rng(0).random((lm.SIZE, 2 * lm.SLOTS + 2)).astype(np.float32), count, begins)
+    cls[ids] = np.where(begins[ids], 1 + ids % lm.BEGINNING, 1 + lm.BEGINNING + ids % (lm.CLASSES - 1 - lm.BEGINNING))
+    sym = lm.OWN + cls
+    sym[np.unique(ids)[: lm.OWN]] = np.arange(min(lm.OWN, len(np.unique(ids))))
+    sym[lm.END] = lm.AT_END
+    inside = np.flatnonzero(~first)
+    model = lm.with_counts(lm.start(np.bincount(cls, count, lm.CLASSES)), cls, sym, begins, count, sym[ids[inside - 1]], ids[inside], np.ones(len(inside)))
+    inputs, goal, _ = lm.blocks_of(sym[ids].astype(np.uint8), cls[ids].astype(np.uint8), np.array([len(ids)]))
+    held = inputs.reshape(-1, lm.HALF)
+    windows = np.concatenate([np.concatenate([np.full((1, lm.HALF), lm.PAD, np.uint8), held[:-1]]), held], 1)
+    words_, many = np.unique(found, return_counts=True)
+    model.keys, model.held = lm.prefix_tree([w.encode() for w in words_], many.astype(float), path)
+    model.ends = 3.0
+    model.params = lm.train(model.params, np.tile(windows, (40, 1)), np.tile(np.where(goal == 255, -1, goal.astype(int)).reshape(-1, lm.HALF), (40, 1)))
+    return model, path, ids
+
+
+def steps_of(model, path, seqs):
+    """log10 p of each id and of the end of each sequence of ids, by the path that scores texts: words are cut where ids begin them."""
+    bpe, begins = lm.known_vocabulary(path)
+    known = lm.Coded(model, path)
+    known.most = 0
+    out = []
+    for s in seqs:
+        out.append(lm.steps(model, known, *forced(known, np.asarray(s, np.int64), begins)))
+    return out
+
+
+def forced(known, ids, begins):
+    """The ids as words of the table, whether or not their letters would be coded so."""
+    known.reset()
+    if not len(ids):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 1
+    starts = np.flatnonzero(begins[ids])
+    assert starts[0] == 0
+    parts = np.split(ids, starts[1:])
+    keep, lm.coded = lm.coded, lambda found, path: (ids, begins[ids])
+    try:
+        numbers = known.numbers([str(k).encode() for k in range(len(parts))])
+    finally:
+        lm.coded = keep
+    return numbers, np.zeros(len(numbers), np.int64), 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 31, 32, 33, 47, 64])
+def test_lm_mass_is_one(small_lm, n):
+    """In many contexts the probabilities of all ids and of the end sum to 1: those of all ids in a row, taken from one batch."""
+    model, path, ids = small_lm
+    begins = lm.known_vocabulary(path)[1]
+    prefix = ids[:n]
+    mass = 10.0 ** steps_of(model, path, [prefix])[0][1][0]
+    # Each text is the prefix's words, of which the last goes on with one id or another word begins with it.
+    last = np.flatnonzero(begins[prefix])[-1]
+    head, tail = prefix[:last], prefix[last:]
+    known = lm.Coded(model, path)
+    every = np.arange(lm.END)
+    texts = [np.concatenate((tail, [k])) for k in every]
+    flat = np.concatenate([head, *texts]).astype(np.int64)
+    first = np.zeros(len(flat), bool)
+    first[np.flatnonzero(begins[head])] = True
+    at = len(head) + np.arange(len(every)) * (len(tail) + 1)
+    first[at] = True
+    first[at + len(tail)] = begins[every]
+    keep, lm.coded = lm.coded, lambda found, path: (flat, first)
+    try:
+        made = known.numbers([str(k).encode() for k in range(int(first.sum()))])
+    finally:
+        lm.coded = keep
+    heads = made[: int(begins[head].sum())]
+    rest, more = made[len(heads) :], 1 + begins[every].astype(int)
+    ends = np.cumsum(more)
+    numbers = np.concatenate([np.concatenate((heads, rest[a:b])) for a, b in zip(ends - more, ends, strict=True)])
+    owner = np.repeat(np.arange(len(every)), len(heads) + more)
+    by_id, _ = lm.steps(model, known, numbers, owner, len(every))
+    mass += (10.0 ** by_id[n :: n + 1]).sum()
+    assert mass == pytest.approx(1, abs=3e-4)
+
+
+def test_lm_scoring_equals_the_trained_function(small_lm):
+    """Each id is scored once, as `forward` gives it on the windows that overlap by half."""
+    model, path, ids = small_lm
+    inputs, goal, first = lm.blocks_of(model.sym[ids].astype(np.uint8), model.cls[ids].astype(np.uint8), np.array([len(ids)]))
+    got = lm.class_probabilities(model.params, inputs, goal, first)
+    held = inputs.reshape(-1, lm.HALF)
+    logits, _ = lm.forward(model.params, np.concatenate([np.concatenate([np.full((1, lm.HALF), lm.PAD, np.uint8), held[:-1]]), held], 1))
+    prob = np.exp(logits - logits.max(-1, keepdims=True)).reshape(-1, lm.CLASSES)
     prob /= prob.sum(-1, keepdims=True)
-    got = np.log10(np.take_along_axis(prob, model.cls[np.maximum(goal, 0)][..., None], -1)[..., 0])
-    begins = np.concatenate((marked >= lm.BEGINS, [True]))
-    before = np.where(begins, lm.START, model.before[np.concatenate(([lm.END], [5, 6, 7] * 30))])
-    plain = got[goal >= 0].sum() + model.table[before, goal[goal >= 0]].sum()
-    assert whole[0] == pytest.approx(plain, rel=1e-4)
-    assert np.allclose([sum(10.0 ** model.table[lm.START][model.cls == c]) for c in range(3)], 1, atol=1e-3)
+    there = np.flatnonzero(goal != 255)
+    assert len(there) == len(ids) + 1 and np.allclose(got[there], prob[there, goal[there]], atol=1e-5)
+    words_ = [b"the", b"quick", b"brown"]
+    known = lm.Coded(model, path)
+    numbers = known.numbers(words_ * 20 + words_)
+    owner = np.repeat([0, 1], [60, 3])
+    by_id, _ = lm.steps(model, known, numbers, owner, 2)
+    n = len(by_id) // 21
+    assert np.allclose(by_id[:n], by_id[-n:], atol=1e-5)  # texts of a batch don't see each other
+
+
+def test_lm_words_are_coded_whole():
+    import public_tokenizers
+
+    path = public_tokenizers.path(lm.VOCABULARY)
+    bpe, _ = lm.known_vocabulary(path)
+    for word in ("a", "\u00e9t\u00e9", "x" * 5000, "\x85\xa0", "the"):
+        ids, begins = lm.coded([word.encode(), b"z"], path)
+        assert bpe.decode(ids.tolist()) == f" {word} z" and np.flatnonzero(begins).tolist()[0] == 0 and begins.sum() == 2
+        assert ids[: np.flatnonzero(begins)[1]].tolist() == bpe.encode_ordinary(" " + word)
+
+
+def test_lm_learns_from_every_text(spark):
+    """Windows come from long and short training texts, their number grows with the corpus, and training lowers the loss."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(lm.VOCABULARY)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, counts, texts = lm.fit(docs, path)
+    held = spark.sparkContext.broadcast(model)
+    some = [lm.training_windows(lm._training(lm._texts(part)), held, path).count() for part in (docs.filter("doc_id % 4 = 0"), docs)]
+    assert 2.5 < some[1] / some[0] < 6
+    one_long = spark.createDataFrame([(1, "word " * 100_000), (2, "word")], "doc_id long, text string")
+    assert lm.training_windows(one_long, held, path).count() >= 100_000 // lm.APART
+    got = lm.score(docs).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect()[0]
+    assert got.s > got.b
 
 
 def test_lm_slopes():
@@ -228,17 +358,16 @@ def test_lm_slopes():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in lm.start().items()}
     ids = rng.integers(0, 50, (2, 2 * lm.HALF))
-    real = np.ones_like(ids, bool)
-    real[0, : lm.HALF] = False
+    ids[0, : lm.HALF] = lm.PAD
     weigh = rng.standard_normal((2, lm.HALF, lm.CLASSES))
-    slopes = lm.backward(p, ids, lm.forward(p, ids, real)[1], weigh)
-    for name in ("q", "k", "v", "o", "w1", "w2", "u", "rel"):
-        at = tuple(rng.integers(0, n) for n in p[name].shape)
+    slopes = lm.backward(p, ids, lm.forward(p, ids)[1], weigh)
+    for name in ("q", "k", "v", "o", "w1", "w2", "u", "rel", "emb"):
+        at = (int(ids[1, 3]), 2) if name == "emb" else tuple(rng.integers(0, n) for n in p[name].shape)
         keep = p[name][at]
         loss = []
         for step in (1e-5, -1e-5):
             p[name][at] = keep + step
-            loss.append((lm.forward(p, ids, real)[0] * weigh).sum())
+            loss.append((lm.forward(p, ids)[0] * weigh).sum())
         p[name][at] = keep
         assert slopes[name][at] == pytest.approx((loss[0] - loss[1]) / 2e-5, rel=1e-3, abs=1e-4)
 
@@ -330,14 +459,57 @@ def test_mix_of_table(spark, odd):
     assert spans.count() == 0 and taken.select("shard").distinct().count() > 1
 
 
+@pytest.mark.parametrize("block_words", [7, 256])
+def test_mix_against_plain_draws(spark, odd, block_words):
+    """What the shards draw, block by block: the first blocks of each source's permutations up to its target, in runs whose lengths the tree gives."""
+    rows = mix.sized(odd)
+    sizes = Counter()
+    for r in rows.collect():
+        sizes[r.source] += r["size"]
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target = dict(zip(order, mix.targets([sizes[s] for s in order]), strict=True))
+    made = rows.filter("size > 0").withColumn("epoch", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((size - 1) DIV {block_words} AS INT)"))))
+    made = made.withColumn("h", F.xxhash64("doc_id", "text_key", "copy", "block", "epoch", F.lit(7)))
+    queues = {}
+    for r in made.collect():
+        queues.setdefault((r.source, r.epoch), []).append((r.h, r.doc_id, r.text_key, r.copy, r.block, min(block_words, r["size"] - r.block * block_words)))
+    want, drawn = [], {}
+    for s in order:
+        left, drawn[s] = round(target[s]), []
+        for epoch in range(3):
+            for _, doc, _, copy, block, n in sorted(queues.get((s, epoch), [])):
+                if left > 0:
+                    drawn[s].append((doc, copy, epoch, block, min(n, left)))
+                    left -= n
+        want += [(s, *x) for x in drawn[s]]
+    _, taken = mix.mix(odd, shards=5, block_words=block_words)
+    got = taken.collect()
+    key = lambda x: (x[0] is None, x[0] or "", *x[1:])
+    assert sorted([(r.source, r.doc_id, r.copy, r.epoch, r.block, r.n_words) for r in got], key=key) == sorted(want, key=key)
+    some = [s for s in order if drawn[s]]
+    quotas = mix.split([len(drawn[s]) for s in some], 5)
+    place = {(s, *x[:4]): k for s in some for k, x in enumerate(drawn[s])}
+    ends = {s: np.cumsum([q[k] for q in quotas]) for k, s in enumerate(some)}
+    assert all(np.searchsorted(ends[r.source], place[r.source, r.doc_id, r.copy, r.epoch, r.block], side="right") == r.shard for r in got)
+
+
+def test_mix_without_some_shards_takes_less(spark, odd, monkeypatch):
+    """The tree decides what is taken: a tree that gives its first half nothing leaves that half's blocks out."""
+    whole = mix.taken_by_document(odd).agg(F.sum("taken")).collect()[0][0]
+    keep = mix.split
+    monkeypatch.setattr(mix, "split", lambda quotas, shards, seed=7: [[q // 2 for q in quotas] if k == 0 else [0] * len(quotas) for k in range(shards)])
+    half = mix.taken_by_document(odd).agg(F.sum("taken")).collect()[0][0]
+    monkeypatch.setattr(mix, "split", keep)
+    assert 0 < half < whole
+
+
 def test_mixed_documents_hold_the_words_taken(spark, odd):
     docs = odd.drop("size", "token")
-    got = mix.mixed_documents(docs)
-    assert got.columns == docs.columns
+    got = mix.mixed_documents(odd)
+    assert got.columns == odd.columns
     words = got.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"))
     taken = mix.taken_by_document(docs).groupBy("doc_id").agg(F.sum("taken").alias("n")).filter("n > 0")
     assert sorted(map(tuple, words.collect())) == sorted(map(tuple, taken.collect()))
-    assert mix.shards(docs).count() > 0
 
 
 # 9 ------------------------------------------------------------------------------------------------

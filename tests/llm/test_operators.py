@@ -595,6 +595,89 @@ def test_html_shows_all_that_is_visible(source, want):
     assert re.sub(r"\n\n+", "\n", html.text_of(source)) == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<div style='visibility:hidden'>no<p style='visibility:visible'>yes<b style='visibility:hidden'>no</b></div>", "yes"),
+        ("<div style='display:none'>no<p style='display:block;visibility:visible'>no</div>a", "a"),
+        ("<table><tr><td colspan=2>head<td>x<tr><td>a<td>b<td>c</table>", "head  x\na  b  c"),
+        ("<table><tr><td rowspan=2>tall<td>x<tr><td>y<tr><td>a<td>b</table>", "tall  x\n      y\na     b"),
+        ("<table><tr><td>a<td>b<tr><td colspan='2'>a wide one<tr><td>c<td>d<td>e</table>", "a  b\na wide one\nc  d        e"),
+        ("<table><tr><td colspan=bad>a<td colspan=0>b</table>", "a  b"),
+    ],
+)
+def test_html_visibility_and_spans(source, want):
+    assert re.sub(r"\n\n+", "\n", html.text_of(source)) == want
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<p><b>", "<ul><li>", "<b></i>", "<blockquote>x", "<p><button><div/>", "<table><td>", "<i><table><td><b></i>"])
+def test_html_deep_nesting_is_linear(piece):
+    import time
+
+    n = 100_000 // (1 + piece.count("<")) if "table" not in piece else 300
+    begin = time.process_time()
+    assert "deep" in html.text_of(piece * n + "deep")
+    assert time.process_time() - begin < 4
+
+
+def _tree(rng, depth):
+    """A random tree of (tag, attrs, kids); words are strings."""
+    tag = rng.choice(["div", "p", "b", "span", "ul", "section", "h2"])
+    attrs, gone = rng.choice([("", False)] * 8 + [(" class='hidden'", False), (" hidden", True), (" style='display:none'", True), (" title='hidden'", False)])
+    if tag == "ul":
+        kids = [("li", "", False, [f"w{rng.random():.9f}"] + ([_tree(rng, depth - 1)] if depth and rng.random() < 0.3 else [])) for _ in range(rng.randint(1, 3))]
+    else:
+        inline = tag in ("p", "b", "span", "h2")
+        kids = []
+        for _ in range(rng.randint(1, 3)):
+            if rng.random() < 0.5 or not depth:
+                kids.append(f"w{rng.random():.9f}")
+            else:
+                kid = _tree(rng, depth - 1)
+                while inline and kid[0] not in ("b", "span"):
+                    kid = _tree(rng, depth - 1)
+                kids.append(kid)
+    return (tag, attrs, gone, kids)
+
+
+def _source(rng, node):
+    if isinstance(node, str):
+        return node + " "
+    tag, attrs, _, kids = node
+    inner = "".join(_source(rng, k) for k in kids)
+    return f"<{tag}{attrs}>{inner}" + ("" if tag == "li" and rng.random() < 0.5 else f"</{tag}>")
+
+
+def _plain_lines(node, lines):
+    """The plain renderer: words of a block stand on lines of their own."""
+    if isinstance(node, str):
+        lines[-1].append(node)
+        return
+    tag, _, gone, kids = node
+    if gone:
+        return
+    block = tag not in ("b", "span")
+    if block:
+        lines.append([])
+    for k in kids:
+        _plain_lines(k, lines)
+    if block:
+        lines.append([])
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_html_against_a_plain_renderer(seed):
+    import random
+
+    rng = random.Random(seed)
+    trees = [_tree(rng, 4) for _ in range(4)]
+    lines = [[]]
+    for t in trees:
+        _plain_lines(t, lines)
+    got = html.text_of("".join(_source(rng, t) for t in trees))
+    assert [[w for w in line.split() if w != "-"] for line in got.split("\n") if line.strip()] == [x for x in lines if x]
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, None), (2, "<p>x"), (2, "<p>x")], "page_id long, html string").withColumn("text", F.lit(0))
     assert [tuple(r) for r in html.extract(pages).orderBy("page_id").collect()] == [(1, "", 0, 0), (2, "x", 1, 1), (2, "x", 1, 1)]

@@ -4,22 +4,26 @@ A tree is built with HTML's implied tags (a paragraph ends where a block begins,
 item where the next begins, and so on), void elements and raw-text elements. The
 renderer walks the tree and emits all visible text: blocks stand on lines of their
 own, paragraphs and headings are set apart by a blank line, list items carry their
-marker and nesting, table cells are padded to the width of their column.
+marker and nesting (up to `DEEPEST` steps of indent), table cells are padded to the width of
+their columns, those that span columns or rows included.
 
 Invisible: head (but for nothing else than the title, which is not page text),
 script, style, template, noscript, elements with an attribute named hidden (but until-found), display:none
-and visibility:hidden declarations of a style attribute, an svg's title, desc, metadata and
+declarations of a style attribute, what visibility:hidden covers up to a nested visibility:visible, an svg's title, desc, metadata and
 defs, comments and declarations. Of a select the shown options are visible: the last selected
 one or else the first that is not disabled; of a list box (multiple or size) all.
 
 Cases: null or empty HTML gives empty text. Unclosed, misnested and deeply nested
-tags never fail; the walk doesn't recurse. Text outside any tag is page text.
+tags never fail; the walk doesn't recurse, and finds what a tag closes by the places of open
+tags, not by walking up. Text outside any tag is page text. Repeated rows are rendered each.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,6 +49,8 @@ CLOSES = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
+#: Steps of indent that are drawn, and spans as HTML bounds them.
+DEEPEST, MOST_COLUMNS, MOST_ROWS = 32, 1000, 65534
 HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
@@ -64,89 +70,98 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
+class Open:
+    """The open elements, and the places of each tag among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        """Close the elements from a place on."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of some tags; 0 without one."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+
+    def end(self, ends: set[str], scope: set[str]) -> None:
+        """Close the outermost of `ends` that is open inside the nearest `scope`, or table cell unless cells are meant."""
+        inner = self.last(scope if "td" in ends else scope | {"td", "th"})
+        found = [p[k] for t in ends if (p := self.places[t]) and (k := bisect_right(p, inner)) < len(p)]
+        if found:
+            self.cut(min(found))
+
+    def close(self, name: str) -> None:
+        """What a closing tag does; it reaches out of a table cell only to parts of tables."""
+        if name in ("html", "body"):
+            return
+        place = self.last((name,))
+        if place and (name in ("table", "tr", "tbody", "thead", "tfoot") or place >= self.last(("td", "th", "table"))):
+            self.cut(place)
+        elif name == "p":  # a closing tag alone makes an empty paragraph
+            self.nodes[-1].kids.append(Node("p"))
+
+    def open(self, name: str) -> None:
+        """Close what an opening tag implies to be over."""
+        if name in ENDS_P:
+            self.end({"p"}, {"table", "button", "caption", "html"})
+        if name in CLOSES:
+            self.end(*CLOSES[name])
+        elif self.nodes[-1].tag == "head" and name not in HEAD_ONLY and name != "head" or name in HEADINGS and self.nodes[-1].tag in HEADINGS:
+            self.cut(len(self.nodes) - 1)
+
+    def text(self, raw: str) -> None:
+        if self.nodes[-1].tag == "head" and raw.strip():
+            self.cut(len(self.nodes) - 1)
+        self.nodes[-1].kids.append(entities.unescape(raw) if "&" in raw else raw)
+
+
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 def parse(source: str) -> Node:
     """The tree of a page. Text children are plain strings."""
     root = Node("html")
-    stack = [root]
+    tree = Open(root)
     at, size = 0, len(source)
     while at < size:
         m = _TOKEN.search(source, at)
         if m is None:
-            _text(stack, source[at:])
+            tree.text(source[at:])
             break
         if m.start() > at:
-            _text(stack, source[at : m.start()])
+            tree.text(source[at : m.start()])
         at = m.end()
         name = m[2]
         if name is None:
             continue
         name = name.lower()
         if m[1]:
-            _close(stack, name)
-        elif name in ("html", "body") and any(n.tag == name for n in stack[:3]):
-            stack[0].attrs += m[3] if name == "html" else ""
+            tree.close(name)
+        elif name in ("html", "body") and any(n.tag == name for n in tree.nodes[:3]):
+            root.attrs += m[3] if name == "html" else ""
         else:
             attrs = m[3]
-            drawn = (attrs.endswith("/") or name in SVG_UNSEEN) and any(n.tag in ("svg", "math") for n in stack)
+            drawn = (attrs.endswith("/") or name in SVG_UNSEEN) and tree.last(("svg", "math")) > 0
             if drawn and name in SVG_UNSEEN:  # defines what is drawn elsewhere or not at all
                 attrs = f" hidden {attrs}"
-            _open(stack, name)
+            tree.open(name)
             node = Node(name, attrs)
-            stack[-1].kids.append(node)
+            tree.nodes[-1].kids.append(node)
             if name in RAW:
                 end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
                 node.kids.append(source[at : end.start() if end else size])
                 at = end.end() if end else size
             elif name not in VOID and not (attrs.endswith("/") and (drawn or name in ("svg", "math"))):
-                stack.append(node)
+                tree.push(node)
     return root
 
 
-def _text(stack: list[Node], raw: str) -> None:
-    if stack[-1].tag == "head" and raw.strip():
-        stack.pop()
-    stack[-1].kids.append(entities.unescape(raw) if "&" in raw else raw)
-
-
-def _open(stack: list[Node], name: str) -> None:
-    """Close what the opening tag implies to be over."""
-    if name in ENDS_P:
-        _end(stack, {"p"}, {"table", "td", "th", "button", "caption", "html"})
-    if name in CLOSES:
-        ends, scope = CLOSES[name]
-        _end(stack, ends, scope)
-    elif stack[-1].tag == "head" and name not in HEAD_ONLY and name != "head":
-        stack.pop()
-    elif name[0] == "h" and name[1:] in "123456" and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        stack.pop()
-
-
-def _end(stack: list[Node], ends: set[str], scope: set[str]) -> None:
-    """Pop the outermost of `ends` that is open inside the nearest `scope`."""
-    found = 0
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in ends:
-            found = k
-        elif stack[k].tag in scope or stack[k].tag in ("td", "th") and "td" not in ends:
-            break
-    if found:
-        del stack[found:]
-
-
-def _close(stack: list[Node], name: str) -> None:
-    if name in ("html", "body"):
-        return
-    for k in range(len(stack) - 1, 0, -1):
-        tag = stack[k].tag
-        if tag == name:
-            del stack[k:]
-            return
-        if tag in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot"):
-            break
-    if name == "p":  # a closing tag alone makes an empty paragraph
-        stack[-1].kids.append(Node("p"))
-
-
 class Lines:
     """Finished lines, and the line that is being written."""
 
@@ -156,7 +171,7 @@ class Lines:
         self.gap = False  # a blank line is due
         self.blank = True  # the line so far ends in white space or is empty
         self.lead = ""  # a marker before the next text
-        self.indent = ""
+        self.depth = 0  # steps of indent
 
     def write(self, text: str, keep: bool = False) -> None:
         if keep:
@@ -180,7 +195,8 @@ class Lines:
             if self.gap and self.done:
                 self.done.append("")
             self.gap = False
-            self.now.append(self.indent[: len(self.indent) - len(self.lead)] + self.lead if self.lead else self.indent)
+            indent = "  " * min(self.depth, DEEPEST)
+            self.now.append(indent[: len(indent) - len(self.lead)] + self.lead if self.lead else indent)
             self.lead = ""
         self.now.append(text)
         self.blank = False
@@ -205,8 +221,8 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def _styled_away(style: str) -> bool:
-    """Whether the declarations of a style attribute, the last of each property or the important one, hide the element."""
+def _declared(style: str) -> dict[str, str]:
+    """The declarations of a style attribute: the last of each property, or the important one."""
     last: dict[str, tuple[bool, str]] = {}
     for part in _QUOTED.sub("''", _COMMENT.sub(" ", style)).split(";"):
         name, colon, value = part.partition(":")
@@ -216,18 +232,31 @@ def _styled_away(style: str) -> bool:
         value = head.strip() if important else value
         if colon and value and (important or not last.get(name, (False, ""))[0]):
             last[name] = important, value
-    return last.get("display", (False, ""))[1] == "none" or last.get("visibility", (False, ""))[1] in ("hidden", "collapse")
+    return {name: value for name, (_, value) in last.items()}
 
 
-def _seen(node: Node) -> bool:
+def _shown(node: Node, visible: bool = True) -> bool | None:
+    """Whether a node's own text is visible where its parent's is `visible`; None where the node is not rendered at all."""
     if node.tag in UNSEEN:
-        return False
+        return None
     if not node.attrs or not _MAYBE.search(node.attrs):
-        return True
+        return visible
     named = attributes(node.attrs)
     if named.get("hidden", "until-found").strip().lower() != "until-found":
-        return False
-    return not _styled_away(named.get("style", ""))
+        return None
+    style = _declared(named.get("style", ""))
+    if style.get("display") == "none":
+        return None
+    return {"hidden": False, "collapse": False, "visible": True}.get(style.get("visibility", ""), visible)
+
+
+def _seen(node: Node) -> bool:
+    return bool(_shown(node))
+
+
+def _span(node: Node, name: str, most: int) -> int:
+    raw = attributes(node.attrs).get(name, "").strip() if name in node.attrs.lower() else ""
+    return min(most, int(raw[:6])) or 1 if raw[:6].isdecimal() else 1
 
 
 def _options(select: Node) -> list[Node]:
@@ -254,22 +283,25 @@ def _options(select: Node) -> list[Node]:
 def render(root: Node) -> str:
     """All visible text below a node."""
     out, stack = Lines(), []
-    #: Entered and left nodes; a table's cells are rendered by Lines of their own.
-    stack.append((root, False, None))
+    #: Entered and left nodes, and whether text is visible there; a table's cells are rendered by Lines of their own.
+    stack.append((root, False, True))
     lists: list[list] = []
     tables: list[dict] = []
     outs = [out]
     pre = 0
     while stack:
-        node, left, _ = stack.pop()
+        node, left, visible = stack.pop()
         out = outs[-1]
         if isinstance(node, str):
-            if not (tables and tables[-1]["cell"] is None and not node.strip()):
+            if visible and not (tables and tables[-1]["cell"] is None and not node.strip()):
                 out.write(node, keep=pre > 0)
             continue
         tag = node.tag
         if not left:
-            if not _seen(node):
+            visible = _shown(node, visible)
+            if visible is None:
+                continue
+            if not visible and tag in ("select", "textarea"):
                 continue
             if tag == "br":
                 out.end(force=True)
@@ -305,15 +337,15 @@ def render(root: Node) -> str:
             if tag in ("ul", "ol", "menu"):
                 begin = _START.search(node.attrs)
                 lists.append([tag, int(begin[1]) if begin else 1])
-                out.indent += "  "
+                out.depth += 1
             elif tag == "li":
                 kind = lists[-1] if lists else ["ul", 1]
                 out.lead = f"{kind[1]}. " if kind[0] == "ol" else "- "
                 kind[1] += 1
                 if not lists:
-                    out.indent += "  "
+                    out.depth += 1
             elif tag in ("dd", "blockquote"):
-                out.indent += "  "
+                out.depth += 1
             elif tag == "pre":
                 pre += 1
             elif tag == "table":
@@ -326,25 +358,25 @@ def render(root: Node) -> str:
                 if not tables[-1]["rows"]:
                     tables[-1]["rows"].append([])
                 outs.append(Lines())
-            stack.append((node, True, None))
-            stack += [(kid, False, None) for kid in reversed(node.kids)]
+            stack.append((node, True, visible))
+            stack += [(kid, False, visible) for kid in reversed(node.kids)]
         else:
             if tables and tables[-1]["cell"] is node:
                 outs.pop()
-                tables[-1]["rows"][-1].append(out.text())
+                tables[-1]["rows"][-1].append((out.text(), _span(node, "colspan", MOST_COLUMNS), _span(node, "rowspan", MOST_ROWS)))
                 tables[-1]["cell"] = None
                 continue
             if tag in BLOCK:
                 out.end(apart=tag in APART and not (tag in ("ul", "ol") and len(lists) > 1))
             if tag in ("ul", "ol", "menu"):
                 lists.pop()
-                out.indent = out.indent[:-2]
+                out.depth -= 1
             elif tag == "li":
                 out.lead = ""
                 if not lists:
-                    out.indent = out.indent[:-2]
+                    out.depth -= 1
             elif tag in ("dd", "blockquote"):
-                out.indent = out.indent[:-2]
+                out.depth -= 1
             elif tag == "pre":
                 pre -= 1
             elif tag == "table":
@@ -355,23 +387,49 @@ def render(root: Node) -> str:
     return outs[0].text()
 
 
-def _rows(out: Lines, rows: list[list[str]]) -> None:
-    """Cells side by side, each column as wide as its widest line; a cell of several lines spreads down."""
-    rows = [[cell.split("\n") for cell in row] for row in rows if any(row)]
+def _rows(out: Lines, rows: list[list[tuple[str, int, int]]]) -> None:
+    """Cells (text, columns, rows) side by side, each column as wide as its widest line; a cell of several lines spreads down.
+
+    A cell that spans rows stands in its first one and keeps its columns free below.
+    """
+    placed: list[list[tuple[int, int, list[str]]]] = []
     widths: list[int] = []
+    taken: dict[int, int] = {}  # columns that a cell above still spans, and for how many rows
+    wide: list[tuple[int, int, int]] = []
     for row in rows:
-        for k, cell in enumerate(row):
-            width = max(map(len, cell))
-            if k < len(widths):
-                widths[k] = max(widths[k], width)
+        at, cells = 0, []
+        for text, columns, down in row:
+            while at in taken:
+                at += 1
+            lines = text.split("\n")
+            cells.append((at, columns, lines))
+            width = max(map(len, lines))
+            widths += [0] * (at + columns - len(widths))
+            if columns == 1:
+                widths[at] = max(widths[at], width)
             else:
-                widths.append(width)
-    for row in rows:
-        for k in range(max(map(len, row))):
-            line = "  ".join((cell[k] if k < len(cell) else "").ljust(w) for cell, w in zip(row, widths, strict=False)).rstrip()
+                wide.append((at, columns, width))
+            if down > 1:
+                taken.update(dict.fromkeys(range(at, at + columns), down))
+            at += columns
+        placed.append(cells)
+        taken = {c: n - 1 for c, n in taken.items() if n > 1}
+    for at, columns, width in wide:  # what the columns don't hold, the last one takes
+        widths[at + columns - 1] += max(0, width - sum(widths[at : at + columns]) - 2 * (columns - 1))
+    starts = [0]
+    for w in widths:
+        starts.append(starts[-1] + w + 2)
+    for cells in placed:
+        if not any(any(lines) for _, _, lines in cells):
+            continue
+        for k in range(max(len(lines) for _, _, lines in cells)):
+            line = ""
+            for at, _, lines in cells:
+                if k < len(lines) and lines[k]:
+                    line = line.ljust(starts[at]) + lines[k]
             out.end()
-            out.write(line, keep=True)
-            out.end(force=not line)
+            out.write(line.rstrip(), keep=True)
+            out.end(force=not line.strip())
 
 
 def text_of(source: str | None) -> str:

@@ -47,6 +47,6 @@ def test_route_points_follow_edges(spark):
 def test_plans_push_down_and_prune(spark):
     plan = catalog.QUERIES["missing_regions"](spark, SF)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<n_nationkey:int>" in plan and "PushedFilters" in plan
-    for name in ("trip_stats", "edge_costs_by_profile", "mask_closing", "location_filter"):
+    for name in ("trip_stats", "edge_costs_by_profile", "mask_closing", "snap_segment"):
         text = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
         assert "Python" not in text and "CartesianProduct" not in text

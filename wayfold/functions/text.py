@@ -22,6 +22,11 @@ def normalized(name: Column) -> Column:
     return F.when(clean != "", clean)
 
 
+def lower_ascii(name: Column) -> Column:
+    """A-Z in lower case, other letters as they are."""
+    return F.translate(name, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def match_class(name: Column, query: str) -> Column:
     """0 exact, 1 prefix, 2 contained; null where it doesn't match."""
     return F.when(name == query, 0).when(name.startswith(query), 1).when(name.contains(query), 2)

@@ -22,7 +22,7 @@ def search(places: DataFrame, query: str, limit: int = 8, least_chars: int = 2)
 
     `query` is compared in normalised form; shorter ones than `least_chars` find nothing.
     """
-    return _hits(places, query, least_chars).orderBy("match", F.desc("rank"), F.length("name"), F.lower("name"), "place_id").limit(limit)
+    return _hits(places, query, least_chars).orderBy("match", F.desc("rank"), F.length("name"), text.lower_ascii(F.col("name")), "place_id").limit(limit)
 
 
 def merged(sources: list[DataFrame], query: str, limit: int = 8) -> DataFrame:

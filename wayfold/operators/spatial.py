@@ -66,25 +66,60 @@ def nearest_node(points: DataFrame, nodes: DataFrame, size: int = CELL_E7) -> Da
     return out
 
 
-def snap(points: DataFrame, located: DataFrame, radius_m: float, size: int = CELL_E7) -> DataFrame:
-    """(point_id, a, b, fraction, distance_m): each point's nearest segment within the radius; ties to the smaller (a, b).
+METRES_E7 = geo.EARTH_M * 3.141592653589793 / 180 / 1e7
+
+
+def _planar2(lat: Column, lon: Column, a_lat: Column, a_lon: Column, b_lat: Column, b_lon: Column, k: Column) -> Column:
+    """Squared distance of a point from a segment on a plane whose longitudes shrink by k, in squared units of the coordinates."""
+    dx, dy, px, py = (b_lon - a_lon) * k, b_lat - a_lat, (lon - a_lon) * k, lat - a_lat
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-9))))
+    return (px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy)
+
+
+def _pairs_within(points: DataFrame, located: DataFrame, radius_m: float) -> DataFrame:
+    """(point_id, d2, both ends): the segments whose planar distance from a point is within the radius, up to a thousandth more.
 
-    `located` has a, b and both ends' coordinates. A segment is entered in each cell that
-    its bounding box, widened by the radius, touches, so every candidate is met once by
-    an equi-join on the point's own cell.
+    A segment is entered in the cells that it comes near to, a cell being twice the radius wide, so
+    each candidate is met once by an equi-join on the point's own cell, and compared by a few
+    products. Spark splits a cell that holds very many points or segments as a skewed join key.
     """
     reach = int(radius_m / 111_000 * 1e7) + 1
+    size = max(2 * reach, 2_000)
     wide = (reach / F.cos(F.radians(F.greatest(F.abs(F.col("a_lat")), F.abs(F.col("b_lat"))) / 1e7))).cast("long") + 1
     lo_y, hi_y = cell(F.least("a_lat", "b_lat") - reach, size), cell(F.greatest("a_lat", "b_lat") + reach, size)
     lo_x, hi_x = cell(F.least("a_lon", "b_lon") - wide, size), cell(F.greatest("a_lon", "b_lon") + wide, size)
+    ends = [F.col(c).cast("double") for c in ("a_lat", "a_lon", "b_lat", "b_lon")]
     entered = located.withColumn("cy", F.explode(F.sequence(lo_y, hi_y))).withColumn("cx", F.explode(F.sequence(lo_x, hi_x)))
-    asked = points.select("point_id", "lat_e7", "lon_e7", cell(F.col("lat_e7"), size).alias("cy"), cell(F.col("lon_e7"), size).alias("cx"))
-    p = [F.col(c) / 1e7 for c in ("lat_e7", "lon_e7", "a_lat", "a_lon", "b_lat", "b_lon")]
-    joined = asked.join(entered, ["cy", "cx"])
-    # The fraction is bound once: as a plain column it would be copied into each of its many uses.
-    metres = lambda f: F.struct(geo.haversine_m(p[0], p[1], p[2] + (p[4] - p[2]) * f, p[3] + (p[5] - p[3]) * f).alias("distance_m"), F.col("a").alias("a"), F.col("b").alias("b"), f.alias("fraction"))
-    best = joined.groupBy("point_id").agg(F.min(F.transform(F.array(geo.projection_fraction(*p)), metres)[0]).alias("s"))
-    return best.filter(F.col("s.distance_m") <= radius_m).select("point_id", "s.a", "s.b", "s.fraction", "s.distance_m")
+    middle = [(F.col(c) * size + size / 2).cast("double") for c in ("cy", "cx")]
+    k = F.cos(F.radians(F.col("cy") * size / 1e7))
+    touched = entered.filter(_planar2(*middle, *ends, k) <= (size * 0.75 + reach * 1.05) ** 2)
+    asked = points.select("point_id", "lat_e7", "lon_e7", F.cos(F.radians(F.col("lat_e7") / 1e7)).alias("k"), cell(F.col("lat_e7"), size).alias("cy"), cell(F.col("lon_e7"), size).alias("cx"))
+    d2 = _planar2(F.col("lat_e7").cast("double"), F.col("lon_e7").cast("double"), *ends, F.col("k")) * METRES_E7**2
+    return asked.join(touched, ["cy", "cx"]).withColumn("d2", d2).filter(F.col("d2") <= (radius_m * 1.001) ** 2).drop("cy", "cx", "k")
+
+
+def snap(points: DataFrame, located: DataFrame, radius_m: float) -> DataFrame:
+    """(point_id, a, b, fraction, distance_m): each point's nearest segment within the radius; ties to the smaller (a, b).
+
+    `located` has a, b and both ends' coordinates. An eighth of the radius is searched first, the whole
+    radius then for the points that found nothing. The least planar distance is a plain
+    minimum; only segments as near as that, up to a thousandth, are measured on the globe.
+    """
+    open_, found = points.select("point_id", "lat_e7", "lon_e7"), []
+    for radius in (radius_m / 8, radius_m):
+        near = saved(_pairs_within(open_, located, radius))
+        least = near.groupBy("point_id").agg(F.min("d2").alias("least"))
+        close = near.join(least, "point_id").filter(F.col("d2") <= F.col("least") * 1.001 + 1e-6)
+        p = [F.col(c) / 1e7 for c in ("lat_e7", "lon_e7", "a_lat", "a_lon", "b_lat", "b_lon")]
+        f = F.col("fraction")
+        close = close.withColumn("fraction", geo.projection_fraction(*p)).withColumn("distance_m", geo.haversine_m(p[0], p[1], p[2] + (p[4] - p[2]) * f, p[3] + (p[5] - p[3]) * f))
+        best = close.groupBy("point_id").agg(F.min(F.struct("distance_m", "a", "b", "fraction")).alias("s")).select("point_id", "s.a", "s.b", "s.fraction", "s.distance_m")
+        if radius == radius_m:
+            found.append(best.filter(F.col("distance_m") <= radius_m))
+        else:
+            found.append(saved(best.filter(F.col("distance_m") <= radius * 0.999)))
+            open_ = open_.join(found[0].select("point_id"), "point_id", "left_anti")
+    return found[0].unionByName(found[1])
 
 
 def gateways(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -1,12 +1,17 @@
 """GPS tracks and trips: running sums, islands, filters and stateful folds in SQL functions.
 
-The folds (location filter, hysteresis) run over a trip's samples in order. They are
-written once, as `aggregate` over the sorted samples of a trip; the streaming form in
-`wayfold.streaming.trips` keeps the same state between batches.
+The folds (location filter, recording) run over a trip's samples in order: rows are sorted by
+trip within partitions and a small state is carried from row to row, so that memory is one
+batch whatever a trip's length; the streaming form in `wayfold.streaming.trips` keeps the
+same state between batches.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,28 +76,55 @@ def off_route(samples: DataFrame, off_m: float = OFF_M, on_m: float = ON_M) -> D
     return samples.withColumn("off", F.coalesce(F.last(decided, ignorenulls=True).over(_order("seq").rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
 
 
-def filtered(track: DataFrame, tau_s: float = 0.35) -> DataFrame:
-    """(trip, seq, lat, lon): positions smoothed with factor 1 - exp(-dt/tau); a jump resets to the sample.
+def metres_between(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    """Great-circle metres of one pair, as `geo.haversine_m`."""
+    a = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * geo.EARTH_M * math.atan2(math.sqrt(a), math.sqrt(abs(1 - a)))
+
+
+def folded(rows: DataFrame, step: Callable, columns: list[str], out: str, order: str = "seq") -> DataFrame:
+    """(trip, order, out...): `step(state, values)` over each trip's rows in order gives the next state and the row's result, None for no row.
 
-    One ordered fold per trip over its own samples.
+    `columns` are the values; the state of a trip begins as None.
     """
-    sample = F.struct("seq", (F.col("lat_e7") / 1e7).alias("lat"), (F.col("lon_e7") / 1e7).alias("lon"), F.col("dt_s").cast("double").alias("dt"))
-    trips = track.groupBy("trip").agg(F.sort_array(F.collect_list(sample)).alias("samples"))
-
-    def step(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        alpha = F.lit(1.0) - F.exp(-s["dt"] / tau_s)
-        reset = (F.size(done) == 0) | (geo.haversine_m(last["lat"], last["lon"], s["lat"], s["lon"]) > JUMP_M)
-        mixed = F.struct(s["seq"].alias("seq"), (last["lat"] + (s["lat"] - last["lat"]) * alpha).alias("lat"), (last["lon"] + (s["lon"] - last["lon"]) * alpha).alias("lon"))
-        fresh = F.struct(s["seq"].alias("seq"), s["lat"].alias("lat"), s["lon"].alias("lon"))
-        return F.concat(done, F.array(F.when(reset, fresh).otherwise(mixed)))
-
-    nothing = F.expr("CAST(array() AS ARRAY<STRUCT<seq: INT, lat: DOUBLE, lon: DOUBLE>>)")
-    return trips.select("trip", F.explode(F.aggregate("samples", nothing, step)).alias("s")).select("trip", "s.seq", "s.lat", "s.lon")
-
-
-def decimated(track: DataFrame, every_m: float = 10.0) -> DataFrame:
-    """Of each cell of `every_m` metres of way, a trip's first sample."""
-    rows = cumulative(track).withColumn("mark", F.floor(F.col("total_m") / every_m))
-    keep = F.coalesce(F.lag("mark").over(_order("seq")) != F.col("mark"), F.lit(True))
-    return rows.withColumn("keep", keep).filter("keep").drop("keep", "mark")
+    names = [c.strip().split(" ")[0] for c in out.split(",")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trip, state = None, None
+        for frame in frames:
+            got = []
+            for row in zip(frame["trip"].tolist(), frame[order].tolist(), *(frame[c].tolist() for c in columns), strict=True):
+                if row[0] != trip:
+                    trip, state = row[0], None
+                state, result = step(state, row[2:])
+                if result is not None:
+                    got.append((*row[:2], *result))
+            yield pd.DataFrame(got, columns=["trip", order, *names])
+
+    kinds = dict(rows.dtypes)
+    dealt = rows.select("trip", order, *columns).repartition("trip").sortWithinPartitions("trip", order)
+    return dealt.mapInPandas(run, f"trip {kinds['trip']}, {order} {kinds[order]}, {out}")
+
+
+def filtered(track: DataFrame, tau_s: float = 0.35) -> DataFrame:
+    """(trip, seq, lat, lon): positions smoothed with factor 1 - exp(-dt/tau); a jump resets to the sample."""
+
+    def step(last, now):
+        lat, lon, dt = now[0] / 1e7, now[1] / 1e7, now[2]
+        if last is not None and metres_between(*last, lat, lon) <= JUMP_M:
+            alpha = 1 - math.exp(-dt / tau_s) if dt > 0 and tau_s > 0 else 1.0
+            lat, lon = last[0] + (lat - last[0]) * alpha, last[1] + (lon - last[1]) * alpha
+        return (lat, lon), (lat, lon)
+
+    return folded(track, step, ["lat_e7", "lon_e7", "dt_s"], "lat double, lon double")
+
+
+def recorded(track: DataFrame, every_m: float = 10.0) -> DataFrame:
+    """(trip, seq, total_m): the samples that a recording keeps: those at least `every_m` of way after the last kept one, or behind it."""
+
+    def step(last, now):
+        if last is None or now[0] < last or now[0] - last >= every_m:
+            return now[0], (now[0],)
+        return last, None
+
+    return folded(cumulative(track), step, ["total_m"], "total_m double")

@@ -22,7 +22,7 @@ EDGES = f"""{NODES}, raw_edges AS (SELECT o_orderkey AS edge_id, o_custkey AS sr
 edges AS (SELECT e.*, round({hav("a.lat_e7 / 1e7", "a.lon_e7 / 1e7", "b.lat_e7 / 1e7", "b.lon_e7 / 1e7")} * 100)::BIGINT AS length_cm FROM raw_edges e JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE src <> dst)"""
 TRACK = """track AS (SELECT user_id AS trip, row_number() OVER w AS seq, (430000000 + sum((event_id * 7919 % 2001 - 1000) * 10) OVER w)::BIGINT AS lat_e7, (10000000 + sum((event_id * 104729 % 2001 - 1000) * 10) OVER w)::BIGINT AS lon_e7,
  (1 + event_id % 5)::INT AS dt_s, round(value * 100)::BIGINT % 4000 AS speed_cms, (event_id * 37 % 360)::INT AS heading_deg, event_id, ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))"""
-ROUTES = f"""{TRACK}, routes AS (SELECT trip, ((seq - 1) // 4)::INT AS point, lat_e7, lon_e7 FROM track WHERE seq % 4 = 1)"""
+ROUTES = f"""{TRACK}, routes AS (SELECT trip, (seq - 1)::INT AS point, lat_e7, lon_e7 FROM track)"""
 PLACES = """places AS (SELECT p_partkey AS place_id, p_name AS name, (1 + p_partkey % 10)::INT AS kind, p_size AS rank, (420000000 + (p_partkey * 6007 % 90000) * 1000)::BIGINT AS lat_e7, (-45000000 + (p_partkey * 99991 % 120000) * 1000)::BIGINT AS lon_e7 FROM part)"""
 POINTS = """points AS (SELECT s_suppkey AS point_id, (420000000 + (s_suppkey * 6151 % 90000) * 1000 + 137)::BIGINT AS lat_e7, (-45000000 + (s_suppkey * 98953 % 120000) * 1000 + 411)::BIGINT AS lon_e7 FROM supplier)"""
 CELLS = """cells AS (SELECT DISTINCT ((o_orderkey * 7919 + o_orderkey % 13) % 600)::INT AS x, ((o_orderkey * 31 + o_orderkey % 7) % 600)::INT AS y FROM orders),
@@ -78,7 +78,7 @@ SQL: dict[str, str] = {
     "nearest_node": f"""WITH {NODES}, {POINTS}, d AS (SELECT point_id, node_id, {hav("p.lat_e7 / 1e7", "p.lon_e7 / 1e7", "n.lat_e7 / 1e7", "n.lon_e7 / 1e7")} AS m FROM points p, nodes n)
         SELECT point_id, arg_min(node_id, (m, node_id)) AS node_id, round(min(m), 3) AS distance_m FROM d GROUP BY 1""",
     "snap_segment": f"""WITH {ROUTES}, parts AS (SELECT * FROM {_PARTS} WHERE b IS NOT NULL),
-        asked AS (SELECT trip * 1000000 + seq AS point_id, lat_e7 / 1e7 AS la, lon_e7 / 1e7 AS lo FROM track WHERE seq % 4 = 3),
+        asked AS (SELECT trip * 1000000 + seq AS point_id, (lat_e7 + 1370) / 1e7 AS la, (lon_e7 - 2110) / 1e7 AS lo FROM track),
         near AS (SELECT point_id, la, lo, a, b, a_lat / 1e7 AS y1, a_lon / 1e7 AS x1, b_lat / 1e7 AS y2, b_lon / 1e7 AS x2, cos(radians(la)) AS k FROM asked JOIN parts
           ON la BETWEEN least(a_lat, b_lat) / 1e7 - 0.001 AND greatest(a_lat, b_lat) / 1e7 + 0.001 AND lo BETWEEN least(a_lon, b_lon) / 1e7 - 0.002 AND greatest(a_lon, b_lon) / 1e7 + 0.002),
         cut AS (SELECT *, CASE WHEN ((x2 - x1) * k) ** 2 + (y2 - y1) ** 2 <= 0 THEN 0.0 ELSE greatest(0.0, least(1.0, ((lo - x1) * k * ((x2 - x1) * k) + (la - y1) * (y2 - y1)) / (((x2 - x1) * k) * ((x2 - x1) * k) + (y2 - y1) * (y2 - y1)))) END AS f FROM near),
@@ -92,6 +92,14 @@ SQL: dict[str, str] = {
         SELECT * FROM (VALUES (0, 1::BIGINT, 0::BIGINT), (1, 7, 0), (1, 11, 60000)) s(origin, node, cost)
         UNION (SELECT w.origin, a.dst, min(w.cost + a.c) FROM walk w JOIN arcs a ON a.src = w.node LEFT JOIN recurring.walk r ON r.origin = w.origin AND r.node = a.dst
           WHERE r.cost IS NULL OR w.cost + a.c < r.cost GROUP BY ALL)) SELECT origin, node, cost FROM walk""",
+    "route_points": f"""WITH RECURSIVE {_CHEAP}, starts AS (SELECT * FROM (VALUES (0, 1::BIGINT, 0::BIGINT), (1, 7, 0), (1, 11, 60000)) s(origin, node, cost)),
+        walk(origin, node, cost) USING KEY (origin, node) AS (SELECT * FROM starts
+        UNION (SELECT w.origin, a.dst, min(w.cost + a.c) FROM walk w JOIN arcs a ON a.src = w.node LEFT JOIN recurring.walk r ON r.origin = w.origin AND r.node = a.dst
+          WHERE r.cost IS NULL OR w.cost + a.c < r.cost GROUP BY ALL)),
+        via AS (SELECT w.origin, w.node, min(a.src) AS via FROM walk w JOIN arcs a ON a.dst = w.node JOIN walk p ON p.origin = w.origin AND p.node = a.src AND p.cost + a.c = w.cost
+          WHERE NOT EXISTS (SELECT 1 FROM starts s WHERE s.origin = w.origin AND s.node = w.node AND s.cost = w.cost) GROUP BY ALL),
+        path(origin, target, hop, node) AS (SELECT origin, node, 0, node FROM walk UNION ALL SELECT p.origin, p.target, p.hop + 1, v.via FROM path p JOIN via v ON v.origin = p.origin AND v.node = p.node)
+        SELECT origin, target, hop, node FROM path""",
     "region_corridor": """WITH RECURSIVE pairs AS (SELECT n_nationkey AS a, (n_nationkey + 1) % 25 AS b FROM nation UNION SELECT n_nationkey, (n_nationkey * 7 + 3) % 25 FROM nation),
         arcs AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), walk(node, cost) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT b::BIGINT, cost + 1 FROM walk JOIN arcs ON a = node WHERE cost < 25)
         SELECT node, min(cost) AS cost FROM walk GROUP BY 1""",
@@ -100,14 +108,13 @@ SQL: dict[str, str] = {
     "place_search": f"""WITH {PLACES}, n AS (SELECT *, {normalized("name")} AS normalized FROM places), m AS (SELECT *, {_match("red")} AS match FROM n)
         SELECT place_id, name, match, rank FROM m WHERE match IS NOT NULL ORDER BY match, rank DESC, length(name), lower(name), place_id LIMIT 20""",
     "place_search_multi": f"""WITH {PLACES}, n AS (SELECT *, {normalized("name")} AS normalized FROM places), m AS (SELECT *, {_match("blue")} AS match FROM n),
-        u AS ((SELECT *, 0 AS source_no FROM m WHERE match IS NOT NULL AND place_id % 2 = 0 ORDER BY match, rank DESC, length(name), lower(name), place_id LIMIT 24)
-          UNION ALL (SELECT *, 1 FROM m WHERE match IS NOT NULL AND place_id % 3 = 0 ORDER BY match, rank DESC, length(name), lower(name), place_id LIMIT 24)),
+        u AS (SELECT *, 0 AS source_no FROM m WHERE match IS NOT NULL AND place_id % 2 = 0 UNION ALL SELECT *, 1 FROM m WHERE match IS NOT NULL AND (place_id % 2 = 1 OR place_id % 3 = 0)),
         d AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lat_e7, lon_e7, normalized ORDER BY source_no, place_id) = 1)
         SELECT place_id, name, match, rank, source_no FROM d ORDER BY match, rank DESC, length(normalized), name, place_id LIMIT 12""",
     "trip_cumulative": f"WITH {TRACK}, {STEPS} SELECT trip, seq::INT AS seq, round(step_m, 3) AS step_m, round(sum(step_m) OVER (PARTITION BY trip ORDER BY seq ROWS UNBOUNDED PRECEDING), 2) AS total_m FROM stepped",
     "turn_instructions": f"WITH {INSTRUCTIONS} SELECT trip, point, kind, round(at_m, 2) AS at_m, round(turn, 4) AS turn FROM instructions",
     "instruction_asof": f"WITH {AHEAD} SELECT trip, seq, point, kind, round(ahead_m, 2) AS ahead_m FROM ahead",
-    "announcements": f"""WITH {AHEAD}, v AS (SELECT trip, ((seq - 1) // 4)::INT AS seq, greatest(0.0, least(60.0, speed_cms / 100)) AS v FROM track WHERE seq % 4 = 1),
+    "announcements": f"""WITH {AHEAD}, v AS (SELECT trip, (seq - 1)::INT AS seq, greatest(0.0, least(60.0, speed_cms / 100)) AS v FROM track),
         j AS (SELECT * FROM ahead JOIN v USING (trip, seq)),
         s AS (SELECT trip, point, 'far' AS stage, seq FROM j WHERE ahead_m <= greatest(200.0, least(600.0, 20 * v)) UNION ALL SELECT trip, point, 'near', seq FROM j WHERE ahead_m <= greatest(60.0, least(180.0, 8 * v))
           UNION ALL SELECT trip, point, 'now', seq FROM j WHERE ahead_m <= greatest(20.0, least(45.0, 2 * v))) SELECT trip, point, stage, min(seq) AS seq FROM s GROUP BY ALL""",

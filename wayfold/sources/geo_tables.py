@@ -67,8 +67,8 @@ def track(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(trip, point, lat_e7, lon_e7): each fourth sample of a trip."""
-    return track(spark, sf_dir).filter("seq % 4 = 1").select("trip", ((F.col("seq") - 1) / 4).cast("int").alias("point"), "lat_e7", "lon_e7")
+    """(trip, point, lat_e7, lon_e7): the samples of a trip as points of a way."""
+    return track(spark, sf_dir).select("trip", (F.col("seq") - 1).alias("point"), "lat_e7", "lon_e7")
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:

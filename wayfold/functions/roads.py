@@ -103,5 +103,16 @@ def direction(tags: Column) -> Column:
     )
 
 
+def visible(road_class: Column, zoom: Column) -> Column:
+    """Whether a class of road is drawn at a zoom."""
+    last = F.when(zoom <= 8, 2).when(zoom <= 10, 3).when(zoom <= 12, 5).otherwise(12)
+    return (road_class >= 1) & (road_class <= last)
+
+
+def owner_zoom(road_class: Column) -> Column:
+    """The zoom whose tiles hold a road."""
+    return F.when(road_class.between(1, 3), 10).when(road_class.between(4, 5), 12).otherwise(14)
+
+
 def gateway_penalty_m(road_class: Column) -> Column:
     return F.when(road_class <= 3, 0).when(road_class == 4, 500).when(road_class == 5, 1200).otherwise(3000)

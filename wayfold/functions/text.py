@@ -22,6 +22,39 @@ def normalized(name: Column) -> Column:
     return F.when(clean != "", clean)
 
 
+# Spoken instructions by manoeuvre.
+SPOKEN = {
+    "DEPART": "Demarrez", "CONTINUE": "Continuez tout droit", "SLIGHT_LEFT": "Legerement a gauche", "LEFT": "Tournez a gauche", "SHARP_LEFT": "Tournez fortement a gauche",
+    "SLIGHT_RIGHT": "Legerement a droite", "RIGHT": "Tournez a droite", "SHARP_RIGHT": "Tournez fortement a droite", "UTURN": "Faites demi-tour", "ARRIVE": "Vous etes arrive",
+}
+
+
+def spoken(kind: Column, exit_no: Column) -> Column:
+    """What is said for an instruction; a roundabout names its exit where that is known."""
+    plain = F.create_map(*[F.lit(x) for pair in SPOKEN.items() for x in pair])
+    roundabout = F.when(exit_no > 0, F.concat(F.lit("Au rond-point, prenez la sortie "), exit_no.cast("string"))).otherwise("Entrez dans le rond-point")
+    return F.when(kind == "ROUNDABOUT", roundabout).otherwise(F.coalesce(plain[kind], F.lit("Continuez")))
+
+
+def label_zoom(kind: Column) -> Column:
+    """How far out a place's label shows: 1 (region) for cities, 2 for towns, 3 for villages and suburbs, 4 for all else."""
+    return F.when(kind == 1, 1).when(kind == 2, 2).when(kind.isin(3, 5), 3).otherwise(4)
+
+
+def place_kind(tags: Column) -> tuple[Column, Column]:
+    """(kind, base rank) of a tagged node; null where it is no place. The place tag is asked first."""
+    number = F.create_map(*[F.lit(x) for name, no, _ in PLACE_KINDS for x in (name, no)])
+    rank = F.create_map(*[F.lit(x) for name, _, base in PLACE_KINDS for x in (name, base)])
+    settled = F.when(tags["place"].isin("city", "town", "village", "hamlet", "suburb", "quarter"), tags["place"])
+    name = F.coalesce(
+        settled,
+        F.when(tags["amenity"] == "fuel", "fuel"),
+        F.when(tags["tourism"].isin("camp_site", "viewpoint"), tags["tourism"]),
+        F.when(tags["shop"] == "motorcycle", "motorcycle_shop"),
+    )
+    return number[name], rank[name]
+
+
 def lower_ascii(name: Column) -> Column:
     """A-Z in lower case, other letters as they are."""
     return F.translate(name, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

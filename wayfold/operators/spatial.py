@@ -18,14 +18,34 @@ def cell(e7: Column, size: int = CELL_E7) -> Column:
 
 
 def cell_counts(nodes: DataFrame, size: int = CELL_E7) -> DataFrame:
-    """(cell_y, cell_x, n, first): nodes per cell, and how many lie in the cells of the same row before it.
+    """(cell_y, cell_x, n, first): nodes per cell, and how many lie in the cells before it, row by row.
 
-    Running counts start anew in each row of cells, so rows are windows of their own; the
-    count of whole rows before is one number per row.
+    Rows of cells are windows of their own; what lies in whole rows before is a running sum over one number per row.
     """
     counts = nodes.groupBy(cell(F.col("lat_e7"), size).alias("cell_y"), cell(F.col("lon_e7"), size).alias("cell_x")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("cell_y").orderBy("cell_x").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return _with_first(counts, "cell_y", "cell_x")
+
+
+def _with_first(counts: DataFrame, row: str, place: str) -> DataFrame:
+    """counts (row, place, n) with `first`: the sum of n over all rows and places before."""
+    rows = counts.groupBy(row).agg(F.sum("n").alias("row_n"))
+    above = rows.select(row, F.coalesce(F.sum("row_n").over(Window.orderBy(row).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
+    before = Window.partitionBy(row).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    inside = counts.withColumn("__inside", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return inside.join(above, row).withColumn("first", F.col("above") + F.col("__inside")).drop("above", "__inside")
+
+
+def first_edges(edges: DataFrame, per_row: int = 4096) -> DataFrame:
+    """(node, n, first): how many edges leave each node, and at which place its edges begin when all are sorted by (src, dst)."""
+    counts = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")).withColumn("__row", F.floor(F.col("node") / per_row))
+    return _with_first(counts, "__row", "node").drop("__row")
+
+
+def sorted_edges(edges: DataFrame) -> DataFrame:
+    """(place, src, dst, edge_id): all edges in the order of (src, dst, edge_id), places from 0."""
+    within = Window.partitionBy("src").orderBy("dst", "edge_id")
+    nth = edges.select("src", "dst", "edge_id").withColumn("__nth", F.row_number().over(within) - 1)
+    return nth.join(first_edges(edges).select(F.col("node").alias("src"), "first"), "src").select((F.col("first") + F.col("__nth")).alias("place"), "src", "dst", "edge_id")
 
 
 def segments(edges: DataFrame) -> DataFrame:

@@ -17,6 +17,24 @@ def upserted(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFra
     return rows.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
+def retained(rows: DataFrame, owner: str, at: str, key: str, k: int = 50) -> DataFrame:
+    """Each owner's k newest rows: what is left when every insertion deletes all older ones."""
+    order = Window.partitionBy(owner).orderBy(F.desc(at), F.desc(key))
+    return rows.withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= k).drop("__nth")
+
+
+def kept(changes: DataFrame, key: list[str], op: str, order: list[str]) -> DataFrame:
+    """The rows that insertions and deletions leave: of each key the last change, unless it deletes."""
+    names = [c for c in changes.columns if c not in key]
+    last = changes.groupBy(*key).agg(F.max_by(F.struct(*names), F.struct(*order)).alias("last"))
+    return last.filter(F.col(f"last.{op}") != "delete").select(*key, *[F.col(f"last.{n}").alias(n) for n in names if n != op])
+
+
+def looked_up(asked: DataFrame, settings: DataFrame, key: str, value: str, fallback: str) -> DataFrame:
+    """(key, value): settings by key, or what is asked for to fall back on."""
+    return asked.join(settings.select(key, value), key, "left").select(key, F.coalesce(value, fallback).alias(value))
+
+
 def reference_labels(labels: DataFrame, per_group: str, k: int = 3) -> DataFrame:
     """For each group the first k labels: cities, then towns, then villages, by rank and id."""
     order = Window.partitionBy(per_group).orderBy("kind", F.desc("rank"), "place_id")

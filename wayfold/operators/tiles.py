@@ -115,3 +115,19 @@ def ring_areas(rings: DataFrame) -> DataFrame:
     nx, ny = (F.coalesce(F.lead(c).over(order), F.first(c).over(whole)) for c in ("x", "y"))
     sides = rings.withColumns({"nx": nx, "ny": ny})
     return sides.groupBy("ring_id").agg(F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y")).alias("area2"), F.sum(F.pow(F.col("nx") - F.col("x"), 2) + F.pow(F.col("ny") - F.col("y"), 2)).cast("long").alias("perimeter2"))
+
+
+def bucketed(records: DataFrame, tile: list[str], record: str) -> DataFrame:
+    """One row per tile with its records in order; a tile holds what lies in it, so its size is the map's density, not the table's."""
+    return records.groupBy(*tile).agg(F.sort_array(F.collect_list(record)).alias("records"))
+
+
+def manifest(tiles: DataFrame, layer: str) -> DataFrame:
+    """(layer, tiles, records, manifest): per layer the number of tiles and records, and a digest of all tiles in order.
+
+    First a digest of each column of tiles, then one of the columns' digests: no group is larger than the map is wide.
+    """
+    listed = lambda entries, parts: F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*entries))), lambda t: F.concat_ws(":", *[t[p] for p in parts])), ",").cast("binary"))
+    sized = tiles.select(layer, "tile_x", "tile_y", F.size("records").alias("n"))
+    columns = sized.groupBy(layer, "tile_x").agg(F.count("*").alias("tiles"), F.sum("n").alias("records"), listed(("tile_y", "n"), ("tile_y", "n")).alias("digest"))
+    return columns.groupBy(layer).agg(F.sum("tiles").alias("tiles"), F.sum("records").alias("records"), listed(("tile_x", "digest"), ("tile_x", "digest")).alias("manifest"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfold.functions import geo, roads
+from wayfold.functions import geo, roads, text
 
 
 def routable(ways: DataFrame) -> DataFrame:
@@ -48,6 +48,54 @@ def counters(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return ways.agg(F.count("*").alias("ways")).crossJoin(routable(ways).agg(F.count("*").alias("routable"))).crossJoin(found)  # one row each
 
 
+def places(nodes: DataFrame) -> DataFrame:
+    """(id, name, normalized, kind, rank, lat_e7, lon_e7) of nodes (id, tags, lat_e7, lon_e7) that are named places; of a repeated id the last row (by version).
+
+    The French name comes first; a place whose name has no letter or digit is left out.
+    """
+    kind, base = text.place_kind(F.col("tags"))
+    name = F.coalesce(F.col("tags")["name:fr"], F.col("tags")["name"])
+    rows = nodes.select("id", "version", name.alias("name"), kind.alias("kind"), text.place_rank(base, text.population(F.coalesce(F.col("tags")["population"], F.lit("")))).alias("rank"), "lat_e7", "lon_e7")
+    named = rows.filter("kind IS NOT NULL AND name IS NOT NULL").withColumn("normalized", text.normalized(F.col("name"))).filter("normalized IS NOT NULL")
+    columns = ["name", "normalized", "kind", "rank", "lat_e7", "lon_e7"]
+    return named.groupBy("id").agg(F.max_by(F.struct(*columns), "version").alias("p")).select("id", "p.*")
+
+
+def located(features: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, kind, points) of features (id, kind, refs): their nodes in order; one missing node drops the feature, and so do too few points.
+
+    Lines need two points, areas four, a building that stands for itself one.
+    """
+    refs = features.select("id", "kind", F.size("refs").alias("n"), F.posexplode("refs").alias("pos", "ref"))
+    found = refs.join(nodes.select(F.col("id").alias("ref"), "lat_e7", "lon_e7"), "ref").groupBy("id", "kind", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "lat_e7", "lon_e7"))).alias("points"))
+    line = F.col("kind").isin("river", "canal", "stream", "drain", "coastline", "motorway", "trunk", "primary")
+    enough = F.when(line, F.col("n") >= 2).otherwise((F.col("n") >= 4) | ((F.col("kind") == "building") & (F.col("n") == 1)))
+    return found.filter((F.size("points") == F.col("n")) & enough).select("id", "kind", "points")
+
+
+def stored_refs(kind: Column, tags: Column, refs: Column) -> Column:
+    """The references that are kept of an area: a closed building outside built-up land is its first point."""
+    alone = (kind == "building") & (F.element_at(refs, 1) == F.element_at(refs, -1)) & ~F.coalesce(tags["landuse"].isin("residential", "commercial", "industrial", "retail"), F.lit(False))
+    return F.when(alone, F.slice(refs, 1, 1)).otherwise(refs)
+
+
+def waterway_kind(tags: Column) -> Column:
+    """'river', 'canal', 'stream' or 'drain' (ditches too); null for anything else."""
+    return F.when(tags["waterway"].isin("river", "canal", "stream"), tags["waterway"]).when(tags["waterway"].isin("drain", "ditch"), "drain")
+
+
+def overview_kind(tags: Column) -> Column:
+    """'coastline', 'motorway', 'trunk' or 'primary'; null for anything else."""
+    road = F.create_map(F.lit(1), F.lit("motorway"), F.lit(2), F.lit("trunk"), F.lit(3), F.lit("primary"))
+    return F.when(tags["natural"] == "coastline", "coastline").otherwise(road[roads.class_of_highway(tags["highway"])])
+
+
+def members(relations: DataFrame, ways: DataFrame) -> DataFrame:
+    """(relation, role, way, refs) of relations (id, members array<struct<type, ref, role>>): their member ways that are there."""
+    rows = relations.select(F.col("id").alias("relation"), F.explode("members").alias("m")).filter("m.type = 'way'")
+    return rows.select("relation", F.col("m.role").alias("role"), F.col("m.ref").alias("id")).join(ways.select("id", "refs"), "id").select("relation", "role", F.col("id").alias("way"), "refs")
+
+
 def area_kind(tags: Column) -> Column:
     """'water', 'green', 'built_up' or 'building', in this order of precedence; null for anything else."""
     water = ((tags["natural"] == "water") & (F.coalesce(tags["water"], F.lit("")) != "no")) | tags["landuse"].isin("reservoir", "basin") | (tags["waterway"] == "riverbank")

@@ -73,7 +73,7 @@ SQL: dict[str, str] = {
     "tile_counts_by_zoom": f"""WITH {NODES}, z AS (SELECT zoom, floor({MERC_X} * power(2.0, zoom))::INT AS tx, floor({MERC_Y} * power(2.0, zoom))::INT AS ty FROM nodes, (SELECT unnest([6, 8, 10, 12, 14]) AS zoom))
         SELECT zoom, count(DISTINCT (tx, ty)) AS tiles, count(*) AS points FROM z GROUP BY 1""",
     "grid_cells_csr": f"""WITH {NODES}, c AS (SELECT floor(lat_e7 / 2500000)::BIGINT AS cell_y, floor(lon_e7 / 2500000)::BIGINT AS cell_x, count(*) AS n FROM nodes GROUP BY 1, 2)
-        SELECT *, coalesce(sum(n) OVER (PARTITION BY cell_y ORDER BY cell_x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM c""",
+        SELECT *, coalesce(sum(n) OVER (ORDER BY cell_y, cell_x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM c""",
     "segments_distinct": f"WITH {EDGES} SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges",
     "nearest_node": f"""WITH {NODES}, {POINTS}, d AS (SELECT point_id, node_id, {hav("p.lat_e7 / 1e7", "p.lon_e7 / 1e7", "n.lat_e7 / 1e7", "n.lon_e7 / 1e7")} AS m FROM points p, nodes n)
         SELECT point_id, arg_min(node_id, (m, node_id)) AS node_id, round(min(m), 3) AS distance_m FROM d GROUP BY 1""",

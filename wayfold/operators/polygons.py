@@ -175,7 +175,7 @@ def assembled(members: DataFrame) -> DataFrame:
     """
 
     def rings(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        left = [list(r) for r in frame.sort_values("way")["refs"] if len(r) >= 2]
+        left = [[int(n) for n in r] for r in frame.sort_values("way")["refs"] if len(r) >= 2]
         out = []
         while left:
             chain = left.pop(0)
@@ -187,7 +187,7 @@ def assembled(members: DataFrame) -> DataFrame:
                 chain += way[1:] if way[0] == chain[-1] else way[-2::-1]
             if chain[0] == chain[-1] and len(chain) >= 4:
                 out.append(chain)
-        return pd.DataFrame({"relation": [key[0]] * len(out), "ring": range(len(out)), "refs": out})
+        return pd.DataFrame({"relation": [key[0]] * len(out), "ring": range(len(out)), "refs": pd.Series(out, dtype=object)})
 
     outer = members.filter("role IS NULL OR role IN ('', 'outer')")
     return outer.groupBy("relation").applyInPandas(rings, "relation long, ring int, refs array<long>")

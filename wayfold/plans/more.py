@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfold.functions import geo, roads, text
-from wayfold.operators import graph, navigation, polygons, routing, spatial, store, tiles, tracks, ways
+from wayfold.operators import matching, navigation, polygons, routing, spatial, store, tiles, tracks, ways
 from wayfold.plans import oracles as o
 from wayfold.session import table
 from wayfold.sources import geo_tables as g
@@ -458,6 +458,14 @@ def track_recording(spark: SparkSession, sf: str) -> DataFrame:
     return tracks.recorded(g.track(spark, sf), 400.0).withColumn("total_m", F.round("total_m", 2))
 
 
+@query(None)
+def map_matching(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sample, set off its way by some metres, matched to its trip's way, with the session so far; held to plain loops by the tests."""
+    samples = g.track(spark, sf).select("trip", "seq", (F.col("lat_e7") + 1370).alias("lat_e7"), (F.col("lon_e7") - 2110).alias("lon_e7"), (F.col("speed_cms") / 100).alias("speed_mps"), "heading_deg", "dt_s")
+    found = matching.matched(samples, g.routes(spark, sf))
+    return found.select("trip", "seq", "segment", "status", "reroute", "reroutes", F.round("distance_m", 3).alias("distance_m"), F.round("remaining_m", 2).alias("remaining_m"), F.round("way_m", 2).alias("way_m"))
+
+
 @query(
     """WITH p AS (SELECT l_orderkey AS route, l_linenumber % 2 AS leg, l_linenumber::BIGINT * 1000000000 + l_partkey * 1000 + l_suppkey AS point, (l_partkey % 3)::DOUBLE AS lat, 0.0::DOUBLE AS lon, (l_suppkey % 8)::INT AS flags FROM lineitem),
     n AS (SELECT *, sum(CASE WHEN coalesce(abs(lat - pl) <= 1e-10, false) THEN 0 ELSE 1 END) OVER (PARTITION BY route ORDER BY leg, point ROWS UNBOUNDED PRECEDING)::BIGINT AS seq FROM (SELECT *, lag(lat) OVER (PARTITION BY route ORDER BY leg, point) AS pl FROM p))

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -53,6 +54,9 @@ def test_toxicity_cases(spark, odd):
     labels = spark.createDataFrame([(k, 1, int(k % 2)) for k in range(15)], "doc_id long, quality int, toxic int")
     assert toxicity.scored(odd, labels).count() == odd.count()
     assert toxicity.scored(odd.limit(0), labels).count() == 0
+    both = labels.union(labels.withColumn("toxic", 1 - F.col("toxic")))
+    one = toxicity.scored(odd, both.repartition(3)).orderBy("doc_id", "score").collect()
+    assert one == toxicity.scored(odd, both.repartition(7)).orderBy("doc_id", "score").collect()
     kept = toxicity.clean(odd, none)
     assert kept.columns == odd.columns and kept.count() == odd.count()
 
@@ -86,11 +90,57 @@ def test_order_minhash_contract(spark, odd):
     assert not re.search("Python|Pandas|InArrow", plan)
 
 
+def signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def spark_hash(*values):
+    """Spark's xxhash64: 64-bit XXH with seed 42, each column's hash the next one's seed; ints take 4 bytes, longs 8."""
+    seed = 42
+    for kind, v in values:
+        raw = v.encode() if kind == "s" else struct.pack("<i" if kind == "i" else "<q", v)
+        seed = xxhash.xxh64_intdigest(raw, seed & (1 << 64) - 1)
+    return signed(seed)
+
+
+def plain_order_minhash(text, m=64):
+    """The fingerprint by direct selection: each hash function's two least k-mers, in text order."""
+    low = (1 << 24) - 1
+    w = re.findall(r"[^\x20\x09-\x0D]{1,12}", text)
+    if not w:
+        return [0] * m
+    grams = [("s", w[0])] and ([spark_hash(("s", w[0]))] if len(w) < 2 else [spark_hash(("s", a), ("s", b)) for a, b in zip(w, w[1:], strict=False)])
+    seen, marks = Counter(), []
+    for pos, h in enumerate(grams):
+        h &= ~low
+        nth = seen[h]
+        seen[h] += 1
+        marks.append((h if nth == 0 else spark_hash(("q", h >> 24), ("i", nth)) & ~low) | pos)
+    out = []
+    for j in range(m):
+        probe = signed(((j - m // 2) << 58) % (1 << 64)) | low
+        first, second = (sorted(marks, key=lambda x: (x - probe) % (1 << 64)) * 2)[:2]
+        a, b = sorted((first, second), key=lambda x: x & low)
+        out.append(spark_hash(("q", a >> 24), ("q", b >> 24)) & 0xFFFFFFFF)
+    return out
+
+
 def test_order_minhash_against_plain_selection(spark):
-    """With few k-mers the selection equals a direct one: the two that follow each probe."""
-    rows = spark.createDataFrame([(0, "a b a b a c"), (1, "c a b a b a"), (2, "a b a b a c")], "doc_id long, text string")
-    got = {r.doc_id: r.sig for r in ordermin.fingerprinted(rows, "text", "sig").collect()}
-    assert got[0] == got[2] and got[0] != got[1]  # the same k-mers but for order and one pair
+    rng = np.random.default_rng(5)
+    texts = ["", "one", "a b", "a b a b a c", "c a b a b a", "x" * 100 + " \u00e9t\u00e9 y", " ".join(f"w{k}" for k in rng.integers(0, 30, 200)), " ".join(f"w{k}" for k in rng.integers(0, 5000, 300))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: list(r.sig) for r in ordermin.fingerprinted(rows, "text", "sig").collect()}
+    assert got == {k: plain_order_minhash(t) for k, t in enumerate(texts)}
+    assert got[3] != got[4]
+
+
+def test_order_minhash_of_repeated_and_null_ids(spark):
+    """Rows that repeat an id follow each other by text; null ids come first; no row is lost."""
+    rows = [(3, "c c"), (None, "n n"), (1, "b b"), (1, "a a"), (1, "a a"), (None, None)]
+    got = ordermin.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows)
+    alike = [r.near_next for r in got if r.doc_id == 1]
+    assert sorted(alike) == [0.0, 0.0, 1.0]
 
 
 # 3 ------------------------------------------------------------------------------------------------
@@ -117,6 +167,19 @@ def test_ann_recall_and_scores(spark):
     assert hits / (20 * got.query_id.nunique()) >= 0.9
 
 
+def test_ann_on_clustered_vectors(spark):
+    """Many parts, few of them probed, recall against brute force over 0.9."""
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((120, 16))
+    x = (centres[rng.integers(0, 120, 20_000)] + 0.25 * rng.standard_normal((20_000, 16))).astype(np.float32)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    router = ann.fit(x[:8192].astype(float), len(x))
+    assert router.w2.shape[1] >= 8 and router.probes <= router.w2.shape[1] // 2
+    got = ann.search(table, table.filter("vec_id % 200 = 0")).toPandas()
+    hits = sum(len({v for v, _ in exact(x.astype(float), range(len(x)), q, 20)} & set(own.vec_id)) for q, own in got.groupby("query_id"))
+    assert hits / len(got) >= 0.9
+
+
 def test_ann_cases(spark):
     rows = [(k, [1.0, 0.0]) for k in range(60)] + [(60, None), (61, [0.0, 0.0]), (62, [float("nan"), 1.0]), (63, [1.0, None]), (64, [1.0]), (80, [0.5, 2.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("part", F.lit("x"))
@@ -124,6 +187,9 @@ def test_ann_cases(spark):
     assert set(got.query_id) == {0, 20, 40, 80}
     assert list(got[got.query_id == 20].sort_values("rank").vec_id) == [0, 1, 2, 3, 4]
     assert ann.search(table.limit(0), table.limit(0)).count() == 0
+    twice = table.filter("vec_id < 3").union(spark.createDataFrame([(0, [1.0, 0.0], "x"), (0, [0.0, 1.0], "x")], "vec_id long, embedding array<float>, part string"))
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(twice, twice.filter("vec_id = 0")).collect())
+    assert got == Counter({(0, 1, 1, 1.0): 2, (0, 2, 2, 1.0): 2, (0, 1, 1, 0.0): 1, (0, 2, 2, 0.0): 1})
     two = table.filter("vec_id < 3")
     assert ann.search(two, two.filter("vec_id = 0")).count() == 2
 
@@ -167,6 +233,15 @@ def test_pii_disguises_map_back(text, want):
     assert [text[a:b] for a, b, _ in found] == [want]
 
 
+def test_pii_long_runs_are_linear():
+    import time
+
+    begin = time.process_time()
+    for text in ("a (at) b" + " " * 200_000, "one two " * 20_000, "a@b.co " * 20_000 + "x (at) y (dot) zz", "( " * 50_000 + "(at)", "jo (at) (dot) me"):
+        pii.disguised(text, pii.plain(text))
+    assert time.process_time() - begin < 10
+
+
 def test_pii_table(spark, odd):
     got = {r.doc_id: r for r in pii.find(odd).collect()}
     assert got[13].n_email == 1 and got[13].n_ip == 1 and got[13].n_phone == 1 and got[13].n_added == 1

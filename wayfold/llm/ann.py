@@ -33,7 +33,9 @@ from pyspark.sql.window import Window
 
 from wayfold.llm.frames import saved
 
-SAMPLE, GOAL, BLOCK, PER_PART, MOST_PARTS, NEIGHBOURS = 8192, 0.94, 16384, 1024, 64, 10
+SAMPLE, GOAL, BLOCK, PER_PART, NEIGHBOURS = 8192, 0.94, 16384, 1024, 10
+#: Sample vectors that a part needs at least.
+TAUGHT = 16
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
@@ -116,7 +118,7 @@ def fit_router(x: np.ndarray, target: np.ndarray, hidden: int = 128, epochs: int
 def fit(x: np.ndarray, rows: int, k: int = 20) -> Router:
     """The router for a table of so many rows, from a sample of its vectors."""
     parts = 1
-    while parts * 2 <= MOST_PARTS and (parts < 4 or rows > parts * 2 * PER_PART) and len(x) >= parts * 2 * 8:
+    while (parts < 4 or rows > parts * 2 * PER_PART) and len(x) >= parts * 2 * TAUGHT:
         parts *= 2
     if len(x) <= NEIGHBOURS or parts == 1:
         dim = x.shape[1] if len(x) else 1
@@ -164,7 +166,7 @@ def _stack(packed) -> np.ndarray:
 
 
 def nearest_in_block(queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's k nearest of a block, as far as they reach its bound; a score does not depend on a row's place."""
+    """(place of the query, vec_id, score) of each query's k nearest of a block, as far as they reach its bound; a score does not depend on a row's place."""
     out_q, out_v, out_s = [], [], []
     for at in range(0, len(queries), 256):
         score = queries[at : at + 256] @ block.T
@@ -178,7 +180,7 @@ def nearest_in_block(queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndar
             pick = pick[ids[pick] != q]
             exact = (block[pick] * queries[at + r]).sum(1)
             best = np.lexsort((ids[pick], -exact))[:k]
-            out_q.append(np.full(len(best), q))
+            out_q.append(np.full(len(best), at + r))
             out_v.append(ids[pick][best])
             out_s.append(exact[best])
     if not out_q:
@@ -225,7 +227,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     shape = "part int, vec_id long, v binary"
     index = saved(rows.mapInArrow(route(1), shape))
     asked = queries.select(F.col(id_col).cast("long").alias("vec_id")).distinct()
-    routed = saved(rows.join(asked, "vec_id", "left_semi").mapInArrow(reach, shape + ", bound double"))
+    # Rows of one id and different vectors are queries of their own; equal rows are asked once and answered as often.
+    wanted_rows = saved(rows.join(asked, "vec_id", "left_semi").groupBy("vec_id", "v").agg(F.count("*").alias("times")))
+    routed = saved(wanted_rows.select("vec_id", "v").mapInArrow(reach, shape + ", bound double").withColumn("q", F.xxhash64("v")))
     # One count per part: blocks of bounded size on either side.
     held = {r.part: -(-r["count"] // BLOCK) for r in index.groupBy("part").count().collect()}
     wanted = {r.part: -(-r["count"] // BLOCK) for r in routed.groupBy("part").count().collect()}
@@ -244,10 +248,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
     def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        got = nearest_in_block(_stack(q["v"]), q["vec_id"].to_numpy(), q["bound"].to_numpy(), _stack(x["v"]), x["vec_id"].to_numpy(), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got, strict=True)))
-
-    found = left.groupBy(group).cogroup(right.groupBy(group)).applyInPandas(compare, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            return pd.DataFrame({n: pd.Series([], dtype="float64" if n == "score" else "int64") for n in ("query_id", "q", "vec_id", "score")})
+        place, near, score = nearest_in_block(_stack(q["v"]), q["vec_id"].to_numpy(), q["bound"].to_numpy(), _stack(x["v"]), x["vec_id"].to_numpy(), k)
+        return pd.DataFrame({"query_id": q["vec_id"].to_numpy()[place], "q": q["q"].to_numpy()[place], "vec_id": near, "score": score})
+
+    found = left.groupBy(group).cogroup(right.groupBy(group)).applyInPandas(compare, "query_id long, q long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    again = wanted_rows.filter("times > 1").select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("q"), "times")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("times", F.lit(1).cast("long"))))
+    return best.join(again, ["query_id", "q"], "left").withColumn("__copy", copies).select("query_id", "rank", "vec_id", "score")

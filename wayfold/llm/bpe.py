@@ -133,10 +133,9 @@ class Encoder:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocab AS SELECT tok, hex(bytes) AS bytes FROM vocab")
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """For each word its ids as little-endian unsigned 32-bit integers."""
-        raw = [w.encode() for w in words]
-        lengths = np.array([len(b) for b in raw], np.int64)
+    def words(self, raw: list[bytes]) -> list[bytes]:
+        """For each word (in UTF-8) its ids as little-endian unsigned 32-bit integers."""
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         starts = np.cumsum(lengths) - lengths
         parts = pa.table({  # noqa: F841
             "word": np.repeat(np.arange(len(raw), dtype=np.int32), lengths),
@@ -167,31 +166,22 @@ class Encoder:
         self.db.execute("DROP TABLE turned")
         return "WITH every AS (FROM coded)"
 
-    def cut(self, piece: str) -> list[str]:
-        """The pattern's matches of a piece; plain letters with at most one blank before them are one match."""
-        letters = piece[1:] if piece[0] == " " else piece
-        return [piece] if letters.isascii() and letters.isalpha() else self.match.findall(piece)
-
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces, all their new words in a few recursive queries."""
-        cut = {p: ws for p in pieces if len(ws := self.cut(p)) > 1}
+        # Plain letters with at most one blank before them are one match of the pattern.
+        mixed = [p for p in pieces if not ((q := p[1:] if p[0] == " " else p).isascii() and q.isalpha())]
+        cut = {p: ws for p in mixed if len(ws := self.match.findall(p)) > 1}
         known = self.pieces
-        coded: dict[str, bytes] = {}
-        new = sorted(({w for ws in cut.values() for w in ws} | (pieces - cut.keys())) - known.keys())
-        far = [w for w in new if len(w) > LONG // 4 and len(w.encode()) > LONG]
-        for some in (sorted(set(new) - set(far)), far) if far else (new,):
-            block: list[str] = []
-            size = squares = 0
-            for w in some:  # blocks of some 300,000 bytes bound the queries' tables
-                block.append(w)
-                size += len(w)
-                squares += len(w.encode()) ** 2 if some is not far else 0
-                if size >= 300_000 or squares >= SQUARES:
-                    coded.update(zip(block, self.words(block), strict=True))
-                    block, size, squares = [], 0, 0
-            if block:
-                coded.update(zip(block, self.words(block), strict=True))
-        known.update(coded)
+        new = list(({w for ws in cut.values() for w in ws} | (pieces - cut.keys())) - known.keys())
+        raw = [w.encode() for w in new]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        for some in (np.flatnonzero(sizes <= LONG), np.flatnonzero(sizes > LONG)):
+            # Blocks of some 300,000 bytes, and of short words some SQUARES, bound the queries' tables.
+            own = sizes[some]
+            block = np.cumsum(own) // 300_000 + (np.cumsum(own * own) // SQUARES if len(own) and own.max() <= LONG else 0)
+            for part in np.split(some, np.flatnonzero(np.diff(block)) + 1) if len(some) else []:
+                places = part.tolist()
+                known.update(zip([new[k] for k in places], self.words([raw[k] for k in places]), strict=True))
         for p, ws in cut.items():
             known[p] = b"".join([known[w] for w in ws])
 

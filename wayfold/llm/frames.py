@@ -19,7 +19,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def text_batches(frame: DataFrame, rows: int = 1000) -> DataFrame:
-    """The frame; its session hands texts to Python workers in batches of at most so many rows, which bounds their memory."""
+    """The frame, as it is; operators on texts call this so that their session hands texts to Python workers in batches of at most so many rows.
+
+    The setting stays for the session: Spark reads it when a query runs, after the operator has returned.
+    """
     conf, name = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name, "10000")) <= rows:
         conf.set(name, rows)

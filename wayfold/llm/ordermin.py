@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 from wayfold.llm.frames import partitions
 
 K, M, PIECE = 2, 64, 12
+RANGE_CHARS, MOST_RANGES = 64_000_000, 2_000
 _POS = (1 << 24) - 1
 _PROBES = "transform(sequence(0, {m} - 1), j -> shiftleft(CAST(j AS BIGINT) - {half}, {shift}) | {pos})"
 
@@ -72,10 +73,12 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Each row with `next_<column>` of the row that follows by (doc_id, text); the first follows the last. Null ids come first.
 
     Rows are dealt into ranges of doc_id; a range also receives a copy of the row that follows it.
-    Only the ranges' bounds pass the driver.
+    Only the ranges' bounds pass the driver. There are two ranges for each shuffle partition, or one for each
+    `RANGE_CHARS` of text where that is more (up to `MOST_RANGES`; beyond, the partitions decide).
     """
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    n = 2 * partitions(rows.sparkSession)
+    chars = rows.agg(F.sum(F.length("text"))).collect()[0][0] or 0
+    n = max(2 * partitions(rows.sparkSession), min(MOST_RANGES, chars // RANGE_CHARS))
     cuts = rows.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 20 * n).alias("c")).collect()[0].c
     cuts = sorted(set(cuts or []))
     part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= key)) if cuts else F.lit(0)

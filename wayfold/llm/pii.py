@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -143,10 +144,11 @@ def _ordered(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 _DIGIT = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 #: What the transducer rewrites, in order of preference at a place: a bracketed "at"
 #: or "dot"; a spelled "dot" between words or numbers; a run of at least two spelled
-#: digits, or one that touches digits; "plus" before digits.
+#: digits, or one that touches digits; "plus" before digits. Blanks before a bracket are tried
+#: from where their run begins or not at all, so a long run is read once.
 _REWRITES = re.compile(
-    r"(?P<at>\s*[\[({<]\s*(?:at|@|arroba|arobase)\s*[\])}>]\s*)"
-    r"|(?P<dot>\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*)"
+    r"(?P<at>(?:(?<!\s)\s*|(?<=\s))[\[({<]\s*(?:at|@|arroba|arobase)\s*[\])}>]\s*)"
+    r"|(?P<dot>(?:(?<!\s)\s*|(?<=\s))[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*)"
     r"|(?P<wordat>(?<=[a-z0-9])\s+at\s+(?=[a-z0-9-]+(?:\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+)[a-z0-9]))"
     r"|(?P<worddot>(?<=[a-z0-9])\s+(?:dot|punkt|punto)\s+(?=[a-z0-9]))"
     rf"|(?P<plus>\bplus[\s-]+(?=(?:{_DIGIT}|[0-9])\b))"
@@ -230,11 +232,13 @@ def disguised(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, in
     if (got := rewrite(text)) is None:
         return []
     new, at, to = got
-    taken = {kind: [(a, b) for a, b, k in base if k == kind] for kind in KINDS}
+    starts = {kind: [a for a, _, k in base if k == kind] for kind in KINDS}  # in order; plain spans of a kind don't overlap
+    ends = {kind: [b for _, b, k in base if k == kind] for kind in KINDS}
     more = []
     for a, b, kind in plain(new):
         span = (at[a], to[b - 1])
-        if not any(x < span[1] and span[0] < y for x, y in taken[kind]):
+        before = bisect_left(starts[kind], span[1])  # of the spans that begin before this one ends, the last reaches farthest
+        if not before or ends[kind][before - 1] <= span[0]:
             more.append((*span, kind))
     return more
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfold.functions import geo
+from wayfold.session import saved
 
 
 def _around(cells: DataFrame) -> DataFrame:
@@ -131,3 +132,37 @@ def manifest(tiles: DataFrame, layer: str) -> DataFrame:
     sized = tiles.select(layer, "tile_x", "tile_y", F.size("records").alias("n"))
     columns = sized.groupBy(layer, "tile_x").agg(F.count("*").alias("tiles"), F.sum("n").alias("records"), listed(("tile_y", "n"), ("tile_y", "n")).alias("digest"))
     return columns.groupBy(layer).agg(F.sum("tiles").alias("tiles"), F.sum("records").alias("records"), listed(("tile_x", "digest"), ("tile_x", "digest")).alias("manifest"))
+
+
+def levels(cells: DataFrame, steps: tuple[tuple[int, int, int], ...] = ((11, 5, 1), (10, 1, 1), (9, 1, 2))) -> DataFrame:
+    """(level, x, y): coarser levels of a mask, each from the one before: (level, halvings, closing passes)."""
+    out, now = None, cells
+    for level, halvings, passes in steps:
+        now = parents(now, halvings)
+        for _ in range(passes):
+            now = closed(now)
+        now = saved(now)
+        rows = now.select(F.lit(level).alias("level"), "x", "y")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def retiled(lines: DataFrame, zooms: tuple[int, ...], most_tiles: int = 8) -> DataFrame:
+    """(zoom, line_id, tile_x, tile_y, t0, t1): the lines' parts in the tiles of several zooms, one after the other."""
+    parts = [clipped_lines(lines, z, most_tiles).select(F.lit(z).alias("zoom"), "line_id", "tile_x", "tile_y", "t0", "t1") for z in zooms]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+#: The least area in pixels that is kept at each zoom; water keeps half as much.
+LEAST_PIXELS = {9: 5.0, 10: 3.0, 11: 1.5, 12: 0.8, 13: 0.4, 14: 0.2}
+
+
+def large_enough(areas: DataFrame) -> DataFrame:
+    """(zoom, ring_id, pixels) of rings (ring_id, world_area, water) for each zoom at which they are not too small."""
+    zoom = F.explode(F.create_map(*[F.lit(x) for pair in LEAST_PIXELS.items() for x in pair])).alias("zoom", "least")
+    pixels = F.abs(F.col("world_area")) * F.pow(F.lit(4.0), F.col("zoom")) * 65536
+    rows = areas.select("ring_id", "world_area", "water", zoom).withColumn("pixels", pixels)
+    return rows.filter(F.col("pixels") >= F.col("least") * F.when(F.col("water"), 0.5).otherwise(1.0)).select("zoom", "ring_id", "pixels")

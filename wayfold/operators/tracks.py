@@ -128,3 +128,32 @@ def recorded(track: DataFrame, every_m: float = 10.0) -> DataFrame:
         return last, None
 
     return folded(cumulative(track), step, ["total_m"], "total_m double")
+
+
+def state_events(samples: DataFrame, state: Column) -> DataFrame:
+    """(trip, seq, state): the samples at which a state differs from the one before, the first sample's included."""
+    order = _order("seq")
+    rows = samples.select("trip", "seq", state.alias("state"))
+    return rows.withColumn("before", F.lag("state").over(order)).filter(~F.col("state").eqNullSafe(F.col("before"))).drop("before")
+
+
+def lost_signals(samples: DataFrame, timeout_s: float = 5.0) -> DataFrame:
+    """(trip, seq, lost_at_s, silent_s): the samples after which nothing came for longer than the timeout; samples (trip, seq, at_s)."""
+    gap = F.lead("at_s").over(_order("seq")) - F.col("at_s")
+    return samples.withColumn("silent_s", gap).filter(F.col("silent_s") > timeout_s).select("trip", "seq", (F.col("at_s") + timeout_s).alias("lost_at_s"), "silent_s")
+
+
+def segments_at(places: DataFrame, way: DataFrame) -> DataFrame:
+    """(trip, place_m, point, rest_m): for places (trip, place_m) along a way (trip, point, total_m) the segment that holds each, and how far into it: an as-of join by union and window."""
+    left = places.select("trip", F.col("place_m").alias("m"), F.lit(1).alias("asks"), F.lit(None).cast("struct<point: int, m: double>").alias("mark"))
+    right = way.select("trip", F.col("total_m").alias("m"), F.lit(0).alias("asks"), F.struct(F.col("point").cast("int").alias("point"), F.col("total_m").alias("m")).alias("mark"))
+    order = Window.partitionBy("trip").orderBy("m", "asks", F.col("mark.point")).rowsBetween(Window.unboundedPreceding, 0)
+    both = left.unionByName(right).withColumn("last", F.last("mark", ignorenulls=True).over(order))
+    return both.filter("asks = 1 AND last IS NOT NULL").select("trip", F.col("m").alias("place_m"), "last.point", (F.col("m") - F.col("last.m")).alias("rest_m"))
+
+
+def ridden_times(points: DataFrame) -> DataFrame:
+    """Points of a recorded way (trip, seq, step_m, speed_kph) with time_s so far; speeds below 5 or unknown count as 50 km/h, those above 160 as 160."""
+    v = F.col("speed_kph")
+    kph = F.when(v.isNull() | F.isnan(v) | (v < 5), 50.0).otherwise(F.least(F.lit(160.0), v))
+    return points.withColumn("time_s", F.sum(F.col("step_m") / (kph / 3.6)).over(_order("seq").rowsBetween(Window.unboundedPreceding, 0)))

@@ -14,12 +14,12 @@ from pyspark.sql.window import Window
 
 from wayfold.functions import geo, roads, text
 from wayfold.operators import graph, navigation, search, spatial, store, tiles, tracks
-from wayfold.plans import more, oracles
+from wayfold.plans import more, oracles, world
 from wayfold.session import table
 from wayfold.sources import geo_tables as g
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(more.QUERIES)
-ORACLES: dict[str, str] = oracles.SQL | more.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = more.QUERIES | world.QUERIES
+ORACLES: dict[str, str] = oracles.SQL | more.ORACLES | world.ORACLES
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -34,7 +34,7 @@ def host_of(url: Column) -> Column:
 
 
 #: What is no text of a page, and the tags that end a line, as patterns that Java and RE2 read alike.
-_NO_TEXT = r"(?is)<!--.*?-->|<(?:script|style|noscript|template|head)(?:\s[^>]*)?>.*?</(?:script|style|noscript|template|head)\s*>"
+_NO_TEXT = r"(?is)<(?:!--.*?-->|(?:script|style|noscript|template|head)(?:\s[^>]*)?>.*?</(?:script|style|noscript|template|head)\s*>)"
 _ENDS_LINE = r"(?i)</?(?:p|div|li|ul|ol|br|tr|table|h[1-6]|section|article|header|footer|nav|aside|main|blockquote|pre|td|th|dd|dt|dl|form|hr|body|html)(?:\s[^>]*)?/?>"
 
 
@@ -65,9 +65,9 @@ def dedup(pages: DataFrame, host: Column, text_col: str = "text", ratio: float =
     if (drops.agg(F.sum(F.size("__drop"))).collect()[0][0] or 0) <= BROADCAST_LINES and drops.count() <= BROADCAST_LINES:
         drops = F.broadcast(drops)  # and the pages stay where they are
     parted = F.split(text, "\n")
-    kept = F.filter(parted, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__here"), F.xxhash64(F.trim(x))))
-    found = pages.join(drops, host.eqNullSafe(F.col("__host")), "left").withColumn("__here", F.array_intersect(_digests(parted), F.col("__drop")))
-    joined = found.withColumns(
-        {"n_lines": F.coalesce(F.size(parted), F.lit(0)), "__kept": F.when(F.col("__drop").isNull(), parted).otherwise(kept)}
-    )
-    return joined.withColumns({"n_dropped": F.when(text.isNull(), 0).otherwise(F.col("n_lines") - F.size("__kept")), text_col: F.when(F.col("__drop").isNull(), text).otherwise(F.array_join("__kept", "\n"))}).drop("__host", "__drop", "__here", "__kept")
+    # Lines and what of them goes are bound once for a page: inside a lambda a plain column's expression is computed for each line.
+    once = F.struct(parted.alias("lines"), F.array_intersect(_digests(parted), F.col("__drop")).alias("gone"))
+    kept = F.transform(F.array(once), lambda s: F.filter(s["lines"], lambda x: (F.trim(x) == "") | ~F.array_contains(s["gone"], F.xxhash64(F.trim(x)))))[0]
+    joined = pages.join(drops, host.eqNullSafe(F.col("__host")), "left").withColumn("__kept", F.when(F.col("__drop").isNull(), parted).otherwise(kept))
+    rows = joined.withColumns({"n_lines": F.coalesce(F.size(parted), F.lit(0)), "__left": F.size("__kept"), text_col: F.when(F.col("__drop").isNull(), text).otherwise(F.array_join("__kept", "\n"))})
+    return rows.withColumn("n_dropped", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines") - F.col("__left"))).drop("__host", "__drop", "__kept", "__left")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import ann, bpe, html, jaccard, lines, lm, mix, ordermin, pii, toxicity
-from wayfold.session import table
+from wayfold.session import saved, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", lines.host_of(F.col("url")).alias("host"), lines.lines_of_html(F.col("html")).alias("text"))
-    return lines.dedup(pages, F.col("host")).withColumns({n: F.col(n).cast("long") for n in ("n_lines", "n_dropped")})
+    return lines.dedup(saved(pages), F.col("host")).withColumns({n: F.col(n).cast("long") for n in ("n_lines", "n_dropped")})
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _OP5 = r"""
 WITH texts AS (
     SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host, regexp_replace(regexp_replace(regexp_replace(html,
-        '(?is)<!--.*?-->|<(?:script|style|noscript|template|head)(?:\s[^>]*)?>.*?</(?:script|style|noscript|template|head)\s*>', '', 'g'),
+        '(?is)<(?:!--.*?-->|(?:script|style|noscript|template|head)(?:\s[^>]*)?>.*?</(?:script|style|noscript|template|head)\s*>)', '', 'g'),
         '(?i)</?(?:p|div|li|ul|ol|br|tr|table|h[1-6]|section|article|header|footer|nav|aside|main|blockquote|pre|td|th|dd|dt|dl|form|hr|body|html)(?:\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS text
     FROM pages
 ),

@@ -65,7 +65,7 @@ _FOLDED = frozenset(map(chr, _FOLDS)) | frozenset(_WIDTHLESS)
 _BEYOND_LATIN = re.compile("[\u00ad\u0250-\U0010ffff]")  # all that is folded lies there
 
 _EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)+")  # a run of digits is read from its beginning or not at all
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")

@@ -99,20 +99,22 @@ def _planar2(lat: Column, lon: Column, a_lat: Column, a_lon: Column, b_lat: Colu
 def _pairs_within(points: DataFrame, located: DataFrame, radius_m: float) -> DataFrame:
     """(point_id, d2, both ends): the segments whose planar distance from a point is within the radius, up to a thousandth more.
 
-    A segment is entered in the cells that it comes near to, a cell being twice the radius wide, so
+    A segment is entered in the cells that it comes near to, row by row, a cell being twice the radius wide, so
     each candidate is met once by an equi-join on the point's own cell, and compared by a few
     products. Spark splits a cell that holds very many points or segments as a skewed join key.
     """
     reach = int(radius_m / 111_000 * 1e7) + 1
-    size = max(2 * reach, 2_000)
+    size = max(2 * reach, 500)
     wide = (reach / F.cos(F.radians(F.greatest(F.abs(F.col("a_lat")), F.abs(F.col("b_lat"))) / 1e7))).cast("long") + 1
-    lo_y, hi_y = cell(F.least("a_lat", "b_lat") - reach, size), cell(F.greatest("a_lat", "b_lat") + reach, size)
-    lo_x, hi_x = cell(F.least("a_lon", "b_lon") - wide, size), cell(F.greatest("a_lon", "b_lon") + wide, size)
     ends = [F.col(c).cast("double") for c in ("a_lat", "a_lon", "b_lat", "b_lon")]
-    entered = located.withColumn("cy", F.explode(F.sequence(lo_y, hi_y))).withColumn("cx", F.explode(F.sequence(lo_x, hi_x)))
-    middle = [(F.col(c) * size + size / 2).cast("double") for c in ("cy", "cx")]
-    k = F.cos(F.radians(F.col("cy") * size / 1e7))
-    touched = entered.filter(_planar2(*middle, *ends, k) <= (size * 0.75 + reach * 1.05) ** 2)
+    rows = located.withColumn("cy", F.explode(F.sequence(cell(F.least("a_lat", "b_lat") - reach, size), cell(F.greatest("a_lat", "b_lat") + reach, size))))
+    # The stretch of the segment beside a row of cells, as shares of its length, and the cells that it passes there.
+    rise, run = F.col("b_lat") - F.col("a_lat"), F.col("b_lon") - F.col("a_lon")
+    low, high = (F.col("cy") * size - reach - F.col("a_lat")) / rise, (F.col("cy") * size + size + reach - F.col("a_lat")) / rise
+    clamp = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    rows = rows.withColumns({"t0": F.when(rise == 0, 0.0).otherwise(clamp(F.least(low, high))), "t1": F.when(rise == 0, 1.0).otherwise(clamp(F.greatest(low, high)))})
+    x0, x1 = F.col("a_lon") + F.col("t0") * run, F.col("a_lon") + F.col("t1") * run
+    touched = rows.withColumn("cx", F.explode(F.sequence(cell(F.least(x0, x1) - wide, size), cell(F.greatest(x0, x1) + wide, size)))).drop("t0", "t1")
     asked = points.select("point_id", "lat_e7", "lon_e7", F.cos(F.radians(F.col("lat_e7") / 1e7)).alias("k"), cell(F.col("lat_e7"), size).alias("cy"), cell(F.col("lon_e7"), size).alias("cx"))
     d2 = _planar2(F.col("lat_e7").cast("double"), F.col("lon_e7").cast("double"), *ends, F.col("k")) * METRES_E7**2
     return asked.join(touched, ["cy", "cx"]).withColumn("d2", d2).filter(F.col("d2") <= (radius_m * 1.001) ** 2).drop("cy", "cx", "k")
@@ -121,12 +123,12 @@ def _pairs_within(points: DataFrame, located: DataFrame, radius_m: float) -> Dat
 def snap(points: DataFrame, located: DataFrame, radius_m: float) -> DataFrame:
     """(point_id, a, b, fraction, distance_m): each point's nearest segment within the radius; ties to the smaller (a, b).
 
-    `located` has a, b and both ends' coordinates. An eighth of the radius is searched first, the whole
-    radius then for the points that found nothing. The least planar distance is a plain
+    `located` has a, b and both ends' coordinates. A 64th of the radius is searched first, an eighth and
+    the whole radius then for the points that found nothing, so that dense places don't cost more. The least planar distance is a plain
     minimum; only segments as near as that, up to a thousandth, are measured on the globe.
     """
     open_, found = points.select("point_id", "lat_e7", "lon_e7"), []
-    for radius in (radius_m / 8, radius_m):
+    for radius in (radius_m / 64, radius_m / 8, radius_m):
         near = saved(_pairs_within(open_, located, radius))
         least = near.groupBy("point_id").agg(F.min("d2").alias("least"))
         close = near.join(least, "point_id").filter(F.col("d2") <= F.col("least") * 1.001 + 1e-6)
@@ -138,8 +140,8 @@ def snap(points: DataFrame, located: DataFrame, radius_m: float) -> DataFrame:
             found.append(best.filter(F.col("distance_m") <= radius_m))
         else:
             found.append(saved(best.filter(F.col("distance_m") <= radius * 0.999)))
-            open_ = open_.join(found[0].select("point_id"), "point_id", "left_anti")
-    return found[0].unionByName(found[1])
+            open_ = saved(open_.join(found[-1].select("point_id"), "point_id", "left_anti"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def gateways(left: DataFrame, right: DataFrame) -> DataFrame:

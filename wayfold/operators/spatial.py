@@ -166,3 +166,10 @@ def top_gateways(found: DataFrame, start: tuple[float, float], goal: tuple[float
     lat, lon = F.col("lat_e7") / 1e7, F.col("lon_e7") / 1e7
     metres = geo.haversine_m(F.lit(start[0]), F.lit(start[1]), lat, lon) + geo.haversine_m(lat, lon, F.lit(goal[0]), F.lit(goal[1]))
     return found.withColumn("score", metres + F.col("penalty_m")).orderBy("score", "left_node", "right_node").limit(k)
+
+
+def within(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The points inside the extent of the nodes, which is one row."""
+    box = nodes.agg(F.min("lat_e7").alias("__s"), F.max("lat_e7").alias("__n"), F.min("lon_e7").alias("__w"), F.max("lon_e7").alias("__e"))
+    inside = F.col("lat_e7").between(F.col("__s"), F.col("__n")) & F.col("lon_e7").between(F.col("__w"), F.col("__e"))
+    return points.crossJoin(F.broadcast(box)).filter(inside).drop("__s", "__n", "__w", "__e")

@@ -39,3 +39,12 @@ def reference_labels(labels: DataFrame, per_group: str, k: int = 3) -> DataFrame
     """For each group the first k labels: cities, then towns, then villages, by rank and id."""
     order = Window.partitionBy(per_group).orderBy("kind", F.desc("rank"), "place_id")
     return labels.filter(F.col("kind").between(1, 3)).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k)
+
+
+def package_status(regions: DataFrame, files: DataFrame) -> DataFrame:
+    """(region_no, region, has_map, has_routing, has_search, bytes, ready, installed): what of each region's package is there, from files (region_no, artefact, bytes)."""
+    there = lambda kind: F.coalesce(F.bool_or(F.col("artefact") == kind), F.lit(False))
+    found = files.groupBy("region_no").agg(there("map").alias("has_map"), there("routing").alias("has_routing"), there("search").alias("has_search"), there("source").alias("has_source"), F.sum("bytes").alias("bytes"))
+    rows = regions.select("region_no", "region").join(found, "region_no", "left").fillna(False, ["has_map", "has_routing", "has_search", "has_source"]).fillna(0, ["bytes"])
+    whole = F.col("has_map") & F.col("has_routing") & F.col("has_search")
+    return rows.withColumns({"installed": whole, "ready": whole | F.col("has_source")}).drop("has_source")

@@ -166,3 +166,29 @@ def large_enough(areas: DataFrame) -> DataFrame:
     pixels = F.abs(F.col("world_area")) * F.pow(F.lit(4.0), F.col("zoom")) * 65536
     rows = areas.select("ring_id", "world_area", "water", zoom).withColumn("pixels", pixels)
     return rows.filter(F.col("pixels") >= F.col("least") * F.when(F.col("water"), 0.5).otherwise(1.0)).select("zoom", "ring_id", "pixels")
+
+
+def class_offsets(records: DataFrame) -> DataFrame:
+    """(tile_x, tile_y, road_class, first, n): where the records of each class begin in a tile whose records are sorted by class."""
+    counts = records.groupBy("tile_x", "tile_y", "road_class").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("tile_x", "tile_y").orderBy("road_class").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def chunked(lines: DataFrame, layer: str, order: str, size: int = 256) -> DataFrame:
+    """(layer, chunk, n, low_x, low_y, high_x, high_y): runs of so many lines of a layer with the box around each."""
+    within = Window.partitionBy(layer).orderBy(order)
+    numbered = lines.withColumn("chunk", F.floor((F.row_number().over(within) - 1) / size))
+    box = [F.min(F.least("x1", "x2")).alias("low_x"), F.min(F.least("y1", "y2")).alias("low_y"), F.max(F.greatest("x1", "x2")).alias("high_x"), F.max(F.greatest("y1", "y2")).alias("high_y")]
+    return numbered.groupBy(layer, "chunk").agg(F.count("*").alias("n"), *box)
+
+
+#: What becomes of a map feature: the layer, and for areas the pixels of tolerance and of least area.
+DISPATCH = (("water", "area", 1.25, 4.0), ("water", "area", 0.35, 0.20), ("built_up", "mask", None, None), ("building", "mask", None, None), ("green", "mask", None, None),
+            ("river", "line", None, None), ("canal", "line", None, None), ("stream", "line", None, None), ("drain", "line", None, None))
+
+
+def dispatched(features: DataFrame) -> DataFrame:
+    """The features (kind) once for each layer that they go to; kinds of no layer go."""
+    rules = features.sparkSession.createDataFrame(list(DISPATCH), "kind string, layer string, tolerance_px double, least_px double")
+    return features.join(F.broadcast(rules), "kind")  # nine rows

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfold.functions import formats, roads
-from wayfold.operators import routing, search, spatial, tiles, tracks
+from wayfold.operators import navigation, routing, search, spatial, store, tiles, tracks
+from wayfold.plans import more
 from wayfold.plans import oracles as o
 from wayfold.session import table
 from wayfold.sources import geo_tables as g
@@ -201,3 +202,76 @@ def formats_read(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "supplier").select("s_suppkey", pair.alias("pair"), F.concat("s_name", F.lit(" & <"), k.cast("string"), F.lit(">")).alias("name"))
     encoded = formats.encoded(F.col("name"))
     return rows.select("s_suppkey", formats.numbers(F.col("pair"), 2)[0].alias("first"), F.coalesce(formats.whole_number(F.col("pair")), F.lit(-1)).alias("whole"), encoded.alias("encoded"), formats.decoded(encoded).alias("decoded"))
+
+
+@query(
+    f"""WITH {o.INSTRUCTIONS}, marks AS (SELECT *, at_m + 5.0 AS until FROM instructions) SELECT s.trip, s.point AS seq, m.point, m.kind, round(m.at_m - s.at_m, 2) AS ahead_m FROM turned s JOIN marks m ON m.trip = s.trip AND m.until >= s.at_m
+    QUALIFY row_number() OVER (PARTITION BY s.trip, s.point ORDER BY m.until, m.point) = 1"""
+)
+def instruction_asof_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """The next instruction with a fixed margin of five metres."""
+    way = tracks.cumulative(g.routes(spark, sf), "point").select("trip", F.col("point").alias("seq"), F.col("total_m").alias("at_m"))
+    found = navigation.next_instruction(way, navigation.instructions(g.routes(spark, sf)), 5.0)
+    return found.select("trip", "seq", "point", "kind", F.round("ahead_m", 2).alias("ahead_m"))
+
+
+# Inside tiles, and packages -----------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {o.EDGES}, t AS (SELECT (lon_e7 // 5000000)::INT AS tile_x, (lat_e7 // 5000000)::INT AS tile_y, road_class FROM edges JOIN nodes ON node_id = src), c AS (SELECT tile_x, tile_y, road_class, count(*) AS n FROM t GROUP BY ALL)
+    SELECT *, coalesce(sum(n) OVER (PARTITION BY tile_x, tile_y ORDER BY road_class ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM c"""
+)
+def tile_class_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each class of road begins among a tile's records."""
+    rows = g.edges(spark, sf).join(g.nodes(spark, sf).withColumnRenamed("node_id", "src"), "src")
+    return tiles.class_offsets(rows.select(F.expr("CAST(lon_e7 DIV 5000000 AS INT)").alias("tile_x"), F.expr("CAST(lat_e7 DIV 5000000 AS INT)").alias("tile_y"), "road_class"))
+
+
+@query(
+    f"""WITH {o.LINES}, n AS (SELECT *, (row_number() OVER (PARTITION BY kind ORDER BY line_id, x2, y2) - 1) // 256 AS chunk FROM (SELECT DISTINCT * FROM lines))
+    SELECT kind, chunk, count(*) AS n, round(min(least(x1, x2)), 9) AS low_x, round(min(least(y1, y2)), 9) AS low_y, round(max(greatest(x1, x2)), 9) AS high_x, round(max(greatest(y1, y2)), 9) AS high_y FROM n GROUP BY 1, 2"""
+)
+def line_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines in runs of 256 with the box around each run."""
+    k, p = F.col("l_orderkey"), F.col("l_partkey")
+    x, y = (k * 7919 % 100000) / 100000.0, (k * 104729 % 100000) / 100000.0
+    lines = table(spark, sf, "lineitem").select((k * 10 + F.col("l_linenumber")).alias("line_id"), (k % 3).cast("int").alias("kind"), x.alias("x1"), y.alias("y1"), (x + (p % 97 - 48) / 50000.0).alias("x2"), (y + (p % 89 - 44) / 50000.0).alias("y2")).distinct()
+    runs = tiles.chunked(lines.withColumn("place", F.struct("line_id", "x2", "y2")), "kind", "place")
+    return runs.select("kind", "chunk", "n", *[F.round(c, 9).alias(c) for c in ("low_x", "low_y", "high_x", "high_y")])
+
+
+@query(
+    f"""WITH {more._FEATURES}, d AS (SELECT * FROM (VALUES ('water', 'area', 1.25::DOUBLE), ('water', 'area', 0.35), ('built_up', 'mask', NULL), ('building', 'mask', NULL), ('green', 'mask', NULL), ('river', 'line', NULL), ('drain', 'line', NULL)) t(kind, layer, tolerance_px))
+    SELECT layer, kind, coalesce(tolerance_px, 0) AS tolerance_px, count(*) AS n FROM kept JOIN d USING (kind) GROUP BY ALL"""
+)
+def feature_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """How many features go to each layer of the map."""
+    rows, t = more._features(spark, sf), F.col("tags")
+    kinds = rows.select(F.coalesce(more.ways.area_kind(t), more.ways.waterway_kind(t), more.ways.overview_kind(t)).alias("kind")).filter("kind IS NOT NULL")
+    return tiles.dispatched(kinds).groupBy("layer", "kind", F.coalesce("tolerance_px", F.lit(0.0)).alias("tolerance_px")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {o.NODES}, {o.POINTS}, h AS (SELECT min(lat_e7) AS s, max(lat_e7) AS n, min(lon_e7) AS w, max(lon_e7) AS e FROM nodes WHERE node_id % 10 = 3) SELECT point_id FROM points, h WHERE lat_e7 BETWEEN s AND n AND lon_e7 BETWEEN w AND e"""
+)
+def points_in_extent(spark: SparkSession, sf: str) -> DataFrame:
+    """The points inside the extent of a graph."""
+    k = F.col("s_suppkey")
+    points = table(spark, sf, "supplier").select(k.alias("point_id"), (F.lit(420000000) + (k * 6151 % 90000) * 1000 + 137).cast("long").alias("lat_e7"), (F.lit(-45000000) + (k * 98953 % 120000) * 1000 + 411).cast("long").alias("lon_e7"))
+    return spatial.within(points, g.nodes(spark, sf).filter("node_id % 10 = 3")).select("point_id")
+
+
+_ARTEFACTS = ("map", "routing", "search", "source", "map")
+
+
+@query(
+    f"""WITH f AS (SELECT (s_suppkey * 5 % 27)::INT AS region_no, ['map', 'routing', 'search', 'source', 'map'][1 + s_suppkey % 5] AS artefact, (s_suppkey * 1000)::BIGINT AS bytes FROM supplier), regions AS (SELECT * FROM (VALUES {more._REGIONS}) t(region_no, region, lat, lon)),
+    g AS (SELECT region_no, bool_or(artefact = 'map') AS m, bool_or(artefact = 'routing') AS r, bool_or(artefact = 'search') AS s, bool_or(artefact = 'source') AS p, sum(bytes)::BIGINT AS bytes FROM f GROUP BY 1)
+    SELECT region_no, region, coalesce(m, false) AS has_map, coalesce(r, false) AS has_routing, coalesce(s, false) AS has_search, coalesce(bytes, 0) AS bytes, coalesce(m AND r AND s, false) AS installed, coalesce((m AND r AND s) OR p, false) AS ready FROM regions LEFT JOIN g USING (region_no)"""
+)
+def region_status(spark: SparkSession, sf: str) -> DataFrame:
+    """What of each region's package is there."""
+    k = F.col("s_suppkey")
+    files = table(spark, sf, "supplier").select((k * 5 % 27).cast("int").alias("region_no"), F.array(*map(F.lit, _ARTEFACTS))[(k % 5).cast("int")].alias("artefact"), (k * 1000).cast("long").alias("bytes"))
+    return store.package_status(r.regions(spark), files)

@@ -188,11 +188,15 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     their order. n_chars is the new text's; the columns are those of `docs`.
     """
     columns = docs.columns
-    _, taken = mix(docs)
+    rows, taken = mix(docs)
     text_key = F.xxhash64("text").alias("text_key")
     parts = taken.groupBy(*KEY, "epoch", "shard").agg(F.sum("n_words").alias("__took"), F.min("place").alias("__place"), F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("__parts"))
     parts = parts.select(*[F.col(c).alias(f"__{c}") for c in (*KEY, "epoch", "shard")], "__took", "__place", "__parts")
-    numbered = docs.withColumn("__key", text_key).withColumn("__no", F.row_number().over(Window.partitionBy("doc_id", "source", "__key").orderBy(F.lit(0))))
+    keyed = docs.withColumn("__key", text_key)
+    if rows.filter("copy > 1").isEmpty():  # no row repeats: texts need not be shuffled to be numbered
+        numbered = keyed.withColumn("__no", F.lit(1))
+    else:
+        numbered = keyed.withColumn("__no", F.row_number().over(Window.partitionBy("doc_id", "source", "__key").orderBy(F.lit(0))))
     joined = numbered.join(
         parts,
         F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__key") == F.col("__text_key")) & (F.col("__no") == F.col("__copy")),

@@ -190,22 +190,24 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     rows, taken = mix(docs)
     text_key = F.xxhash64("text").alias("text_key")
-    parts = taken.groupBy(*KEY, "epoch", "shard").agg(F.sum("n_words").alias("__took"), F.min("place").alias("__place"), F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("__parts"))
-    parts = parts.select(*[F.col(c).alias(f"__{c}") for c in (*KEY, "epoch", "shard")], "__took", "__place", "__parts")
+    draw = F.struct("shard", F.min("place").alias("place"), F.sum("n_words").alias("took"), F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("parts"))
+    draws = taken.groupBy(*KEY, "epoch", "shard").agg(draw.alias("draw")).groupBy(*KEY).agg(F.collect_list("draw").alias("__draws"))
+    draws = draws.select(*[F.col(c).alias(f"__{c}") for c in KEY], "__draws")
     keyed = docs.withColumn("__key", text_key)
     if rows.filter("copy > 1").isEmpty():  # no row repeats: texts need not be shuffled to be numbered
         numbered = keyed.withColumn("__no", F.lit(1))
     else:
         numbered = keyed.withColumn("__no", F.row_number().over(Window.partitionBy("doc_id", "source", "__key").orderBy(F.lit(0))))
     joined = numbered.join(
-        parts,
+        draws,
         F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__key") == F.col("__text_key")) & (F.col("__no") == F.col("__copy")),
     )
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), 0)
-    pieces = F.expr("transform(__parts, p -> array_join(slice(__words, CAST(p.first_word AS INT) + 1, CAST(p.n_words AS INT)), ' '))")
-    out = joined.withColumn("__whole", F.col("__took") == F.regexp_count("text", F.lit(WORD))).withColumn("__words", F.when(~F.col("__whole"), words))
-    out = out.withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(F.array_join(pieces, " ")))
+    # A text meets its draws once and is cut into words once; then each draw takes its own.
+    worded = joined.withColumn("__words", F.regexp_extract_all(F.col("text"), F.lit(WORD), 0)).select(*columns, "__words", F.explode("__draws").alias("__d"))
+    pieces = F.expr("transform(__d.parts, p -> array_join(slice(__words, CAST(p.first_word AS INT) + 1, CAST(p.n_words AS INT)), ' '))")
+    out = worded.withColumn("text", F.when(F.col("__d.took") == F.size("__words"), F.col("text")).otherwise(F.array_join(pieces, " ")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     # A shard may be large: its rows go to as many tasks as there are ranges of `place`.
-    return out.select(*columns, "__shard", "__place").repartition("__shard", F.shiftright("__place", 54)).sortWithinPartitions("__shard", "__place").select(*columns)
+    out = out.select(*columns, F.col("__d.shard").alias("__shard"), F.col("__d.place").alias("__place"))
+    return out.repartition("__shard", F.shiftright("__place", 54)).sortWithinPartitions("__shard", "__place").select(*columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import ann, bpe, html, jaccard, lines, lm, mix, ordermin, pii, toxicity
+from wayfold.llm import ann, bpe, colloc, html, jaccard, lines, lm, mix, ordermin, pii, resample, simhash, toxicity
 from wayfold.session import saved, table
 
 
@@ -53,6 +53,18 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return colloc.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_order_minhash": op2_order_minhash,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix": op8_mix,
     "op9_bpe": op9_bpe,
     "op10_html": op10_html,
+    "op11_resample": op11_resample,
+    "op12_collocations": op12_collocations,
+    "op13_simhash": op13_simhash,
 }
 _OP5 = r"""
 WITH texts AS (
@@ -104,4 +119,25 @@ reach(doc_id, c) AS (SELECT doc_id, doc_id FROM sets UNION SELECT b.y, r.c FROM
 SELECT s.doc_id, len(s.s) AS n_shingles, min(r.c) AS component_id FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.s
 """
 
-ORACLES: dict[str, str] = {"op5_lines": _OP5, "op7_jaccard": _OP7}
+_OP12 = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+spans AS (
+    SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase FROM worded, (SELECT unnest([1, 2, 3]) AS size) WHERE len(w) >= size
+),
+counts AS (SELECT lang, size, phrase, count(*)::BIGINT AS f FROM spans GROUP BY lang, size, phrase HAVING count(*) >= 10),
+candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE size > 1),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM candidates),
+parts AS (SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS score FROM cuts c
+    JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ') JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+best AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+outers AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, a AS f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM candidates WHERE size = 3) GROUP BY lang, phrase),
+kept AS (SELECT b.* FROM best b LEFT JOIN outers o USING (lang, phrase) WHERE o.f IS NULL OR 100 * o.f < 50 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op5_lines": _OP5, "op7_jaccard": _OP7, "op12_collocations": _OP12}

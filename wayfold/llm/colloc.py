@@ -26,6 +26,7 @@ import shutil
 import tempfile
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import duckdb
@@ -64,68 +65,90 @@ def marks(counts: DataFrame) -> np.ndarray:
     return whole
 
 
+class _Marked(dict):
+    """Whether a phrase is marked in the bitmap of the shorter ones; forgets where it grows too large."""
+
+    def __init__(self, bits: np.ndarray, lang: str):
+        super().__init__()
+        self.bits, self.seed, self.low = memoryview(bits), zlib.crc32(lang.encode()), 8 * len(bits) - 1
+
+    def __missing__(self, phrase: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        at = (zlib.crc32(phrase) ^ self.seed) & self.low
+        self[phrase] = found = self.bits[at >> 3] >> (at & 7) & 1
+        return found
+
+
+def _phrases(texts: list[bytes], n: int, marked: _Marked | None) -> list[bytes]:
+    """The phrases of n words of the pieces, those left out that a phrase of n - 1 words rules out. A line end stands between pieces."""
+    words = b" \n ".join(texts).split(b" ")
+    if n == 1:
+        return [w for w in words if w != b"\n"]
+    shorter = words if n == 2 else list(map(b" ".join, zip(*(words[j:] for j in range(n - 1)), strict=False)))
+    ok = list(map(marked.__getitem__, shorter))
+    at = -1
+    for _ in range(len(texts) - 1):  # what holds a line end is no phrase, whatever the bitmap says of it
+        at = words.index(b"\n", at + 1)
+        for k in range(max(0, at - n + 2), min(at + 1, len(ok))):
+            ok[k] = 0
+    return [p + b" " + w for p, w, x, y in zip(shorter, words[n - 1 :], ok, ok[1:], strict=False) if x and y]
+
+
+_BLOCK = pa.schema([("bucket", pa.int32()), ("langs", pa.list_(pa.string())), ("lines", pa.list_(pa.int64())), ("bytes", pa.int64()), ("phrases", pa.binary()), ("times", pa.binary())])
+
+
+def _packed(tables: dict[str, Counter], buckets: int) -> pa.RecordBatch:
+    """One row for each hash bucket: its phrases, a line each, language by language, and their weights."""
+    parts: dict[int, list[tuple[str, int, bytes, bytes]]] = {}
+    for lang, table in tables.items():
+        place = np.fromiter(map(zlib.crc32, table), np.int64, len(table)) % buckets
+        phrases, times = np.array([*table, None], object)[:-1], np.fromiter(table.values(), np.int64, len(table))
+        order = np.argsort(place, kind="stable")
+        cuts = [*np.flatnonzero(np.diff(place[order], prepend=-1)).tolist(), len(order)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            some = order[a:b]
+            parts.setdefault(int(place[some[0]]), []).append((lang, b - a, b"\n".join(phrases[some]) + b"\n", times[some].tobytes()))
+    rows = []
+    for bucket, found in parts.items():
+        langs, lines, texts, weights = zip(*found, strict=True)
+        text = b"".join(texts)
+        rows.append({"bucket": bucket, "langs": langs, "lines": lines, "bytes": len(text), "phrases": pa.compress(text, "zstd", asbytes=True), "times": pa.compress(b"".join(weights), "zstd", asbytes=True)})
+    return pa.RecordBatch.from_pylist(rows, _BLOCK)
+
+
 def weighted(texts: DataFrame, n: int, marked: np.ndarray | None, buckets: int) -> DataFrame:
-    """(bucket, lang, phrases, times): blocks of weighted phrases of n words of the pieces, line by line, and their weights."""
-    spark = texts.sparkSession
-    held = spark.sparkContext.broadcast(marked) if marked is not None else None
+    """Blocks of weighted phrases of n words of the pieces: (bucket, langs, lines, bytes, phrases, times)."""
+    held = texts.sparkSession.sparkContext.broadcast(marked) if marked is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, dict[bytes, int]] = {}
-        size, crc, low = 0, zlib.crc32, (1 << MARK_BITS) - 1
-        bits = memoryview(held.value) if held else None
-        seen: dict[str, dict[bytes, bool]] = {}
-
-        def blocks() -> Iterator[pa.RecordBatch]:
-            for lang, table in tables.items():
-                place = np.fromiter((crc(p) for p in table), np.int64, len(table)) % buckets
-                phrases, times = np.array(list(table), object), np.fromiter(table.values(), np.int64, len(table))
-                order = np.argsort(place, kind="stable")
-                cuts = np.flatnonzero(np.diff(place[order], prepend=-1))
-                ends = np.append(cuts[1:], len(order))
-                lines = [b"\n".join(phrases[order[a:b]]) for a, b in zip(cuts, ends, strict=True)]
-                weights = [pa.compress(times[order[a:b]].tobytes(), "zstd", asbytes=True) for a, b in zip(cuts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(place[order[cuts]].astype(np.int32)), pa.array([lang] * len(cuts), pa.string()), pa.array(map(len, lines), pa.int64()), pa.array(ends - cuts, pa.int64()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in lines], pa.binary()), pa.array(weights, pa.binary())], names=["bucket", "lang", "bytes", "n", "phrases", "times"])
-            tables.clear()
-
+        tables: dict[str, Counter] = {}
+        known: dict[str, _Marked] = {}
         for batch in batches:
+            alike: dict[tuple[str, int], list[bytes]] = {}
             for lang, piece, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = piece.split(b" ")
-                if len(words) < n:
-                    continue
-                table = tables.setdefault(lang, {})
-                before = len(table)
-                if n == 1:
-                    made = words
-                elif n == 2:
-                    seed, ok, known = crc(lang.encode()), [], seen.setdefault(lang, {})
-                    for w in words:
-                        if (good := known.get(w)) is None:
-                            h = (crc(w) ^ seed) & low
-                            good = known[w] = bool(bits[h >> 3] >> (h & 7) & 1)
-                        ok.append(good)
-                    made = [a + b" " + b for a, b, x, y in zip(words, words[1:], ok, ok[1:], strict=False) if x and y]
+                alike.setdefault((lang, times), []).append(piece)
+            for (lang, times), some in alike.items():
+                if held and lang not in known:
+                    known[lang] = _Marked(held.value, lang)
+                made, table = _phrases(some, n, known.get(lang)), tables.setdefault(lang, Counter())
+                if times == 1:
+                    table.update(made)
                 else:
-                    seed, ok = crc(lang.encode()), []
-                    shorter = list(map(b" ".join, zip(*(words[j:] for j in range(n - 1)), strict=False)))
-                    for p in shorter:
-                        h = (crc(p) ^ seed) & low
-                        ok.append(bits[h >> 3] >> (h & 7) & 1)
-                    made = [p + b" " + w for p, w, x, y in zip(shorter, words[n - 1 :], ok, ok[1:], strict=False) if x and y]
-                get = table.get
-                for p in made:
-                    table[p] = get(p, 0) + times
-                size += len(table) - before
-                if size > TABLE:
-                    yield from blocks()
-                    size = 0
-            if sum(map(len, seen.values())) > 500_000:
-                seen.clear()
-        yield from blocks()
-        seen.clear()
+                    for phrase, c in Counter(made).items():
+                        table[phrase] += c * times
+            if sum(map(len, tables.values())) > TABLE:
+                yield _packed(tables, buckets)
+                tables.clear()
+            if len(known) > 1000:
+                known.clear()
+        yield _packed(tables, buckets)
+        tables.clear()
+        known.clear()
         let_go()
 
     slim = texts.select("lang", F.col("piece").cast("binary").alias("piece"), "times")
-    return slim.mapInArrow(run, "bucket int, lang string, bytes long, n long, phrases binary, times binary")
+    return slim.mapInArrow(run, "bucket int, langs array<string>, lines array<long>, bytes long, phrases binary, times binary")
 
 
 def counted(blocks: DataFrame, least: int, memory_mb: int = MEMORY_MB) -> DataFrame:
@@ -134,33 +157,35 @@ def counted(blocks: DataFrame, least: int, memory_mb: int = MEMORY_MB) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scratch = tempfile.mkdtemp(prefix="phrases-")
         db = duckdb.connect(config={"threads": 1, "memory_limit": f"{memory_mb}MB", "temp_directory": scratch, "preserve_insertion_order": False})
-        now, waiting, rows = None, [], 0
+        now, waiting, codes = None, [], {}
 
         def load() -> None:
-            nonlocal rows
             if waiting:
                 block = pa.concat_tables(waiting)  # noqa: F841  read by name below
                 db.execute("INSERT INTO held FROM block")
                 waiting.clear()
-                rows = 0
 
         def counts() -> Iterator[pa.RecordBatch]:
             load()
-            yield from db.sql("SELECT lang, phrase, sum(times)::BIGINT AS f FROM held GROUP BY lang, phrase HAVING f >= $least", params={"least": least}).to_arrow_reader(100_000)
+            langs = pa.array(list(codes), pa.string())
+            for part in db.sql("SELECT lang, phrase, sum(times)::BIGINT AS f FROM held GROUP BY lang, phrase HAVING f >= $least", params={"least": least}).to_arrow_reader(100_000):
+                yield pa.RecordBatch.from_arrays([langs.take(part.column(0)), part.column(1), part.column(2)], names=["lang", "phrase", "f"])
 
         try:
             for batch in batches:
-                for bucket, lang, size, n, phrases, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for bucket, langs, lines, size, phrases, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if bucket != now:
                         if now is not None:
                             yield from counts()
-                        db.execute("CREATE OR REPLACE TABLE held (lang VARCHAR, phrase BLOB, times BIGINT)")
-                        now = bucket
-                    lines = pa.decompress(phrases, size, "zstd", asbytes=True).split(b"\n")
-                    weights = np.frombuffer(pa.decompress(times, 8 * n, "zstd", asbytes=True), np.int64)
-                    waiting.append(pa.table({"lang": pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([lang])).cast(pa.string()), "phrase": pa.array(lines, pa.binary()), "times": weights}))
-                    rows += n
-                    if rows > 200_000:
+                        db.execute("CREATE OR REPLACE TABLE held (lang INTEGER, phrase BLOB, times BIGINT)")
+                        now, codes = bucket, {}
+                    n = sum(lines)
+                    raw = pa.decompress(phrases, size, "zstd")
+                    ends = np.append(0, np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) + 1).astype(np.int32)  # a phrase ends with its line end
+                    own = np.repeat(np.array([codes.setdefault(x, len(codes)) for x in langs], np.int32), lines)
+                    weights = np.frombuffer(pa.decompress(times, 8 * n, "zstd"), np.int64)
+                    waiting.append(pa.table({"lang": own, "phrase": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), raw]), "times": weights}))
+                    if sum(w.num_rows for w in waiting) > 200_000:
                         load()
             if now is not None:
                 yield from counts()
@@ -170,7 +195,7 @@ def counted(blocks: DataFrame, least: int, memory_mb: int = MEMORY_MB) -> DataFr
             let_go()
 
     dealt = blocks.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "lang string, phrase binary, f long")
-    return dealt.select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
+    return dealt.select("lang", F.rtrim(F.col("phrase").cast("string"), F.lit("\n")).alias("phrase"), "f")
 
 
 def phrase_counts(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:

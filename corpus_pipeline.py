@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that too many documents of a source hold go; n_chars follows the text."""
-    left = lines.dedup(docs, F.col("source"))
+    left = lines.dedup(docs, F.col("source"), counts=None)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -276,6 +277,19 @@ def test_lines_of_pages(spark):
     html = "<html><head><title>no</title></head><body class='x'><script>var a='<p>';</script><p>one <b>two</b><P>three<br/>four<!-- <p>no --><table><tr><td>a</td></tr></table>"
     got = spark.createDataFrame([(html,), (None,)], "html string").select(lines.lines_of_html(F.col("html")).alias("t")).collect()
     assert [x for x in got[0].t.split("\n") if x] == ["one two", "three", "four", "a"] and got[1].t is None
+    kept = lambda page: spark.createDataFrame([(page,)], "html string").select(lines.lines_of_html(F.col("html")).alias("t")).collect()[0].t
+    assert kept("a <b>c</b> < d") == "a c < d" and kept("a<!-- b <p>c") == "a" and kept("a<script x") == "a" and kept("plain") == "plain" and kept("") == ""
+    for piece in ("<!--", "<script>", "<script ", "<", "<p ", "<p", "<!-- -->", "</script", "<style>x"):
+        begin = time.perf_counter()
+        kept(piece * (1_000_000 // len(piece)))
+        assert time.perf_counter() - begin < 10, piece
+
+
+def test_line_dedup_leaves_other_columns(spark):
+    pages = spark.createDataFrame([(1, "x\nfooter", "a", 77, 78)] * 3, "doc_id long, text string, source string, n_lines long, n_dropped long")
+    left = lines.dedup(pages, F.col("source"), ratio=0.5, counts=None)
+    assert left.columns == pages.columns and {tuple(r)[1:] for r in left.collect()} == {("", "a", 77, 78)}
+    assert lines.dedup(pages, F.col("source"), ratio=0.5, counts=("of", "gone")).columns == [*pages.columns, "of", "gone"]
 
 
 # 6 ------------------------------------------------------------------------------------------------
@@ -509,6 +523,21 @@ def test_jaccard_cases(spark, odd):
     assert sorted(r.doc_id for r in jaccard.first_of_groups(odd).collect()) == [k for k in range(15) if k not in (6, 7, 8)]
 
 
+def test_texts_that_share_an_id_are_kept_apart(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    near, other, alone = base.replace("w59", "z"), " ".join(f"v{k}" for k in range(60)), " ".join(f"u{k}" for k in range(60))
+    rows = [(1, base), (2, base), (2, other), (2, other), (3, alone), (3, alone + " end"), (4, near), (None, base), (None, base), (5, other), (6, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit("x"), "own": F.lit(1)})
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()) == sorted([
+        (1, 56, 1), (2, 56, 1), (2, 56, 2), (2, 56, 2), (3, 56, 3), (3, 57, 3), (4, 56, 1), (0, 56, 1), (0, 56, 1), (5, 56, 2), (6, 0, 6), (6, 0, 6),
+    ])
+    left = sorted((r.doc_id or 0, r.text or "") for r in jaccard.first_of_groups(docs).collect())
+    three = [t for i, t in left if i == 3]
+    assert [x for x in left if x[0] != 3] == sorted([(1, base), (2, other), (0, base), (0, base), (6, ""), (6, "")]) and len(three) == 1 and three[0] in (alone, alone + " end")
+    assert jaccard.first_of_groups(docs).columns == docs.columns
+
+
+
 def test_word_hashes_match_words():
     for t in ("", " a  b\tA\x0bb ", "q" * 70_000 + " z " + "Q" * 70_000, "é É e"):
         assert len(jaccard.word_hashes(t)) == len(text_words(t)) and len(set(jaccard.word_hashes(t).tolist())) == len(set(text_words(t)))

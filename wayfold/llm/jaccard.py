@@ -27,7 +27,7 @@ Components are contracted by alternating stars over tables in the checkpoint fol
 
 Cases: a null or wordless text has an empty set, links with nothing and is a component
 of its own. Fewer words than a shingle form one shingle. Repeated rows and equal texts
-share a set and a component. Texts of any length are read whole. Columns beside the
+share a set and a component; an id with several texts is as many documents, each with the component of its text. Texts of any length are read whole. Columns beside the
 id and the text are left out.
 """
 
@@ -425,10 +425,38 @@ def _candidates(members: DataFrame, slim: DataFrame, of_group: DataFrame | None,
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _shared_ids(docs: DataFrame) -> DataFrame | None:
+    """(doc_id, key, own): for each text (by its hash) of an id that has several a number below all ids; None if no id has several."""
+    keyed = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("key"))
+    several = keyed.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.min(F.col("doc_id")).alias("least")).filter("lo <> hi")
+    if several.isEmpty():
+        return None
+    least = keyed.agg(F.min("doc_id")).collect()[0][0]
+    return saved(keyed.join(several, "doc_id", "left_semi").distinct().withColumn("own", F.lit(least) - 1 - F.monotonically_increasing_id()))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each document."""
-    spark = docs.sparkSession
+    """(doc_id, n_shingles, component_id) of each document; of an id with several texts each text counts by itself."""
     docs = _texts(docs, id_col, text_col)
+    shared = _shared_ids(docs)
+    if shared is None:
+        return _joined(docs, n, similar)
+    return _apart(docs, shared, n, similar).select("doc_id", "n_shingles", "component_id")
+
+
+def _apart(docs: DataFrame, shared: DataFrame, n: int, similar: tuple[int, int]) -> DataFrame:
+    """(doc_id, key, n_shingles, component_id, own, first): `join` where ids have several texts; `first` is the number of the row that stands for its component."""
+    marked = docs.withColumn("key", F.xxhash64("text")).join(shared, ["doc_id", "key"], "left").withColumn("own", F.coalesce("own", "doc_id"))
+    named = saved(marked.select("doc_id", "key", "own").filter("own IS NOT NULL").distinct())
+    found = saved(_joined(marked.select(F.col("own").alias("doc_id"), "text"), n, similar).toDF("own", "n_shingles", "component"))
+    rows = found.join(named, "own", "left")
+    ids = rows.filter("component IS NOT NULL AND doc_id IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "key", "own")).alias("f")).select("component", F.col("f.doc_id").alias("component_id"), F.col("f.own").alias("first"))
+    return rows.join(ids, "component", "left").select("doc_id", "key", "n_shingles", "component_id", "own", "first")
+
+
+def _joined(docs: DataFrame, n: int, similar: tuple[int, int]) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of documents (doc_id, text) whose ids have one text each."""
+    spark = docs.sparkSession
     every = saved(sets(docs, n))
     slim = every.filter("token IS NULL")
     rep = slim.filter("size > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
@@ -458,13 +486,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
-    """The documents but those that a smaller doc_id links to, directly or through others, and repeated rows of a text and an id.
+    """The documents but those that stand behind another of their component: the least id stays, and of its texts the least hash. Repeated rows of a text and an id stay once.
 
     Rows without an id stay.
     """
-    gone = join(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    texts = _texts(docs, "doc_id", "text")
+    shared = _shared_ids(texts)
+    if shared is None:
+        gone = _joined(texts, WORDS, SIMILAR).filter("component_id < doc_id").select(F.col("doc_id").alias("__id")).distinct()
+        kept = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    else:
+        gone = _apart(texts, shared, WORDS, SIMILAR).filter("own <> first").select(F.col("doc_id").alias("__id"), F.col("key").alias("__gone")).distinct()
+        kept = docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__gone")), "left_anti")
     again = kept.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
     if again.isEmpty():
         return kept
-    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    numbered = kept.withColumn("__text", F.xxhash64("text"))
+    return numbered.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "__text"]).unionByName(numbered.filter("doc_id IS NULL")).drop("__text")

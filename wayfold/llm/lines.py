@@ -15,7 +15,8 @@ Spark joins by host and splits a skewed one.
 Cases: a null text stays null with no lines. A page with the same line twice counts
 once. Blank lines are never counted or dropped. Pages without a host (null) form one
 host. Repeated rows are pages of their own. Lines compare without outer blanks.
-Columns beside those named are kept as they are.
+Columns beside those named are kept as they are; where two have the names of the
+counts, other names (or none) can be asked for.
 """
 
 from __future__ import annotations
@@ -33,14 +34,20 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
 
 
-#: What is no text of a page, and the tags that end a line, as patterns that Java and RE2 read alike.
-_NO_TEXT = r"(?is)<(?:!--.*?-->|(?:script|style|noscript|template|head)(?:\s[^>]*)?>.*?</(?:script|style|noscript|template|head)\s*>)"
+#: What is no text of a page, and the tags that end a line, as patterns that Java and RE2 read alike. What is opened and
+#: never closed goes to the page's end, so that no later opening searches it again.
+_NO_TEXT = r"(?is)<(?:!--(?:.*?-->|.*)|(?:script|style|noscript|template|head)(?:\s[^>]*)?(?:>(?:.*?</(?:script|style|noscript|template|head)\s*>|.*)|\z))"
 _ENDS_LINE = r"(?i)</?(?:p|div|li|ul|ol|br|tr|table|h[1-6]|section|article|header|footer|nav|aside|main|blockquote|pre|td|th|dd|dt|dl|form|hr|body|html)(?:\s[^>]*)?/?>"
 
 
 def lines_of_html(html: Column) -> Column:
-    """The text of a page by its block tags, a line each; entities stay as they are written."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, _NO_TEXT, ""), _ENDS_LINE, "\n"), "<[^>]*>", "")
+    """The text of a page by its block tags, a line each; entities stay as they are written.
+
+    Tags are looked for up to the last `>` only: each scan ends at one, and time is linear in any page.
+    """
+    text = F.regexp_replace(html, _NO_TEXT, "")
+    tagged = F.regexp_extract(text, "(?s)^.*>", 0)
+    return F.concat(F.regexp_replace(F.regexp_replace(tagged, _ENDS_LINE, "\n"), "<[^>]*>", ""), F.substring(text, F.length(tagged) + 1, F.length(text)))
 
 
 def _digests(lines: Column) -> Column:
@@ -58,8 +65,8 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
     return often.groupBy("c.host").agg(F.collect_list("line").alias("drop"))
 
 
-def dedup(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO) -> DataFrame:
-    """The pages with boilerplate lines dropped from the text, and n_lines and n_dropped beside."""
+def dedup(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, counts: tuple[str, str] | None = ("n_lines", "n_dropped")) -> DataFrame:
+    """The pages with boilerplate lines dropped from the text, and beside it, in the columns `counts` names, how many lines there were and how many are gone."""
     text = F.col(text_col)
     drops = saved(boilerplate(pages, host, text, ratio).toDF("__host", "__drop"))
     if (drops.agg(F.sum(F.size("__drop"))).collect()[0][0] or 0) <= BROADCAST_LINES and drops.count() <= BROADCAST_LINES:
@@ -69,5 +76,8 @@ def dedup(pages: DataFrame, host: Column, text_col: str = "text", ratio: float =
     once = F.struct(parted.alias("lines"), F.array_intersect(_digests(parted), F.col("__drop")).alias("gone"))
     kept = F.transform(F.array(once), lambda s: F.filter(s["lines"], lambda x: (F.trim(x) == "") | ~F.array_contains(s["gone"], F.xxhash64(F.trim(x)))))[0]
     joined = pages.join(drops, host.eqNullSafe(F.col("__host")), "left").withColumn("__kept", F.when(F.col("__drop").isNull(), parted).otherwise(kept))
-    rows = joined.withColumns({"n_lines": F.coalesce(F.size(parted), F.lit(0)), "__left": F.size("__kept"), text_col: F.when(F.col("__drop").isNull(), text).otherwise(F.array_join("__kept", "\n"))})
-    return rows.withColumn("n_dropped", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines") - F.col("__left"))).drop("__host", "__drop", "__kept", "__left")
+    own = {"__lines": F.coalesce(F.size(parted), F.lit(0)), "__left": F.size("__kept"), text_col: F.when(F.col("__drop").isNull(), text).otherwise(F.array_join("__kept", "\n"))}
+    rows = joined.withColumns(own).drop("__host", "__drop", "__kept")
+    if counts:
+        rows = rows.withColumns({counts[0]: F.col("__lines"), counts[1]: F.when(F.col(text_col).isNull(), 0).otherwise(F.col("__lines") - F.col("__left"))})
+    return rows.drop("__lines", "__left")

@@ -81,12 +81,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_simhash": op13_simhash,
 }
 _OP5 = r"""
-WITH texts AS (
-    SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host, regexp_replace(regexp_replace(regexp_replace(html,
-        '(?is)<(?:!--.*?-->|(?:script|style|noscript|template|head)(?:\s[^>]*)?>.*?</(?:script|style|noscript|template|head)\s*>)', '', 'g'),
-        '(?i)</?(?:p|div|li|ul|ol|br|tr|table|h[1-6]|section|article|header|footer|nav|aside|main|blockquote|pre|td|th|dd|dt|dl|form|hr|body|html)(?:\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS text
+WITH bare AS (
+    SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host, regexp_replace(html,
+        '(?is)<(?:!--(?:.*?-->|.*)|(?:script|style|noscript|template|head)(?:\s[^>]*)?(?:>(?:.*?</(?:script|style|noscript|template|head)\s*>|.*)|\z))', '', 'g') AS text
     FROM pages
 ),
+tagged AS (SELECT *, regexp_extract(text, '(?s)^.*>', 0) AS tags FROM bare),
+texts AS (
+    SELECT page_id, host, regexp_replace(regexp_replace(tags,
+        '(?i)</?(?:p|div|li|ul|ol|br|tr|table|h[1-6]|section|article|header|footer|nav|aside|main|blockquote|pre|td|th|dd|dt|dl|form|hr|body|html)(?:\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g') || substr(text, length(tags) + 1) AS text
+    FROM tagged
+),
 parted AS (SELECT *, string_split(text, chr(10)) AS ls, row_number() OVER () AS r FROM texts),
 seen AS (SELECT DISTINCT r, host, trim(l) AS line FROM (SELECT r, host, unnest(ls) AS l FROM parted) WHERE trim(l) <> ''),
 totals AS (SELECT host, count(*) AS pages FROM texts GROUP BY host),

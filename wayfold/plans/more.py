@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfold.functions import geo, roads, text
+from wayfold.functions import draws, geo, roads, text
 from wayfold.operators import matching, navigation, polygons, routing, spatial, store, tiles, tracks, ways
 from wayfold.plans import oracles as o
 from wayfold.session import table
@@ -92,17 +92,8 @@ def grid_plan(spark: SparkSession, sf: str) -> DataFrame:
 )
 def random_units(spark: SparkSession, sf: str) -> DataFrame:
     """Five steps of a 32-bit xorshift generator from each supplier's number; a seed of 0 is replaced."""
-    low = (1 << 32) - 1
-
-    def step(x):
-        x = x.bitwiseXOR(F.shiftleft(x, 13).bitwiseAND(low))
-        x = x.bitwiseXOR(F.shiftright(x, 17))
-        return x.bitwiseXOR(F.shiftleft(x, 5).bitwiseAND(low))
-
-    rows = table(spark, sf, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") == 0, 0x6D2B79F5).otherwise(F.col("s_suppkey")).cast("long").alias("seed"))
-    states = F.expr("CAST(array() AS ARRAY<BIGINT>)")
-    drawn = rows.withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(5)), states, lambda done, k: F.concat(done, F.array(step(F.coalesce(F.get(done, F.size(done) - 1), F.col("seed")))))))
-    return drawn.select("s_suppkey", F.posexplode("s").alias("nth", "state")).select("s_suppkey", (F.col("nth") + 1).alias("nth"), "state", F.round(F.col("state").bitwiseAND((1 << 24) - 1) / 16777215.0, 9).alias("unit"))
+    drawn = table(spark, sf, "supplier").withColumn("s", draws.states(F.col("s_suppkey"), 5))
+    return drawn.select("s_suppkey", F.posexplode("s").alias("nth", "state")).select("s_suppkey", (F.col("nth") + 1).alias("nth"), "state", F.round(draws.unit(F.col("state")), 9).alias("unit"))
 
 
 # Roads from tagged ways ---------------------------------------------------------------------------

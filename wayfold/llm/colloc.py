@@ -32,11 +32,13 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfold.llm.frames import let_go, lower_ascii, partitions, saved, shared_folder
+from wayfold.llm.jaccard import mixed
 
 MOST_WORDS, LEAST, PER_LANG, INSIDE = 3, 10, 2000, 50
 #: Bits of the bitmap; phrases in a task's table before it is handed on; hash buckets for each shuffle partition; MB of a bucket's DuckDB.
@@ -51,48 +53,67 @@ def pieces(docs: DataFrame) -> DataFrame:
     return rows.select("lang", plain.alias("piece")).filter("piece <> ''").groupBy("lang", "piece").agg(F.count("*").alias("times"))
 
 
-def _mark(lang: Column, phrase: Column) -> Column:
-    return F.crc32(lang.cast("binary")).bitwiseXOR(F.crc32(phrase.cast("binary"))).bitwiseAND((1 << MARK_BITS) - 1)
+class _Codes(dict):
+    """A 64-bit code of each word met, odd for words and 0 for the line end between pieces; forgets where it grows too large."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        self[word] = code = xxhash.xxh3_64_intdigest(word) | 1 if word != b"\n" else 0
+        return code
 
-def marks(counts: DataFrame) -> np.ndarray:
-    """The bitmap of the phrases of a level."""
-    parts = counts.select((_mark(F.col("lang"), F.col("phrase")) + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("nth")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
-    whole = np.zeros((1 << MARK_BITS) // 8, np.uint8)
-    for r in parts:
-        part = np.frombuffer(bytes(r.bits), np.uint8)
-        whole[(r.nth - 1) * 4096 : (r.nth - 1) * 4096 + len(part)] = part
-    return whole
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-class _Marked(dict):
-    """Whether a phrase is marked in the bitmap of the shorter ones; forgets where it grows too large."""
+def _places(columns: list[np.ndarray], lang: str, size: int) -> np.ndarray:
+    """Bits of the bitmap for phrases whose words' codes are in columns."""
+    total = np.full(len(columns[0]), xxhash.xxh3_64_intdigest(lang), np.uint64)
+    for k, codes in enumerate(columns):
+        total += codes * np.uint64(pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64))
+    return (mixed(total) & np.uint64(size - 1)).astype(np.int64)
 
-    def __init__(self, bits: np.ndarray, lang: str):
-        super().__init__()
-        self.bits, self.seed, self.low = memoryview(bits), zlib.crc32(lang.encode()), 8 * len(bits) - 1
 
-    def __missing__(self, phrase: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        at = (zlib.crc32(phrase) ^ self.seed) & self.low
-        self[phrase] = found = self.bits[at >> 3] >> (at & 7) & 1
-        return found
+def marks(counts: DataFrame, n: int) -> np.ndarray:
+    """The bitmap of the phrases of n words."""
+    size = 1 << MARK_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Codes()
+        for batch in batches:
+            by_lang: dict[str, list[bytes]] = {}
+            for lang, phrase in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by_lang.setdefault(lang, []).append(phrase)
+            for lang, phrases in by_lang.items():
+                codes = known.of(b" ".join(phrases).split(b" ")).reshape(-1, n)
+                yield pa.RecordBatch.from_arrays([pa.array(_places(list(codes.T), lang, size))], names=["p"])
+
+    places = counts.select("lang", F.col("phrase").cast("binary").alias("phrase")).mapInArrow(run, "p long").withColumn("p", F.col("p") + 1)
+    parts = places.groupBy(F.expr("bitmap_bucket_number(p)").alias("nth")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
+    whole = np.zeros(size // 8, np.uint8)
+    for r in parts:
+        part = np.frombuffer(bytes(r.bits), np.uint8)
+        whole[(r.nth - 1) * 4096 : (r.nth - 1) * 4096 + len(part)] = part
+    return whole
 
 
-def _phrases(texts: list[bytes], n: int, marked: _Marked | None) -> list[bytes]:
+def _phrases(texts: list[bytes], n: int, lang: str, known: _Codes, marked: np.ndarray | None) -> list[bytes]:
     """The phrases of n words of the pieces, those left out that a phrase of n - 1 words rules out. A line end stands between pieces."""
     words = b" \n ".join(texts).split(b" ")
-    if n == 1:
+    if marked is None:
         return [w for w in words if w != b"\n"]
-    shorter = words if n == 2 else list(map(b" ".join, zip(*(words[j:] for j in range(n - 1)), strict=False)))
-    ok = list(map(marked.__getitem__, shorter))
-    at = -1
-    for _ in range(len(texts) - 1):  # what holds a line end is no phrase, whatever the bitmap says of it
-        at = words.index(b"\n", at + 1)
-        for k in range(max(0, at - n + 2), min(at + 1, len(ok))):
-            ok[k] = 0
-    return [p + b" " + w for p, w, x, y in zip(shorter, words[n - 1 :], ok, ok[1:], strict=False) if x and y]
+    codes, count = known.of(words), len(words) - n + 2
+    if count < 2:
+        return []
+    columns = [codes[k : k + count] for k in range(n - 1)]
+    at = _places(columns, lang, 8 * len(marked))
+    ok = ((marked[at >> 3] >> (at & 7)) & 1).astype(bool)
+    for c in columns:
+        ok &= c != 0
+    starts = np.flatnonzero(ok[:-1] & ok[1:]).tolist()
+    if n == 2:
+        return [words[k] + b" " + words[k + 1] for k in starts]
+    return [b" ".join(words[k : k + n]) for k in starts]
 
 
 _BLOCK = pa.schema([("bucket", pa.int32()), ("langs", pa.list_(pa.string())), ("lines", pa.list_(pa.int64())), ("bytes", pa.int64()), ("phrases", pa.binary()), ("times", pa.binary())])
@@ -123,15 +144,13 @@ def weighted(texts: DataFrame, n: int, marked: np.ndarray | None, buckets: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, Counter] = {}
-        known: dict[str, _Marked] = {}
+        known = _Codes()
         for batch in batches:
             alike: dict[tuple[str, int], list[bytes]] = {}
             for lang, piece, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 alike.setdefault((lang, times), []).append(piece)
             for (lang, times), some in alike.items():
-                if held and lang not in known:
-                    known[lang] = _Marked(held.value, lang)
-                made, table = _phrases(some, n, known.get(lang)), tables.setdefault(lang, Counter())
+                made, table = _phrases(some, n, lang, known, held.value if held else None), tables.setdefault(lang, Counter())
                 if times == 1:
                     table.update(made)
                 else:
@@ -140,8 +159,6 @@ def weighted(texts: DataFrame, n: int, marked: np.ndarray | None, buckets: int)
             if sum(map(len, tables.values())) > TABLE:
                 yield _packed(tables, buckets)
                 tables.clear()
-            if len(known) > 1000:
-                known.clear()
         yield _packed(tables, buckets)
         tables.clear()
         known.clear()
@@ -210,7 +227,7 @@ def phrase_counts(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LE
     for n in range(1, most_words + 1):
         counted(weighted(texts, n, marked, buckets), least).write.parquet(f"{folder}/counts/words={n}")
         if n < most_words:
-            marked = marks(spark.read.schema("lang string, phrase string, f long").parquet(f"{folder}/counts/words={n}"))
+            marked = marks(spark.read.schema("lang string, phrase string, f long").parquet(f"{folder}/counts/words={n}"), n)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/pieces")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return spark.read.schema("lang string, phrase string, f long, words int").parquet(f"{folder}/counts"), totals

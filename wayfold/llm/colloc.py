@@ -47,9 +47,10 @@ MARK_BITS, TABLE, PER_PARTITION, MEMORY_MB = 26, 400_000, 4, 200
 
 def pieces(docs: DataFrame) -> DataFrame:
     """(lang, piece, times): distinct pieces, words joined by single blanks."""
-    cut = F.explode(F.split(lower_ascii(F.coalesce("text", F.lit(""))), r"[.,;:!?\x0A-\x0D]"))
+    cut = F.explode(F.split(F.coalesce("text", F.lit("")), r"[.,;:!?\x0A-\x0D]"))
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), cut.alias("piece"))
-    plain = F.trim(F.regexp_replace("piece", r"[\x20\x09]+", " "))
+    # Most pieces have no capitals, tabs or repeated blanks: a look is cheaper than a rewrite.
+    plain = F.when(F.col("piece").rlike(r"[A-Z\x09]|\x20\x20"), F.trim(F.regexp_replace(lower_ascii(F.col("piece")), r"[\x20\x09]+", " "))).otherwise(F.trim("piece"))
     return rows.select("lang", plain.alias("piece")).filter("piece <> ''").groupBy("lang", "piece").agg(F.count("*").alias("times"))
 
 
@@ -99,9 +100,9 @@ def marks(counts: DataFrame, n: int) -> np.ndarray:
 
 def _phrases(texts: list[bytes], n: int, lang: str, known: _Codes, marked: np.ndarray | None) -> list[bytes]:
     """The phrases of n words of the pieces, those left out that a phrase of n - 1 words rules out. A line end stands between pieces."""
-    words = b" \n ".join(texts).split(b" ")
     if marked is None:
-        return [w for w in words if w != b"\n"]
+        return b" ".join(texts).split(b" ")
+    words = b" \n ".join(texts).split(b" ")
     codes, count = known.of(words), len(words) - n + 2
     if count < 2:
         return []
@@ -164,7 +165,8 @@ def weighted(texts: DataFrame, n: int, marked: np.ndarray | None, buckets: int)
         known.clear()
         let_go()
 
-    slim = texts.select("lang", F.col("piece").cast("binary").alias("piece"), "times")
+    long = texts.filter(F.col("piece").like("% " * (n - 1) + "%")) if n > 1 else texts  # of n words at least
+    slim = long.select("lang", F.col("piece").cast("binary").alias("piece"), "times")
     return slim.mapInArrow(run, "bucket int, langs array<string>, lines array<long>, bytes long, phrases binary, times binary")
 
 

@@ -1,4 +1,4 @@
-"""Linked lists as tables: rank every item of many chains at once, by pointer doubling.
+"""Linked lists as tables: rank every item of many chains at once, by pointer doubling; rings around masks and chains of roads are made of it.
 
 A round is one self-join in which every item learns what the item it points to knows, so
 chains of n items take log2(n) rounds, and each item has one row in each. An item is
@@ -11,35 +11,98 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.operators import tiles
 from wayfold.session import saved
 
 
 def ranked(links: DataFrame) -> DataFrame:
-    """(item, head, place, closed) of links (item, before): the first item of each item's chain, and how many come before it.
+    """(item, head, place, total, closed) of links (item, before, and weight if there is one): the first item of each item's chain, how many come before it, and the weights up to it.
 
     `before` is null at a chain's head; one that is no item itself counts as null. A closed chain
-    begins at its least item. Items are unique, and no two have the same `before`.
+    begins at its least item. Items are unique, and no two have the same `before`. Without weights totals are 0.
     """
-    items = links.select("item", F.col("before").alias("ptr"))
-    known = items.select(F.col("item").alias("ptr"))
-    links = saved(items.join(known, "ptr", "left_semi").select("item", "ptr").unionByName(items.join(known, "ptr", "left_anti").select("item", F.lit(None).cast(links.schema["item"].dataType).alias("ptr"))))
+    weight = F.col("weight") if "weight" in links.columns else F.lit(0).cast("long")
+    items = links.select("item", F.col("before").alias("ptr"), weight.alias("weight"))
+    known = items.select(F.col("item").alias("ptr"), F.lit(True).alias("known"))
+    links = saved(items.join(known, "ptr", "left").select("item", F.when(F.col("known"), F.col("ptr")).alias("ptr"), "weight"))
     open_, low = _doubled(links)
-    rings = open_.select("item", F.col("low").alias("head"))
+    low = low.withColumn("closed", F.lit(False))
+    if open_.isEmpty():
+        return low
     # A ring is cut before its least item and ranked as an open chain.
-    cut = links.join(rings, "item").select("item", F.when(F.col("item") != F.col("head"), F.col("ptr")).alias("ptr"))
-    again = _doubled(saved(cut))[1] if not rings.isEmpty() else low.limit(0)
-    return low.withColumn("closed", F.lit(False)).unionByName(again.withColumn("closed", F.lit(True)))
+    cut = links.join(open_.select("item", F.col("low").alias("head")), "item").select("item", F.when(F.col("item") != F.col("head"), F.col("ptr")).alias("ptr"), "weight")
+    return low.unionByName(_doubled(saved(cut))[1].withColumn("closed", F.lit(True)))
 
 
 def _doubled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items of rings with the least item of each, (item, head, place) of all others)."""
-    state = saved(links.select("item", "ptr", F.when(F.col("ptr").isNull(), F.col("item")).alias("head"), F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long").alias("place"), F.col("item").alias("low")))
+    """(items of rings with the least item of each, (item, head, place, total) of all others)."""
+    start = F.col("ptr").isNull()
+    state = saved(links.select("item", "ptr", F.when(start, F.col("item")).alias("head"), F.when(start, 0).otherwise(1).cast("long").alias("place"), F.col("weight").alias("total"), F.col("item").alias("low")))
     while True:
-        there = state.select(F.col("item").alias("ptr"), F.col("ptr").alias("p"), F.col("head").alias("h"), F.col("place").alias("d"), F.col("low").alias("l"))
+        there = state.select(F.col("item").alias("ptr"), F.col("ptr").alias("p"), F.col("head").alias("h"), F.col("place").alias("d"), F.col("total").alias("t"), F.col("low").alias("l"))
         on = state.filter("ptr IS NOT NULL").join(there, "ptr")
-        moved = on.select("item", F.col("p").alias("ptr"), F.col("h").alias("head"), (F.col("place") + F.col("d")).alias("place"), F.least("low", "l").alias("low"), (F.col("p").isNull() | (F.col("l") < F.col("low"))).alias("news"))
+        news = (F.col("p").isNull() | (F.col("l") < F.col("low"))).alias("news")
+        moved = on.select("item", F.col("p").alias("ptr"), F.col("h").alias("head"), (F.col("place") + F.col("d")).alias("place"), (F.col("total") + F.col("t")).alias("total"), F.least("low", "l").alias("low"), news)
         state = saved(state.filter("ptr IS NULL").withColumn("news", F.lit(False)).unionByName(moved))
         if state.filter("news").isEmpty():
             break
         state = state.drop("news")
-    return state.filter("ptr IS NOT NULL"), state.filter("ptr IS NULL").select("item", "head", "place")
+    return state.filter("ptr IS NOT NULL"), state.filter("ptr IS NULL").select("item", "head", "place", "total")
+
+
+#: Directions of the sides of a mask, with what is set on the right hand: east, south, west, north.
+_SIDES = {"N": (0, 0, 1, 0, 0), "E": (1, 0, 1, 1, 1), "S": (1, 1, 0, 1, 2), "W": (0, 1, 0, 0, 3)}
+
+
+def contours(cells: DataFrame) -> DataFrame:
+    """(ring, place, x, y): the corners, in order, of the rings around set cells (x, y), what is set on the right hand.
+
+    Where four sides meet a ring turns right, so cells that only touch at a corner have rings of their own. A ring is named
+    by its least side and begins there. Sides and their successors come from two joins, the order from ranking.
+    """
+    at = F.coalesce(*(F.when(F.col("side") == s, F.struct((F.col("x") + x1).alias("x1"), (F.col("y") + y1).alias("y1"), (F.col("x") + x2).alias("x2"), (F.col("y") + y2).alias("y2"), F.lit(d).alias("dir"))) for s, (x1, y1, x2, y2, d) in _SIDES.items()))
+    sides = tiles.boundary(cells.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))).select(at.alias("e")).select("e.*")
+    # Sides are ordered by where they begin, then by where they end: west, north, south, east.
+    nth = F.element_at(F.array(*map(F.lit, (3, 2, 0, 1))), F.col("dir") + 1)
+    item = (F.shiftleft(F.col("x1") + (1 << 29), 32) + F.shiftleft(F.col("y1") + (1 << 29), 2) + nth).alias("item")
+    sides = saved(sides.select(item, "x1", "y1", "x2", "y2", "dir"))
+    out = sides.select(F.col("item").alias("next"), F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("dir").alias("out"))
+    turn = F.element_at(F.array(*map(F.lit, (1, 0, 3, 2))), F.pmod(F.col("out") - F.col("dir"), F.lit(4)) + 1)
+    links = sides.join(out, ["x2", "y2"]).groupBy("item").agg(F.min_by("next", turn).alias("next"))
+    order = ranked(links.select(F.col("next").alias("item"), F.col("item").alias("before")))
+    return order.join(sides, "item").select(F.col("head").alias("ring"), "place", F.col("x1").alias("x"), F.col("y1").alias("y"))
+
+
+def contour_areas(corners: DataFrame) -> DataFrame:
+    """(ring, corners, area): the signed area of each ring in cells; holes are negative."""
+    after = corners.select("ring", (F.col("place") - 1).alias("place"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    last = corners.groupBy("ring").agg(F.max("place").alias("place"))
+    first = corners.filter("place = 0").join(last.withColumnRenamed("place", "end"), "ring").select("ring", F.col("end").alias("place"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    sides = corners.join(after.filter("place >= 0").unionByName(first), ["ring", "place"])
+    return sides.groupBy("ring").agg(F.count("*").alias("corners"), (F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y")) / 2).alias("area"))
+
+
+def outlines(cells: DataFrame, least_cells: float = 4.0) -> DataFrame:
+    """The corners of contours that enclose at least so many cells; holes are left out."""
+    corners = saved(contours(cells))
+    return corners.join(contour_areas(corners).filter(F.col("area") >= least_cells).select("ring"), "ring", "left_semi")
+
+
+def chained(segments: DataFrame, by_kind: bool = True) -> DataFrame:
+    """(segment, chain, place, reversed, total, closed) of segments (segment, a, b, kind, length): maximal chains through nodes where just two ends meet.
+
+    Ends join if they are of one kind; with by_kind, a node's ends of other kinds don't count, without, they make it a
+    junction. A chain begins at its end whose segment is least, a closed one at its least segment; `total` is
+    the length up to a segment's far end, `reversed` tells whether it is passed from b to a.
+    """
+    ends = segments.select("segment", "kind", "length", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("node")), F.struct(F.lit(1).alias("side"), F.col("b").alias("node")))).alias("e")).select("segment", "kind", "length", "e.*")
+    # A dart is a segment with a direction: it leaves from one end and arrives at the other.
+    ends = saved(ends.select("node", "kind", "segment", "side", (F.col("segment") * 2 + F.col("side")).alias("leaves"), (F.col("segment") * 2 + 1 - F.col("side")).alias("arrives"), "length"))
+    here = ends.groupBy("node", *(["kind"] if by_kind else []))
+    two = here.agg(F.count("*").alias("n"), F.min(F.struct("kind", "leaves", "arrives")).alias("p"), F.max(F.struct("kind", "leaves", "arrives")).alias("q")).filter("n = 2 AND p.kind <=> q.kind")
+    joined = two.select(F.explode(F.array(F.struct(F.col("p.leaves").alias("item"), F.col("q.arrives").alias("before")), F.struct(F.col("q.leaves").alias("item"), F.col("p.arrives").alias("before")))).alias("l")).select("l.*")
+    darts = ends.select(F.col("leaves").alias("item"), F.col("length").alias("weight"))
+    order = ranked(darts.join(joined, "item", "left"))
+    # Each chain is there in both directions: the one whose head is less counts.
+    best = F.min_by(F.struct("head", "place", "total", "closed", (F.col("item") % 2 == 1).alias("reversed")), "head").alias("b")
+    return order.groupBy(F.expr("item div 2").alias("segment")).agg(best).select("segment", F.expr("b.head div 2").alias("chain"), "b.place", "b.reversed", "b.total", "b.closed")

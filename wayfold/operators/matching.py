@@ -110,7 +110,7 @@ class Ride:
     last: tuple[float, float] | None = None
 
 
-def _ridden(ride: Ride, lat: float, lon: float, speed: float, dt: float) -> None:
+def ridden(ride: Ride, lat: float, lon: float, speed: float, dt: float) -> None:
     """Time, way and speed of the session; jumps are no way."""
     ride.elapsed += dt
     ride.moving += dt if speed >= 1.0 else 0.0
@@ -142,6 +142,11 @@ def step(ride: Ride | None, now: tuple) -> tuple[Ride, tuple | None]:
         return ride, None
     if ride.route is None:
         ride.route = Route(ride.lat, ride.lon)
+    return ride, located(ride, lat, lon, speed, heading, dt)
+
+
+def located(ride: Ride, lat: float, lon: float, speed: float, heading: float, dt: float) -> tuple:
+    """A sample on the ride's route, and the session after it: the values of RESULT."""
     route, dt = ride.route, min(max(dt, 0.0), 5.0)
     segment, fraction, far = route.match(lat, lon, ride.segment, speed, heading)
     ride.segment = segment
@@ -149,9 +154,9 @@ def step(ride: Ride | None, now: tuple) -> tuple[Ride, tuple | None]:
     done = min(max(done, 0.0), route.total)
     ride.off = far > (ON_M if ride.off else OFF_M)
     status = "OFF_ROUTE" if ride.off else "ARRIVED" if route.total - done <= ARRIVAL_M else "ON_ROUTE"
-    _ridden(ride, lat, lon, speed, dt)
+    ridden(ride, lat, lon, speed, dt)
     asked = _rerouted(ride, status, dt)
-    return ride, (segment, fraction, far, done, max(0.0, route.total - done), status, asked, ride.elapsed, ride.moving, ride.metres, ride.top, ride.reroutes)
+    return segment, fraction, far, done, max(0.0, route.total - done), status, asked, ride.elapsed, ride.moving, ride.metres, ride.top, ride.reroutes
 
 
 RESULT = "segment int, fraction double, distance_m double, travelled_m double, remaining_m double, status string, reroute boolean, elapsed_s double, moving_s double, way_m double, top_mps double, reroutes int"

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wayfold.functions import geo
+
 
 def sides(rings: DataFrame) -> DataFrame:
     """(ring_id, seq, x, y, nx, ny): each corner of rings (ring_id, seq, x, y) with the next one; rings close by themselves."""
@@ -191,3 +193,60 @@ def assembled(members: DataFrame) -> DataFrame:
 
     outer = members.filter("role IS NULL OR role IN ('', 'outer')")
     return outer.groupBy("relation").applyInPandas(rings, "relation long, ring int, refs array<long>")
+
+
+def _ears(x: np.ndarray, y: np.ndarray, least: float = 1e-14) -> np.ndarray | None:
+    """The corners (a, b, c) of the triangles that a ring is cut into, always at its first ear; None if it can't be cut up whole."""
+    area = float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2
+    if len(x) < 3 or abs(area) < least:
+        return None
+    sign, left, found = (1.0 if area > 0 else -1.0), np.arange(len(x)), []
+    cross = lambda ax, ay, bx, by, cx, cy: (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+    while len(left) > 3:
+        before, after = np.roll(left, 1), np.roll(left, -1)
+        convex = np.flatnonzero(sign * cross(x[before], y[before], x[left], y[left], x[after], y[after]) > least)
+        for k in convex.tolist():
+            a, b, c = before[k], left[k], after[k]
+            others = left[(left != a) & (left != b) & (left != c)]
+            px, py = x[others], y[others]
+            inside = np.ones(len(others), bool)
+            for p, q in ((a, b), (b, c), (c, a)):
+                inside &= sign * cross(x[p], y[p], x[q], y[q], px, py) > least
+            if not inside.any():
+                found.append((a, b, c))
+                left = np.delete(left, k)
+                break
+        else:
+            return None
+    return np.array([*found, tuple(left)], np.int32)
+
+
+def triangles(rings: DataFrame) -> DataFrame:
+    """(ring_id, nth, xs, ys): the triangles of each ring (ring_id, xs, ys); a ring that can't be cut up to the end leaves none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, x, y in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                x, y = np.array(x or [], float), np.array(y or [], float)
+                cut = _ears(x, y)
+                if cut is not None:
+                    n = len(cut)
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * n, batch.column(0).type), pa.array(np.arange(n, dtype=np.int32)), pa.array(x[cut].tolist(), pa.list_(pa.float64())), pa.array(y[cut].tolist(), pa.list_(pa.float64()))], names=["ring_id", "nth", "xs", "ys"])
+
+    kind = dict(rings.dtypes)["ring_id"]
+    return rings.select("ring_id", "xs", "ys").mapInArrow(run, f"ring_id {kind}, nth int, xs array<double>, ys array<double>")
+
+
+def mesh(rings: DataFrame, zoom: int, buffer: float = 0.5 / 256) -> DataFrame:
+    """(tile_x, tile_y, ring_id, nth, part, x1, y1, x2, y2, x3, y3): the triangles of rings in world coordinates, cut to each tile they touch, in 65,536ths of the widened tile.
+
+    What a tile leaves of a triangle is a fan around its first corner; parts that shrink to nothing go.
+    """
+    cut = triangles(rings).withColumn("ring_id", F.concat_ws(":", F.col("ring_id").cast("string"), F.col("nth").cast("string")))
+    fans = clipped_to_tiles(cut.select("ring_id", "xs", "ys"), zoom, buffer).withColumn("part", F.explode(F.sequence(F.lit(1), F.size("xs") - 2)))
+    at = lambda c, k: F.get(c, k)
+    local = lambda c, k, tile_no: geo.quantize(at(c, k), F.col(tile_no), F.lit(zoom), buffer)
+    corners = {f"{c}{n}": local(f"{c}s", k, f"tile_{c}") for n, k in ((1, F.lit(0)), (2, F.col("part")), (3, F.col("part") + 1)) for c in "xy"}
+    key = F.split("ring_id", ":")
+    rows = fans.select("tile_x", "tile_y", key[0].alias("ring_id"), key[1].cast("int").alias("nth"), "part", *(v.alias(k) for k, v in corners.items()))
+    return rows.filter("(x2 - x1) * (y3 - y1) <> (y2 - y1) * (x3 - x1)")

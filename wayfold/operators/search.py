@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wayfold.functions import text
 
@@ -35,3 +36,13 @@ def merged(sources: list[DataFrame], query: str, limit: int = 8) -> DataFrame:
     first = F.min_by(F.struct(*rows.columns), F.struct("source_no", "place_id")).alias("first")
     once = rows.groupBy(F.col("lat_e7").alias("y"), F.col("lon_e7").alias("x"), F.col("normalized").alias("n")).agg(first).select("first.*")
     return once.orderBy("match", F.desc("rank"), F.length("normalized"), "name", "place_id").limit(limit)
+
+
+def by_pairs(places: DataFrame, asked: DataFrame, limit: int = 8) -> DataFrame:
+    """The best places for each of many texts (asked) of two letters in normalised form: an equi-join with the pairs of letters of the names."""
+    named = places.withColumn("normalized", text.normalized(F.col("name"))).filter(F.length("normalized") >= 2)
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("normalized") - 1), lambda k: F.substring("normalized", k, F.lit(2))))
+    hits = named.withColumn("asked", F.explode(pairs)).join(asked, "asked")
+    match = F.when(F.col("normalized") == F.col("asked"), 0).when(F.startswith("normalized", F.col("asked")), 1).otherwise(2)
+    order = Window.partitionBy("asked").orderBy("match", F.desc("rank"), F.length("name"), text.lower_ascii(F.col("name")), "place_id")
+    return hits.withColumn("match", match).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= limit).drop("nth")

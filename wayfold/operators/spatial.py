@@ -41,6 +41,20 @@ def first_edges(edges: DataFrame, per_row: int = 4096) -> DataFrame:
     return _with_first(counts, "__row", "node").drop("__row")
 
 
+def numbered(rows: DataFrame, group: str, rank: Column, order: Column, part: Column) -> DataFrame:
+    """The rows with `nth`, their place from 1 within the group by falling rank, then by order.
+
+    `part` rises with order and cuts it into ranges: places are counted inside a range of one rank, and added to what
+    the ranges before hold, so a group of any size is dealt out. Ranks are few.
+    """
+    keyed = rows.withColumns({"__rank": rank, "__part": part})
+    counts = keyed.groupBy(group, "__rank", "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(group).orderBy(F.desc("__rank"), "__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    within = F.row_number().over(Window.partitionBy(group, "__rank", "__part").orderBy(order))
+    return keyed.withColumn("__nth", within).join(first, [group, "__rank", "__part"]).withColumn("nth", F.col("__first") + F.col("__nth")).drop("__rank", "__part", "__nth", "__first")
+
+
 def sorted_edges(edges: DataFrame) -> DataFrame:
     """(place, src, dst, edge_id): all edges in the order of (src, dst, edge_id), places from 0."""
     within = Window.partitionBy("src").orderBy("dst", "edge_id")
@@ -53,25 +67,31 @@ def segments(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct()
 
 
+def _either_side(lon: Column, reach: Column) -> Column:
+    """A longitude, and within reach of 180 degrees the same seen from the other side."""
+    half, turn = F.lit(MAP_E7 // 2), F.lit(MAP_E7)
+    return F.array_compact(F.array(lon.cast("long"), F.when(lon > half - reach, lon - turn).cast("long"), F.when(lon < reach - half, lon + turn).cast("long")))
+
+
 def nearest_node(points: DataFrame, nodes: DataFrame, size: int = CELL_E7) -> DataFrame:
     """(point_id, node_id, distance_m): the nearest node of each point; ties to the smaller node.
 
     Points meet the nodes of the cells around them. A point is done when no node outside
     the searched square can be nearer; the others search eight times as far, until cells as
     wide as the map leave no node outside. Each round is one equi-join on cells, over the
-    points that are left.
+    points that are left. Nodes near 180 degrees are there twice, on either side of it.
     """
     held = nodes.select("node_id", F.col("lat_e7").alias("n_lat"), F.col("lon_e7").alias("n_lon"), cell(F.col("lat_e7"), size).alias("cy"), cell(F.col("lon_e7"), size).alias("cx"))
     open_ = points.select("point_id", "lat_e7", "lon_e7")
     found, side = [], size
     while True:
-        at = held.withColumn("cy", F.floor(F.col("n_lat") / side)).withColumn("cx", F.floor(F.col("n_lon") / side))
+        at = held.withColumn("x", F.explode(_either_side(F.col("n_lon"), F.lit(2 * side)))).withColumn("cy", F.floor(F.col("n_lat") / side)).withColumn("cx", F.floor(F.col("x") / side)).drop("x")
         around = F.sequence(F.lit(-1), F.lit(1))
         asked = open_.withColumn("dy", F.explode(around)).withColumn("dx", F.explode(around)).withColumn("cy", F.floor(F.col("lat_e7") / side) + F.col("dy")).withColumn("cx", F.floor(F.col("lon_e7") / side) + F.col("dx"))
         metres = geo.haversine_m(F.col("lat_e7") / 1e7, F.col("lon_e7") / 1e7, F.col("n_lat") / 1e7, F.col("n_lon") / 1e7)
         best = asked.join(at, ["cy", "cx"]).groupBy("point_id", "lat_e7", "lon_e7").agg(F.min(F.struct(metres.alias("d"), "node_id")).alias("b"))
         # A node outside the 3 x 3 square is at least one cell away, in latitude or in longitude at the square's outer parallel.
-        k = F.cos(F.radians(F.least(F.lit(89.9), F.abs(F.col("lat_e7") / 1e7) + 2 * side / 1e7)))
+        k = F.cos(F.radians(F.least(F.lit(90.0), F.abs(F.col("lat_e7") / 1e7) + 2 * side / 1e7)))
         safe = F.lit(geo.EARTH_M * 3.141592653589793 / 180 * side / 1e7) * k * F.lit(0.999)
         done = best.filter((F.col("b.d") <= safe) | F.lit(side >= MAP_E7)).select("point_id", F.col("b.node_id").alias("node_id"), F.col("b.d").alias("distance_m"))
         done = saved(done)
@@ -115,7 +135,9 @@ def _pairs_within(points: DataFrame, located: DataFrame, radius_m: float) -> Dat
     rows = rows.withColumns({"t0": F.when(rise == 0, 0.0).otherwise(clamp(F.least(low, high))), "t1": F.when(rise == 0, 1.0).otherwise(clamp(F.greatest(low, high)))})
     x0, x1 = F.col("a_lon") + F.col("t0") * run, F.col("a_lon") + F.col("t1") * run
     touched = rows.withColumn("cx", F.explode(F.sequence(cell(F.least(x0, x1) - wide, size), cell(F.greatest(x0, x1) + wide, size)))).drop("t0", "t1")
-    asked = points.select("point_id", "lat_e7", "lon_e7", F.cos(F.radians(F.col("lat_e7") / 1e7)).alias("k"), cell(F.col("lat_e7"), size).alias("cy"), cell(F.col("lon_e7"), size).alias("cx"))
+    k = F.greatest(F.cos(F.radians(F.col("lat_e7") / 1e7)), F.lit(1e-6))
+    seen = points.select("point_id", "lat_e7", F.explode(_either_side(F.col("lon_e7"), (reach / k).cast("long") + 1)).alias("lon_e7"))  # from either side of 180 degrees
+    asked = seen.select("point_id", "lat_e7", "lon_e7", F.cos(F.radians(F.col("lat_e7") / 1e7)).alias("k"), cell(F.col("lat_e7"), size).alias("cy"), cell(F.col("lon_e7"), size).alias("cx"))
     d2 = _planar2(F.col("lat_e7").cast("double"), F.col("lon_e7").cast("double"), *ends, F.col("k")) * METRES_E7**2
     return asked.join(touched, ["cy", "cx"]).withColumn("d2", d2).filter(F.col("d2") <= (radius_m * 1.001) ** 2).drop("cy", "cx", "k")
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfold.functions import geo
+from wayfold.operators import spatial
 from wayfold.session import saved
 
 
@@ -175,12 +176,11 @@ def class_offsets(records: DataFrame) -> DataFrame:
     return counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
-def chunked(lines: DataFrame, layer: str, order: str, size: int = 256) -> DataFrame:
-    """(layer, chunk, n, low_x, low_y, high_x, high_y): runs of so many lines of a layer with the box around each."""
-    within = Window.partitionBy(layer).orderBy(order)
-    numbered = lines.withColumn("chunk", F.floor((F.row_number().over(within) - 1) / size))
+def chunked(lines: DataFrame, layer: str, order: Column, part: Column, size: int = 256) -> DataFrame:
+    """(layer, chunk, n, low_x, low_y, high_x, high_y): runs of so many lines of a layer, in order, with the box around each; `part` cuts the order into ranges, as in `spatial.numbered`."""
+    rows = spatial.numbered(lines, layer, F.lit(0), order, part).withColumn("chunk", F.floor((F.col("nth") - 1) / size))
     box = [F.min(F.least("x1", "x2")).alias("low_x"), F.min(F.least("y1", "y2")).alias("low_y"), F.max(F.greatest("x1", "x2")).alias("high_x"), F.max(F.greatest("y1", "y2")).alias("high_y")]
-    return numbered.groupBy(layer, "chunk").agg(F.count("*").alias("n"), *box)
+    return rows.groupBy(layer, "chunk").agg(F.count("*").alias("n"), *box)
 
 
 #: What becomes of a map feature: the layer, and for areas the pixels of tolerance and of least area.

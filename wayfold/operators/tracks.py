@@ -106,17 +106,19 @@ def folded(rows: DataFrame, step: Callable, columns: list[str], out: str, order:
     return dealt.mapInPandas(run, f"trip {kinds['trip']}, {order} {kinds[order]}, {out}")
 
 
-def filtered(track: DataFrame, tau_s: float = 0.35) -> DataFrame:
-    """(trip, seq, lat, lon): positions smoothed with factor 1 - exp(-dt/tau); a jump resets to the sample."""
+def filtered(track: DataFrame, tau_s: float = 0.35, speed_tau_s: float = 0.55, heading_tau_s: float = 0.45) -> DataFrame:
+    """(trip, seq, lat, lon, speed_mps, heading_deg): smoothed with factors 1 - exp(-dt/tau), headings by the shorter way; a jump resets to the sample."""
 
     def step(last, now):
-        lat, lon, dt = now[0] / 1e7, now[1] / 1e7, now[2]
-        if last is not None and metres_between(*last, lat, lon) <= JUMP_M:
-            alpha = 1 - math.exp(-dt / tau_s) if dt > 0 and tau_s > 0 else 1.0
-            lat, lon = last[0] + (lat - last[0]) * alpha, last[1] + (lon - last[1]) * alpha
-        return (lat, lon), (lat, lon)
-
-    return folded(track, step, ["lat_e7", "lon_e7", "dt_s"], "lat double, lon double")
+        lat, lon, dt, speed, heading = now[0] / 1e7, now[1] / 1e7, now[2], max(0.0, now[3] / 100), now[4] % 360
+        if last is not None and metres_between(*last[:2], lat, lon) <= JUMP_M:
+            share = lambda tau: 1 - math.exp(-dt / tau) if dt > 0 and tau > 0 else 1.0
+            lat, lon = last[0] + (lat - last[0]) * share(tau_s), last[1] + (lon - last[1]) * share(tau_s)
+            turn = (heading - last[3]) % 360
+            speed, heading = last[2] + (speed - last[2]) * share(speed_tau_s), (last[3] + (turn - 360 if turn > 180 else turn) * share(heading_tau_s)) % 360
+        return (lat, lon, speed, heading), (lat, lon, speed, heading)
+
+    return folded(track, step, ["lat_e7", "lon_e7", "dt_s", "speed_cms", "heading_deg"], "lat double, lon double, speed_mps double, heading_deg double")
 
 
 def recorded(track: DataFrame, every_m: float = 10.0) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfold.functions import geo, roads, text
+from wayfold.session import saved
 
 
 def routable(ways: DataFrame) -> DataFrame:
@@ -114,16 +115,40 @@ def ring_sides(rings: DataFrame) -> DataFrame:
     return rings.select("region", "ring", "hole", F.col("x").alias("x1"), F.col("y").alias("y1"), ahead("x").alias("x2"), ahead("y").alias("y2"))
 
 
+def ring_cells(sides: DataFrame, cell: float) -> DataFrame:
+    """(region, ring, hole, row, col, border): the cells of a grid that rings touch (border), and those that lie inside as a whole."""
+    key = ["region", "ring", "hole"]
+    rows = sides.withColumn("row", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))))
+    # The stretch of a side beside a row of cells, a little more for rounding.
+    rise = F.col("y2") - F.col("y1")
+    share = lambda y: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - F.col("y1")) / rise))
+    t0, t1 = F.when(rise == 0, 0.0).otherwise(share(F.col("row") * cell)), F.when(rise == 0, 1.0).otherwise(share((F.col("row") + 1) * cell))
+    x0, x1 = F.col("x1") + (F.col("x2") - F.col("x1")) * t0, F.col("x1") + (F.col("x2") - F.col("x1")) * t1
+    columns = F.sequence(F.floor(F.least(x0, x1) / cell - 1e-6), F.floor(F.greatest(x0, x1) / cell + 1e-6))
+    border = rows.select(*key, "row", F.explode(columns).alias("col")).distinct()
+    # Along the middle of a row a ring's crossings, by turns, go in and out.
+    middle = (F.col("row") + 0.5) * cell
+    cross = rows.filter((F.col("y1") > middle) != (F.col("y2") > middle)).withColumn("x", F.col("x1") + (middle - F.col("y1")) * (F.col("x2") - F.col("x1")) / rise)
+    order = Window.partitionBy(*key, "row").orderBy("x")
+    paired = cross.withColumns({"nth": F.row_number().over(order), "until": F.lead("x").over(order)}).filter("nth % 2 = 1 AND until IS NOT NULL")
+    low, high = F.ceil(F.col("x") / cell - 0.5), F.floor(F.col("until") / cell - 0.5)
+    inside = paired.filter(low <= high).select(*key, "row", F.explode(F.sequence(low, high)).alias("col")).distinct()
+    return border.withColumn("border", F.lit(True)).unionByName(inside.join(border, [*key, "row", "col"], "left_anti").withColumn("border", F.lit(False)))
+
+
 def regions_of(points: DataFrame, rings: DataFrame, cell: float = 0.25) -> DataFrame:
     """(point_id, region): for each point (point_id, x, y) the first region whose rings hold it, holes excluded.
 
-    A side counts for the points of its rows of cells that lie left of it: one equi-join on
-    the row, partial counts of crossings by parity, and never a pair of every point and region.
+    A point meets the rings of its cell: those that hold the whole cell are settled by an equi-join on it. Only where a
+    ring's border passes through the cell, the point meets that ring's sides of its row, and crossings are counted.
     """
-    sides = ring_sides(rings).filter("y1 <> y2").withColumn("row", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))))
-    asked = points.withColumn("row", F.floor(F.col("y") / cell))
+    every = saved(ring_sides(rings))
+    sides = every.filter("y1 <> y2").withColumn("row", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))))
+    asked = points.withColumns({"row": F.floor(F.col("y") / cell), "col": F.floor(F.col("x") / cell)})
+    met = asked.join(ring_cells(every, cell), ["row", "col"])
     crossing = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    inside = asked.join(sides, "row").filter(crossing).groupBy("point_id", "region", "ring", "hole").agg(F.count("*").alias("n")).filter("n % 2 = 1")
+    near = met.filter("border").join(sides, ["region", "ring", "hole", "row"]).filter(crossing).groupBy("point_id", "region", "ring", "hole").agg(F.count("*").alias("n")).filter("n % 2 = 1")
+    inside = near.drop("n").unionByName(met.filter("NOT border").select("point_id", "region", "ring", "hole"))
     kept = inside.groupBy("point_id", "region").agg(F.bool_or("hole").alias("in_hole")).filter("NOT in_hole")
     return kept.groupBy("point_id").agg(F.min("region").alias("region"))
 

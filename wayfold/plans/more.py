@@ -236,7 +236,7 @@ def places_from_tags(spark: SparkSession, sf: str) -> DataFrame:
 def map_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of settlements with their level of detail, numbered by rank within it."""
     rows = ways.places(_tagged_places(spark, sf)).filter("kind BETWEEN 1 AND 6").withColumn("lod", text.label_zoom(F.col("kind")))
-    return rows.select("id", "lod", "kind", "rank", F.row_number().over(Window.partitionBy("lod").orderBy(F.desc("rank"), "id")).alias("ordinal"))
+    return spatial.numbered(rows.select("id", "lod", "kind", "rank"), "lod", F.col("rank"), F.col("id"), F.floor(F.col("id") / 4096)).select("id", "lod", "kind", "rank", F.col("nth").cast("int").alias("ordinal"))
 
 
 # Graph and routes ---------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfold.functions import formats, roads
+from wayfold.functions import formats, roads, text
 from wayfold.operators import navigation, routing, search, spatial, store, tiles, tracks
 from wayfold.plans import more
 from wayfold.plans import oracles as o
@@ -80,12 +80,14 @@ _CITIES = ", ".join(f"({-1 - k}, '{name}', {kind}, {rank}, {round(lat * 1e7)}, {
 
 
 @query(
-    f"""WITH c AS (SELECT *, {o.normalized("name")} AS normalized FROM (VALUES {_CITIES}) t(place_id, name, kind, rank, lat_e7, lon_e7)), m AS (SELECT *, CASE WHEN normalized = 'saint' THEN 0 WHEN starts_with(normalized, 'saint') THEN 1 WHEN contains(normalized, 'saint') THEN 2 END AS match FROM c)
-    SELECT place_id::BIGINT AS place_id, name, match, rank FROM m WHERE match IS NOT NULL ORDER BY match, rank DESC, length(name), lower(name), place_id LIMIT 8"""
+    f"""WITH c AS (SELECT *, {o.normalized("name")} AS normalized FROM (VALUES {_CITIES}) t(place_id, name, kind, rank, lat_e7, lon_e7)), a AS (SELECT DISTINCT substr({o.normalized("p_name")}, 1, 2) AS asked FROM part),
+    m AS (SELECT *, CASE WHEN normalized = asked THEN 0 WHEN starts_with(normalized, asked) THEN 1 WHEN contains(normalized, asked) THEN 2 END AS match FROM c, a WHERE length(asked) = 2)
+    SELECT asked, place_id::BIGINT AS place_id, name, match, rank FROM m WHERE match IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asked ORDER BY match, rank DESC, length(name), lower(name), place_id) <= 8"""
 )
 def city_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The search over the list of well-known cities."""
-    return search.search(r.cities(spark), "Saint", 8).select("place_id", "name", "match", "rank")
+    """The well-known cities found by the first two letters of each part's name, the eight best for each."""
+    asked = table(spark, sf, "part").select(F.substring(text.normalized(F.col("p_name")), 1, 2).alias("asked")).distinct().filter(F.length("asked") == 2)
+    return search.by_pairs(r.cities(spark), asked, 8).select("asked", "place_id", "name", "match", "rank")
 
 
 # Levels and tiles ---------------------------------------------------------------------------------
@@ -237,7 +239,7 @@ def line_chunks(spark: SparkSession, sf: str) -> DataFrame:
     k, p = F.col("l_orderkey"), F.col("l_partkey")
     x, y = (k * 7919 % 100000) / 100000.0, (k * 104729 % 100000) / 100000.0
     lines = table(spark, sf, "lineitem").select((k * 10 + F.col("l_linenumber")).alias("line_id"), (k % 3).cast("int").alias("kind"), x.alias("x1"), y.alias("y1"), (x + (p % 97 - 48) / 50000.0).alias("x2"), (y + (p % 89 - 44) / 50000.0).alias("y2")).distinct()
-    runs = tiles.chunked(lines.withColumn("place", F.struct("line_id", "x2", "y2")), "kind", "place")
+    runs = tiles.chunked(lines, "kind", F.struct("line_id", "x2", "y2"), F.floor(F.col("line_id") / 4096))
     return runs.select("kind", "chunk", "n", *[F.round(c, 9).alias(c) for c in ("low_x", "low_y", "high_x", "high_y")])
 
 

@@ -34,11 +34,11 @@ def advance(state: tuple | None, seq: int, lat: float, lon: float, dt: float, mp
     if state is None:
         return (seq, lat, lon, off_m > OFF_M, 0.0, dt, dt if mps >= 1 else 0.0, mps)
     _, old_lat, old_lon, off, way, elapsed, moving, top = state
-    step = metres(old_lat, old_lon, lat, lon)
-    if step <= JUMP_M:
-        alpha = 1 - math.exp(-dt / TAU_S)
+    if metres(old_lat, old_lon, lat, lon) <= JUMP_M:
+        alpha = 1 - math.exp(-dt / TAU_S) if dt > 0 else 1.0
         lat, lon = old_lat + (lat - old_lat) * alpha, old_lon + (lon - old_lon) * alpha
-        way += metres(old_lat, old_lon, lat, lon)
+    step = metres(old_lat, old_lon, lat, lon)
+    way += step if step <= max(35.0, 70.0 * max(dt, 0.2)) else 0.0
     off = True if off_m > OFF_M else False if off_m <= ON_M else off
     return (seq, lat, lon, off, way, elapsed + dt, moving + (dt if mps >= 1 else 0.0), max(top, mps))
 

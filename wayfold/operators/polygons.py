@@ -249,4 +249,4 @@ def mesh(rings: DataFrame, zoom: int, buffer: float = 0.5 / 256) -> DataFrame:
     corners = {f"{c}{n}": local(f"{c}s", k, f"tile_{c}") for n, k in ((1, F.lit(0)), (2, F.col("part")), (3, F.col("part") + 1)) for c in "xy"}
     key = F.split("ring_id", ":")
     rows = fans.select("tile_x", "tile_y", key[0].alias("ring_id"), key[1].cast("int").alias("nth"), "part", *(v.alias(k) for k, v in corners.items()))
-    return rows.filter("(x2 - x1) * (y3 - y1) <> (y2 - y1) * (x3 - x1)")
+    return rows.filter("CAST(x2 - x1 AS BIGINT) * (y3 - y1) <> CAST(y2 - y1 AS BIGINT) * (x3 - x1)")

@@ -60,7 +60,7 @@ def test_contours_equal_a_walk(spark, seed, share):
 
 def test_a_long_contour(spark):
     """A comb: one ring of some 4,000 sides."""
-    cells = spark.range(500).select(F.explode(F.sequence(F.lit(0), F.when(F.col("id") % 2 == 0, 3).otherwise(0))).cast("long").alias("y"), F.col("id").alias("x"))
+    cells = spark.range(500).select(F.col("id").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("id") % 2 == 0, 3).otherwise(0).cast("long"))).alias("y"))
     found = chains.contour_areas(chains.contours(cells)).collect()
     assert len(found) == 1 and found[0].area == cells.count()
 

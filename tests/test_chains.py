@@ -142,10 +142,10 @@ def test_triangles_fill_their_ring_or_are_none(spark):
     whole = 0
     for k, (x, y) in rings.items():
         total = (x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2
-        if k in found:
+        if k in found and k != 61:  # what crosses itself has no inside to compare with
             whole += 1
             assert len(found[k]) == len(x) - 2 and sum(map(abs, found[k])) == pytest.approx(abs(total)) and len({t > 0 for t in found[k]}) == 1
-    assert whole > 50 and not {60, 62, 64} & found.keys() and 63 in found
+    assert whole == 61 and not {60, 62, 64} & found.keys() and 63 in found
 
 
 def test_mesh_covers_tiles(spark):

@@ -154,3 +154,13 @@ def test_merged_search_drops_copies_before_the_cut(spark):
 
 def normal(spark, name):
     return one(spark, n=text.normalized(F.lit(name))).n
+
+
+def test_nearest_across_180_degrees(spark):
+    points = spark.createDataFrame([(1, 0, 1_799_000_000), (2, 0, -1_799_900_000), (3, 899_500_000, 0)], "point_id long, lat_e7 long, lon_e7 long")
+    nodes = spark.createDataFrame([(1, 0, 1_790_000_000), (2, 0, -1_799_500_000), (3, 0, 1_799_950_000), (4, 899_900_000, 1_790_000_000), (5, 890_000_000, 0)], "node_id long, lat_e7 long, lon_e7 long")
+    got = {r.point_id: (r.node_id, r.distance_m) for r in spatial.nearest_node(points, nodes).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: 3, 2: 3, 3: 4} and got[2][1] < 1700
+    located = spark.createDataFrame([(7, 8, -1_000_000, -1_799_990_000, 1_000_000, -1_799_990_000), (1, 2, -1_000_000, 1_790_000_000, 1_000_000, 1_790_000_000)], "a long, b long, a_lat long, a_lon long, b_lat long, b_lon long")
+    near = spatial.snap(points.filter("point_id < 3"), located, 20_000.0).collect()
+    assert {r.point_id: (r.a, round(r.fraction, 6)) for r in near} == {1: (7, 0.5), 2: (7, 0.5)} and min(r.distance_m for r in near) < 1100

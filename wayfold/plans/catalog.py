@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from wayfold.functions import geo, roads, text
 from wayfold.operators import graph, navigation, search, spatial, store, tiles, tracks
-from wayfold.plans import ground, more, oracles, world  # noqa: F401  ground adds to more's queries
+from wayfold.plans import ground, journeys, more, oracles, world  # noqa: F401  ground and journeys add to more's queries
 from wayfold.session import table
 from wayfold.sources import geo_tables as g
 

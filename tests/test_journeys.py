@@ -392,3 +392,61 @@ def test_new_roads_forget_gateways(spark, tmp_path):
     packages.cached_gateways(spark, kept, region(spark, "a"), region(spark, "b"))
     packages.prepared(spark, folder, stages, "a", kept)
     assert len(folders.names(spark, kept)) == 1
+
+
+# Search of all regions --------------------------------------------------------------------------------
+
+
+def plain_search(places, listed, asked, limit, fold):
+    """Region by region, then the list; each candidate against all taken before it."""
+    match = lambda n: 0 if n == asked else 1 if n.startswith(asked) else 2 if asked in n else None
+    hits = lambda rows: sorted((r for r in rows if fold[r[1]] and match(fold[r[1]]) is not None), key=lambda r: (match(fold[r[1]]), -r[3], len(r[1]), r[1].translate({c: c + 32 for c in range(65, 91)}), r[0], r[4], r[5]))[:limit]
+    taken = []
+    for region in [*sorted({r[6] for r in places}), None]:
+        for r in hits([p for p in places if p[6] == region] if region else listed):
+            lite = region is None
+            same = lambda t: (t[0], t[4], t[5]) == (r[0], r[4], r[5]) or (t[4], t[5], t[1]) == (r[4], r[5], r[1]) or ((lite or t[7]) and t[6] == r[6] and fold[t[1]] == fold[r[1]])  # noqa: E731, B023
+            if not any(same(t) for t in taken):
+                taken.append((*r, lite))
+    taken.sort(key=lambda t: (match(fold[t[1]]), -t[3], len(fold[t[1]]), t[1], t[7], t[6], t[0]))
+    return [(*t, match(fold[t[1]])) for t in taken[:limit]]
+
+
+def test_search_of_all_regions_equals_plain_loops(spark):
+    from pyspark.sql import functions as F
+
+    from wayfold.functions import text
+    from wayfold.operators import search
+    from wayfold.plans import journeys
+    from wayfold.sources import regions
+
+    places, listed = journeys._regional_places(spark, "/root/testdata/sf0.001"), regions.cities(spark)
+    names = places.select("name").unionByName(listed.select("name")).distinct().select("name", text.normalized(F.col("name")).alias("n"))
+    fold = {r.name: r.n or "" for r in names.collect()}
+    rows, city = [tuple(r) for r in places.collect()], [tuple(r) for r in listed.collect()]
+    seen = set()
+    for asked in ("sa", "bourg", "le", "nan"):
+        got = [tuple(r) for r in search.world(places, listed, f" {asked.upper()} ", 12).collect()]
+        assert got == plain_search(rows, city, asked, 12, fold), asked
+        seen |= {r[7] for r in got}
+    assert seen == {True, False}
+    assert search.world(places, listed, "s", 12).count() == 0
+    # A chain: the second is the first by id, the third is the second by name; so the third stays.
+    chain = spark.createDataFrame([(1, "Sab", 1, 9, 5, 5, "a"), (1, "Sac", 1, 8, 5, 5, "b"), (2, "Sac", 1, 7, 5, 5, "c")], places.schema)
+    assert [(r.name, r.region) for r in search.world(chain, listed.limit(0), "sa").collect()] == [("Sab", "a"), ("Sac", "c")]
+
+
+def test_damaged_indexes_are_left_out(spark, tmp_path):
+    from wayfold.operators import search
+    from wayfold.sources import geo_tables as g
+
+    places = g.places(spark, "/root/testdata/sf0.001").limit(30)
+    at = {name: f"{tmp_path}/{name}" for name in ("good", "cut", "torn", "none")}
+    for name in ("good", "cut", "torn"):
+        packages.prepared(spark, f"file://{at[name]}", [("search", lambda done: places.coalesce(1))])
+    places.limit(3).write.mode("overwrite").parquet(f"file://{at['cut']}/search")
+    torn = next((tmp_path / "torn" / "search").glob("*.parquet"))
+    torn.write_bytes(b"PAR1 no more PAR1")
+    (tmp_path / "torn" / "search" / f".{torn.name}.crc").unlink(missing_ok=True)
+    rows, out = search.installed(spark, {k: f"file://{v}" for k, v in at.items()})
+    assert sorted(out) == ["cut", "none", "torn"] and rows.count() == 30 and {r.region for r in rows.collect()} == {"good"}

@@ -264,6 +264,9 @@ def mine(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST, per_
     """Each language's `per_lang` best phrases: lang, rank, phrase, a, l, r, n, score."""
     counts, totals = phrase_counts(docs, most_words, least)
     kept = scored(counts).join(outer_counts(counts), ["lang", "phrase"], "left").filter(f"outer IS NULL OR 100 * outer < {inside} * a")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_lang)
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    # A language's candidates are cut to the best of each part first, so its last task sorts a bounded number whatever the corpus.
+    parts = kept.withColumn("__part", F.pmod(F.xxhash64("phrase"), F.lit(partitions(docs.sparkSession))))
+    some = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "__part").orderBy(*order))).filter(F.col("rank") <= per_lang).drop("__part")
+    best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= per_lang)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -448,6 +448,25 @@ def test_lm_learns_from_every_text(spark):
     assert totals[0] > 0.97 * totals[1] > totals[1]  # nearer to 0 by 3 % at least, on texts that it didn't learn from
 
 
+def test_lm_trains_on_every_id(spark, small_lm):
+    """Each id and each end of each text is a goal of one window, behind the ids that scoring shows it."""
+    model, path, _ = small_lm
+    texts = [None, "", "fox", *("the lazy dog " * n for n in (1, 10, 11, 500)), "quick " * 3000 + "brown", "fox"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = lm.training_windows(docs, spark.sparkContext.broadcast(model), path).collect()
+    syms, goal = lm.windows_of([bytes(r.w) for r in rows], lm.goals_of(model))
+    known = lm.Coded(model, path)
+    want = []
+    for text in texts:
+        some, cls, _, _ = known.flat(known.numbers(lm.words(text)))
+        inputs, goals, _ = lm.blocks_of(some, cls, np.array([len(some)]))
+        held = inputs.reshape(-1, lm.HALF)
+        before = np.concatenate([np.full((1, lm.HALF), lm.PAD, np.uint8), held[:-1]])
+        want += [(b.tobytes(), h.tobytes(), g.tobytes()) for b, h, g in zip(before, held, goals.reshape(-1, lm.HALF), strict=True)]
+    assert Counter((s[: lm.HALF].tobytes(), s[lm.HALF :].tobytes(), g.astype(np.uint8).tobytes()) for s, g in zip(syms, goal, strict=True)) == Counter(want)
+    assert len({r.h for r in rows}) == len(rows) > len(texts)
+
+
 def test_lm_slopes():
     """The backward pass against differences."""
     rng = np.random.default_rng(0)

@@ -1,6 +1,7 @@
 """The ten operators against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import base64
+import dataclasses
 import hashlib
 import math
 import re
@@ -10,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -467,6 +469,49 @@ def test_lm_trains_on_every_id(spark, small_lm):
     assert len({r.h for r in rows}) == len(rows) > len(texts)
 
 
+def test_lm_reads_words_a_column_at_a_time(small_lm):
+    """Words of a column are those of its texts one by one, and each is looked up once however often it stands there."""
+    model, path, _ = small_lm
+    rng = np.random.default_rng(3)
+    letters = list(" \t\n\x0b\x0c\r\x1c\x1f\x00aBcZ\u00c9\u00a0\u3000\u00df\u0130\x85")
+    texts = [None, "", " ", " a", "a ", "A" * 70, *("".join(rng.choice(letters, n)) for n in rng.integers(0, 30, 500)), "the fox " * 2000]
+    for some in (pa.array(texts), pa.array(texts).slice(3, 90), pa.array([], pa.string()), pa.array([None], pa.string())):
+        found, counts = lm.found_words(some)
+        each = [lm.words(text) for text in some.to_pylist()]
+        assert found.to_pylist() == [w for ws in each for w in ws] and counts.tolist() == [len(ws) for ws in each]
+    asked = []
+    known = lm.Coded(model, path)
+    keep = known.numbers
+    known.numbers = lambda words_: asked.extend(words_) or keep(words_)
+    numbers, counts = known.read(pa.array(texts))
+    assert [known.names[k] for k in numbers] == [w for text in texts for w in lm.words(text)] and len(counts) == len(texts)
+    assert len(asked) == len(set(asked)) < len(numbers) / 2
+
+
+def test_lm_tree_is_looked_up_by_leads(small_lm):
+    """The tree's counts are those of a plain search, at any number of keys, in ranges that hold many keys or none."""
+    model = dataclasses.replace(small_lm[0])
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 1000):
+        spread = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)
+        for keys in (spread, spread >> np.uint64(40), spread | np.uint64(0xFFFF << 48)):
+            model.keys = np.unique(np.concatenate((lm.ROOT, keys)))
+            model.held = rng.random(len(model.keys))
+            asked = np.concatenate((model.keys, model.keys + np.uint64(1), [np.uint64(2**64 - 1)]))
+            want = dict(zip(model.keys.tolist(), model.held.tolist(), strict=True))
+            assert model.count(asked).tolist() == [want.get(k, 0) for k in asked.tolist()]
+
+
+def test_lm_scoring_far_from_trained_scale(small_lm):
+    """Logits beyond what powers hold still give probabilities that sum to 1."""
+    model, _, ids = small_lm
+    params = {n: x * (40 if n in ("u", "q") else 1) for n, x in model.params.items()}
+    inputs, _, first = lm.blocks_of(model.sym[ids].astype(np.uint8), model.cls[ids].astype(np.uint8), np.array([len(ids)]))
+    every = [lm.class_probabilities(params, inputs, np.full(len(inputs), k, np.uint8), first) for k in range(lm.CLASSES)]
+    there = inputs != lm.PAD
+    assert np.allclose(np.sum(every, 0)[there], 1, atol=1e-4)
+
+
 def test_lm_slopes():
     """The backward pass against differences."""
     rng = np.random.default_rng(0)

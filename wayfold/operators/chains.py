@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.operators import tiles
-from wayfold.session import saved
+from wayfold.session import stored
 
 
 def ranked(links: DataFrame) -> DataFrame:
@@ -24,26 +24,26 @@ def ranked(links: DataFrame) -> DataFrame:
     weight = F.col("weight") if "weight" in links.columns else F.lit(0).cast("long")
     items = links.select("item", F.col("before").alias("ptr"), weight.alias("weight"))
     known = items.select(F.col("item").alias("ptr"), F.lit(True).alias("known"))
-    links = saved(items.join(known, "ptr", "left").select("item", F.when(F.col("known"), F.col("ptr")).alias("ptr"), "weight"))
+    links = stored(items.join(known, "ptr", "left").select("item", F.when(F.col("known"), F.col("ptr")).alias("ptr"), "weight"))
     open_, low = _doubled(links)
     low = low.withColumn("closed", F.lit(False))
     if open_.isEmpty():
         return low
     # A ring is cut before its least item and ranked as an open chain.
     cut = links.join(open_.select("item", F.col("low").alias("head")), "item").select("item", F.when(F.col("item") != F.col("head"), F.col("ptr")).alias("ptr"), "weight")
-    return low.unionByName(_doubled(saved(cut))[1].withColumn("closed", F.lit(True)))
+    return low.unionByName(_doubled(stored(cut))[1].withColumn("closed", F.lit(True)))
 
 
 def _doubled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items of rings with the least item of each, (item, head, place, total) of all others)."""
     start = F.col("ptr").isNull()
-    state = saved(links.select("item", "ptr", F.when(start, F.col("item")).alias("head"), F.when(start, 0).otherwise(1).cast("long").alias("place"), F.col("weight").alias("total"), F.col("item").alias("low")))
+    state = stored(links.select("item", "ptr", F.when(start, F.col("item")).alias("head"), F.when(start, 0).otherwise(1).cast("long").alias("place"), F.col("weight").alias("total"), F.col("item").alias("low")))
     while True:
         there = state.select(F.col("item").alias("ptr"), F.col("ptr").alias("p"), F.col("head").alias("h"), F.col("place").alias("d"), F.col("total").alias("t"), F.col("low").alias("l"))
         on = state.filter("ptr IS NOT NULL").join(there, "ptr")
         news = (F.col("p").isNull() | (F.col("l") < F.col("low"))).alias("news")
         moved = on.select("item", F.col("p").alias("ptr"), F.col("h").alias("head"), (F.col("place") + F.col("d")).alias("place"), (F.col("total") + F.col("t")).alias("total"), F.least("low", "l").alias("low"), news)
-        state = saved(state.filter("ptr IS NULL").withColumn("news", F.lit(False)).unionByName(moved))
+        state = stored(state.filter("ptr IS NULL").withColumn("news", F.lit(False)).unionByName(moved))
         if state.filter("news").isEmpty():
             break
         state = state.drop("news")
@@ -65,7 +65,7 @@ def contours(cells: DataFrame) -> DataFrame:
     # Sides are ordered by where they begin, then by where they end: west, north, south, east.
     nth = F.element_at(F.array(*map(F.lit, (3, 2, 0, 1))), F.col("dir") + 1)
     item = (F.shiftleft(F.col("x1") + (1 << 29), 32) + F.shiftleft(F.col("y1") + (1 << 29), 2) + nth).alias("item")
-    sides = saved(sides.select(item, "x1", "y1", "x2", "y2", "dir"))
+    sides = stored(sides.select(item, "x1", "y1", "x2", "y2", "dir"))
     out = sides.select(F.col("item").alias("next"), F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("dir").alias("out"))
     turn = F.element_at(F.array(*map(F.lit, (1, 0, 3, 2))), F.pmod(F.col("out") - F.col("dir"), F.lit(4)) + 1)
     links = sides.join(out, ["x2", "y2"]).groupBy("item").agg(F.min_by("next", turn).alias("next"))
@@ -84,7 +84,7 @@ def contour_areas(corners: DataFrame) -> DataFrame:
 
 def outlines(cells: DataFrame, least_cells: float = 4.0) -> DataFrame:
     """The corners of contours that enclose at least so many cells; holes are left out."""
-    corners = saved(contours(cells))
+    corners = stored(contours(cells))
     return corners.join(contour_areas(corners).filter(F.col("area") >= least_cells).select("ring"), "ring", "left_semi")
 
 
@@ -97,7 +97,7 @@ def chained(segments: DataFrame, by_kind: bool = True) -> DataFrame:
     """
     ends = segments.select("segment", "kind", "length", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("node")), F.struct(F.lit(1).alias("side"), F.col("b").alias("node")))).alias("e")).select("segment", "kind", "length", "e.*")
     # A dart is a segment with a direction: it leaves from one end and arrives at the other.
-    ends = saved(ends.select("node", "kind", "segment", "side", (F.col("segment") * 2 + F.col("side")).alias("leaves"), (F.col("segment") * 2 + 1 - F.col("side")).alias("arrives"), "length"))
+    ends = stored(ends.select("node", "kind", "segment", "side", (F.col("segment") * 2 + F.col("side")).alias("leaves"), (F.col("segment") * 2 + 1 - F.col("side")).alias("arrives"), "length"))
     here = ends.groupBy("node", *(["kind"] if by_kind else []))
     two = here.agg(F.count("*").alias("n"), F.min(F.struct("kind", "leaves", "arrives")).alias("p"), F.max(F.struct("kind", "leaves", "arrives")).alias("q")).filter("n = 2 AND p.kind <=> q.kind")
     joined = two.select(F.explode(F.array(F.struct(F.col("p.leaves").alias("item"), F.col("q.arrives").alias("before")), F.struct(F.col("q.leaves").alias("item"), F.col("p.arrives").alias("before")))).alias("l")).select("l.*")

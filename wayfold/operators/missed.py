@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfold.functions import geo
-from wayfold.session import saved
+from wayfold.session import stored
 
 # Metres of way after which a branch may end, that it must have, nodes at most, riding speed.
 ENOUGH_M, LEAST_M, MOST_NODES, SPEED_MPS = 220.0, 120.0, 32, 60.0 / 3.6
@@ -47,11 +47,11 @@ def planned(steps: DataFrame, arcs: DataFrame, nodes: DataFrame, riders: DataFra
     order = Window.partitionBy("route").orderBy("pos")
     on = steps.join(nodes, "node").withColumns({"b_lat": F.lag("lat").over(order), "b_lon": F.lag("lon").over(order)})
     step = F.coalesce(geo.haversine_m(F.col("b_lat"), F.col("b_lon"), F.col("lat"), F.col("lon")), F.lit(0.0))
-    on = saved(on.withColumn("at_m", F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0))).select("route", "pos", "node", "lat", "lon", "at_m"))
+    on = stored(on.withColumn("at_m", F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0))).select("route", "pos", "node", "lat", "lon", "at_m"))
     line = F.sort_array(F.collect_list(F.struct("pos", "lat", "lon", "node")))
-    routes = saved(on.groupBy("route").agg(line.alias("line"), F.max("pos").alias("last")).filter(F.size("line") >= 3).select("route", "line", "last", F.transform("line", lambda p: p["node"]).alias("on_route")))
+    routes = stored(on.groupBy("route").agg(line.alias("line"), F.max("pos").alias("last")).filter(F.size("line") >= 3).select("route", "line", "last", F.transform("line", lambda p: p["node"]).alias("on_route")))
     at = nodes.select(F.col("node").alias("dst"), "lat", "lon")
-    roads = saved(arcs.filter(~F.coalesce("ferry", F.lit(False))).select("edge_id", "src", "dst", "length_cm").join(at, "dst"))
+    roads = stored(arcs.filter(~F.coalesce("ferry", F.lit(False))).select("edge_id", "src", "dst", "length_cm").join(at, "dst"))
 
     now = F.greatest(F.lit(0.0), F.coalesce("now_m", F.lit(0.0)))
     ahead = on.withColumns({"before": F.lag("node").over(order), "after": F.lead("node").over(order)}).join(riders.select("route", F.col("at_m").alias("now_m")), "route").filter(F.col("at_m").between(now + least_ahead_m, now + most_ahead_m) & F.col("before").isNotNull() & F.col("after").isNotNull())
@@ -59,7 +59,7 @@ def planned(steps: DataFrame, arcs: DataFrame, nodes: DataFrame, riders: DataFra
     off = _off_m(F.col("lat"), F.col("lon"), F.col("line"))
     walk = starts.select("route", "pos", "trigger_m", F.struct("dst", "edge_id").alias("first"), F.array("src", "dst").alias("path"), geo.haversine_m(F.col("s_lat"), F.col("s_lon"), F.col("lat"), F.col("lon")).alias("length_m"), off.alias("off_m"), "lat", "lon")
     names, over = walk.columns, None
-    walk = saved(walk)
+    walk = stored(walk)
     going = f"NOT (length_m >= {ENOUGH_M} AND off_m >= {least_off_m}) AND size(path) < {MOST_NODES}"
     while not walk.isEmpty():
         ended = walk.filter(f"NOT ({going})")
@@ -70,10 +70,10 @@ def planned(steps: DataFrame, arcs: DataFrame, nodes: DataFrame, riders: DataFra
         both = open_.join(chosen, ["route", "pos", "first"], "left")
         stuck = both.filter("next IS NULL").withColumnsRenamed({"s_lat": "lat", "s_lon": "lon"})
         done = ended.select(*names).unionByName(stuck.select(*names))
-        over = saved(done if over is None else over.unionByName(done))
+        over = stored(done if over is None else over.unionByName(done))
         more = geo.haversine_m(F.col("s_lat"), F.col("s_lon"), F.col("next.lat"), F.col("next.lon"))
         longer = both.filter("next IS NOT NULL").select("route", "pos", "trigger_m", "first", F.concat("path", F.array("next.dst")).alias("path"), (F.col("length_m") + more).alias("length_m"), F.greatest("off_m", "next.away").alias("off_m"), "next.lat", "next.lon")
-        walk = saved(longer)
+        walk = stored(longer)
     good = (walk if over is None else over).filter((F.col("length_m") >= LEAST_M) & (F.col("off_m") >= least_off_m))
     best = good.groupBy("route").agg(F.min_by(F.struct("pos", "trigger_m", "path", "length_m", "off_m"), F.struct("pos", "first")).alias("b")).select("route", "b.*")
     return best.withColumn("time_s", F.col("length_m") / SPEED_MPS)

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from wayfold.functions import text
 from wayfold.operators import packages
-from wayfold.session import saved
+from wayfold.session import stored
 
 
 def _hits(places: DataFrame, query: str, least_chars: int) -> DataFrame:
@@ -76,15 +76,15 @@ def _first_come(rows: DataFrame, keys: list) -> DataFrame:
 
     Rounds: what comes first under all its keys stays, and what shares one with it goes.
     """
-    left, kept = saved(rows.withColumn("__keys", F.array_compact(F.array(*keys))).withColumn("__at", F.struct("source_no", "nth"))), None
+    left, kept = stored(rows.withColumn("__keys", F.array_compact(F.array(*keys))).withColumn("__at", F.struct("source_no", "nth"))), None
     while not left.isEmpty():
         each = left.select("__at", F.explode("__keys").alias("key"))
         first = each.groupBy("key").agg(F.min("__at").alias("first"))
         late = each.join(first, "key").filter("__at <> first").select("__at").distinct()
-        stays = saved(left.join(late, "__at", "left_anti").select(*left.columns))
+        stays = stored(left.join(late, "__at", "left_anti").select(*left.columns))
         kept = stays if kept is None else kept.unionByName(stays)
         gone = each.join(stays.select(F.explode("__keys").alias("key")).distinct(), "key").select("__at").distinct()
-        left = saved(left.join(gone, "__at", "left_anti").select(*left.columns))
+        left = stored(left.join(gone, "__at", "left_anti").select(*left.columns))
     return (left if kept is None else kept).drop("__keys", "__at")
 
 
@@ -99,11 +99,11 @@ def world(places: DataFrame, bundled: DataFrame, query: str, limit: int = 8) ->
     columns = ("place_id", "name", "kind", "rank", "lat_e7", "lon_e7", "region")
     hits = _hits(places.select(*columns), query, 2).withColumn("bundled", F.lit(False)).unionByName(_hits(bundled.select(*columns), query, 2).withColumn("bundled", F.lit(True)))
     order = Window.partitionBy("bundled", F.when(~F.col("bundled"), F.col("region"))).orderBy("match", F.desc("rank"), F.length("name"), text.lower_ascii(F.col("name")), "place_id", "lat_e7", "lon_e7")
-    best = saved(hits.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= limit).withColumn("source_no", F.struct("bundled", F.when(~F.col("bundled"), F.col("region")).alias("region"))))
+    best = stored(hits.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= limit).withColumn("source_no", F.struct("bundled", F.when(~F.col("bundled"), F.col("region")).alias("region"))))
     key = lambda rule, *parts: F.concat_ws("\x1f", F.lit(rule), *[F.coalesce(F.col(p).cast("string"), F.lit("\x00")) for p in parts])
     same = [key("id", "place_id", "lat_e7", "lon_e7"), key("spot", "lat_e7", "lon_e7", "name")]
     named = F.when(F.col("region").isNotNull(), key("name", "region", "normalized"))
-    own = saved(_first_come(best.filter("NOT bundled"), same))
+    own = stored(_first_come(best.filter("NOT bundled"), same))
     met = own.select(F.explode(F.array_compact(F.array(*same, named))).alias("__key")).distinct()
     listed = best.filter("bundled").withColumn("__keys", F.array_compact(F.array(*same, named)))
     known = listed.select("nth", F.explode("__keys").alias("__key")).join(met, "__key").select("nth").distinct()

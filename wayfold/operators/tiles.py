@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from wayfold.functions import geo
 from wayfold.operators import spatial
-from wayfold.session import saved
+from wayfold.session import stored
 
 
 def _around(cells: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def levels(cells: DataFrame, steps: tuple[tuple[int, int, int], ...] = ((11, 5,
         now = parents(now, halvings)
         for _ in range(passes):
             now = closed(now)
-        now = saved(now)
+        now = stored(now)
         rows = now.select(F.lit(level).alias("level"), "x", "y")
         out = rows if out is None else out.unionByName(rows)
     return out

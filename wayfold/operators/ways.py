@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfold.functions import geo, roads, text
-from wayfold.session import saved
+from wayfold.session import stored
 
 
 def routable(ways: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def regions_of(points: DataFrame, rings: DataFrame, cell: float = 0.25) -> DataF
     A point meets the rings of its cell: those that hold the whole cell are settled by an equi-join on it. Only where a
     ring's border passes through the cell, the point meets that ring's sides of its row, and crossings are counted.
     """
-    every = saved(ring_sides(rings))
+    every = stored(ring_sides(rings))
     sides = every.filter("y1 <> y2").withColumn("row", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))))
     asked = points.withColumns({"row": F.floor(F.col("y") / cell), "col": F.floor(F.col("x") / cell)})
     met = asked.join(ring_cells(every, cell), ["row", "col"])

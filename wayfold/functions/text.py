@@ -76,13 +76,22 @@ def place_rank(base: Column, inhabitants: Column) -> Column:
     return F.when(base >= 700, base + F.least(F.lit(180), decades * 20)).otherwise(base)
 
 
+def _tenths(x: Column) -> Column:
+    """A number of 0 or more, rounded to tenths by its exact value, halves to even; Java's formats round the shortest decimal and halves up."""
+    ten, low = x * 8 + x * 2, x * 2 - (x * 8 + x * 2 - x * 8)  # ten times x, and what that sum leaves out
+    whole = F.floor(ten)
+    over = ten - whole - 0.5
+    n = whole + F.when((over > 0) | ((over == 0) & ((low > 0) | ((low == 0) & (whole % 2 == 1)))), 1).otherwise(0)
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
 def distance_text(metres: Column) -> Column:
     """Metres as they are spoken: tens, fifties, tenths of a kilometre, kilometres."""
     return (
         F.when(metres < 100, F.concat((F.floor((metres + 5) / 10) * 10).cast("string"), F.lit(" m")))
         .when(metres < 1000, F.concat((F.floor((metres + 25) / 50) * 50).cast("string"), F.lit(" m")))
-        .when(metres < 10000, F.format_string("%.1f km", metres / 1000))
-        .otherwise(F.format_string("%.0f km", metres / 1000))
+        .when(metres < 10000, F.concat(_tenths(metres / 1000), F.lit(" km")))
+        .otherwise(F.concat(F.rint(metres / 1000).cast("long").cast("string"), F.lit(" km")))
     )
 
 

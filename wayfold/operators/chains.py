@@ -39,8 +39,7 @@ def ranked(links: DataFrame, most: int = RANGE) -> DataFrame:
 def _ranked(links: DataFrame, most: int = RANGE) -> DataFrame:
     """As `ranked`, with the last item of the chain."""
     weight = F.col("weight") if "weight" in links.columns else F.lit(0).cast("long")
-    zero, item = F.lit(0).cast("long"), F.col("item")
-    links = stored(links.select("item", F.col("before").alias("ptr"), F.lit(1).cast("long").alias("n"), weight.alias("w"), item.alias("low"), zero.alias("low_at"), zero.alias("low_w"), item.alias("last"), F.lit(False).alias("closed")))
+    links = stored(links.select("item", F.col("before").alias("ptr"), weight.alias("w")))
     found = _placed(links, most)
     unstored(links)
     at, so_far = F.col("at"), F.col("so_far")
@@ -51,7 +50,7 @@ def _ranked(links: DataFrame, most: int = RANGE) -> DataFrame:
 
 
 def _placed(runs: DataFrame, most: int) -> DataFrame:
-    """(item, own, head, at, so_far, n, w, low, low_at, low_w, last, closed): of runs (item, ptr, n, w, low, low_at, low_w, last, closed) their chain, the items and weights before them in it, their own weight, and the chain as a run.
+    """(item, own, head, at, so_far, n, w, low, low_at, low_w, last, closed): of runs (item, ptr, n, w, low, low_at, low_w, last, closed), or items (item, ptr, w), their chain, the items and weights before them in it, their own weight, and the chain as a run.
 
     Runs are joined inside ranges of their numbers; only what leads out of a range is placed again, as longer runs.
     """
@@ -64,7 +63,7 @@ def _placed(runs: DataFrame, most: int) -> DataFrame:
         if sum(b.num_rows for b in held):
             yield from _as_rows(*_runs_joined(pa.Table.from_batches(held)))
 
-    rows = stored(dealt.select("item", "ptr", "n", "w", "low", "low_at", "low_w", "last", "closed").mapInArrow(run, _ROWS))
+    rows = stored(dealt.mapInArrow(run, _ROWS))
     heads = rows.filter("chain IS NOT NULL").select("head", "chain.*")
     whole = ["n", "w", "low", "low_at", "low_w", "last", "closed"]
     zero = F.lit(0).cast("long")
@@ -101,6 +100,10 @@ def _followed(before: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _runs_joined(table: pa.Table) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """(columns of rows, columns of chains, the rows of their heads, whether these point out of the range): what becomes of the runs of one range."""
+    if "n" not in table.column_names:  # items, each a run of its own
+        item, zero = table.column("item"), pa.array(np.zeros(len(table), np.int64))
+        more = {"n": pa.array(np.ones(len(table), np.int64)), "low": item, "low_at": zero, "low_w": zero, "last": item, "closed": pa.array(np.zeros(len(table), bool))}
+        table = pa.table(dict(zip(table.column_names, table.columns, strict=True)) | more)
     c = {name: table.column(name).fill_null(0).to_numpy() for name in table.column_names if name != "closed"}
     order = np.argsort(c["item"], kind="stable")
     c = {name: v[order] for name, v in c.items()}
@@ -244,6 +247,7 @@ def chained(segments: DataFrame, by_kind: bool = True) -> DataFrame:
         same = [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in at]
         links = links.unionByName(ends.join(hubs, same, "left_semi").select(F.col("leaves").alias("item"), head.alias("before"), F.col("length").alias("weight")))
     order = _ranked(links)
+    unstored(segments, here)
     # Each chain is there in both directions: the one whose head is less counts. The other begins where this one ends, a ring with its least segment's other dart.
     kept = order.filter(F.when(F.col("closed"), F.col("head") % 2 == 0).otherwise(F.col("head") < F.col("last").bitwiseXOR(F.lit(1))))
     return kept.select(F.expr("item div 2").alias("segment"), F.expr("head div 2").alias("chain"), "place", (F.col("item") % 2 == 1).alias("reversed"), "total", "closed")
